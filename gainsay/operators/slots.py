@@ -1,8 +1,8 @@
 """File-record slots to file records.
 
 The byte work (sector tails, attribute list) has no Spark expression, so it runs in one Arrow step
-that treats a whole batch of slots as a byte matrix. What the bytes mean (times, the preferred
-name, anomalies, failure split) stays in Spark expressions around that step.
+that treats a whole batch of slots as a byte matrix. What the fields mean (the preferred name,
+anomalies, unused slots, failure split) stays in Spark expressions around that step.
 """
 
 from __future__ import annotations
@@ -14,13 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gainsay.functions.mft import (
-    TIME_FIELDS,
-    TOLERANCE,
-    four_times,
-    preferred_name,
-    record_anomalies,
-)
+from gainsay.functions.mft import TIME_FIELDS, TOLERANCE, preferred_name, record_anomalies
+from gainsay.functions.time import EPOCH_OFFSET_MICROS, LAST_FILETIME
 
 # Byte layout of a file record.
 SECTOR_BYTES = 512
@@ -30,14 +25,14 @@ END_OF_ATTRIBUTES = 0xFFFFFFFF
 PARENT_MASK = 0x0000FFFFFFFFFFFF
 _PADDING = 128
 
-_TICKS = "struct<" + ",".join(f"{field}:bigint" for field in TIME_FIELDS) + ">"
-_NAME = f"struct<namespace:int,parent:bigint,times:{_TICKS},name:string>"
+_TIMES = "struct<" + ",".join(f"{field}:timestamp" for field in TIME_FIELDS) + ">"
+_NAME = f"struct<namespace:int,parent:bigint,times:{_TIMES},name:string>"
 _DECODED = (
     "case_id string, source_path string, record_number bigint, reason string, "
     "embedded_record_number bigint, is_directory boolean, is_allocated boolean, "
-    f"standard {_TICKS}, names array<{_NAME}>"
+    f"standard_information {_TIMES}, names array<{_NAME}>"
 )
-_ARROW_TICKS = pa.struct([(field, pa.int64()) for field in TIME_FIELDS])
+_ARROW_TIME = pa.timestamp("us", tz="UTC")
 
 
 def decode(slots: DataFrame, tolerance: timedelta = TOLERANCE) -> DataFrame:
@@ -66,8 +61,8 @@ def decode(slots: DataFrame, tolerance: timedelta = TOLERANCE) -> DataFrame:
             F.col("_best.parent").alias("parent_record_number"),
             "is_directory",
             "is_allocated",
-            four_times(F.col("standard")).alias("standard_information"),
-            four_times(F.col("_best.times")).alias("file_name_information"),
+            "standard_information",
+            F.col("_best.times").alias("file_name_information"),
             "reason",
         )
         .withColumn(
@@ -144,10 +139,8 @@ def _content(slots: _Slots, rows: np.ndarray, offset: np.ndarray, least: int):
 
 
 def _ticks(slots: _Slots, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Four tick counts per row; values above the signed range saturate."""
-    top = np.uint64(np.iinfo(np.int64).max)
-    columns = [np.minimum(slots.number(rows, start + 8 * k, 8), top) for k in range(4)]
-    return np.stack(columns, axis=1).astype(np.int64)
+    """Four tick counts per row."""
+    return np.stack([slots.number(rows, start + 8 * k, 8) for k in range(4)], axis=1)
 
 
 def _name_text(content: bytes, chars: int) -> str:
@@ -162,7 +155,7 @@ def _name_text(content: bytes, chars: int) -> str:
 def _walk_attributes(slots: _Slots, reasons: np.ndarray):
     """Standard times (the last attribute counts, even unreadable) and every file name."""
     total = len(reasons)
-    standard, has_standard = np.zeros((total, 4), dtype=np.int64), np.zeros(total, dtype=bool)
+    standard, has_standard = np.zeros((total, 4), dtype=np.uint64), np.zeros(total, dtype=bool)
     names: list[tuple[np.ndarray, ...]] = []
     rows = np.flatnonzero(reasons == None)  # noqa: E711 - element-wise
     offset, end = slots.small(rows, 20, 2), np.minimum(slots.small(rows, 24, 4), slots.size[rows])
@@ -207,17 +200,21 @@ def _walk_attributes(slots: _Slots, reasons: np.ndarray):
     return standard, has_standard, names
 
 
-def _ticks_array(ticks: np.ndarray, valid: np.ndarray | None = None) -> pa.StructArray:
-    mask = None if valid is None else pa.array(~valid)
+def _times(ticks: np.ndarray, valid: np.ndarray | None = None) -> pa.StructArray:
+    """Ticks to timestamps. Zero means not set, later than year 9999 is unusable: both are NULL."""
+    unset = (ticks == 0) | (ticks > LAST_FILETIME)
+    instants = np.where(unset, 0, ticks // np.uint64(10)).astype(np.int64) - EPOCH_OFFSET_MICROS
     return pa.StructArray.from_arrays(
-        [pa.array(ticks[:, k]) for k in range(4)], fields=list(_ARROW_TICKS), mask=mask
+        [pa.array(instants[:, k], _ARROW_TIME, mask=unset[:, k]) for k in range(4)],
+        names=list(TIME_FIELDS),
+        mask=None if valid is None else pa.array(~valid),
     )
 
 
 def _names_array(total: int, names: list[tuple[np.ndarray, ...]]) -> pa.ListArray:
     """File names grouped by slot, in the order they were met."""
     if not names:
-        names = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros((0, 4), np.int64),
+        names = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros((0, 4), np.uint64),
                   np.zeros(0, object))]
     owner, namespace, parent, ticks, text = (np.concatenate(part) for part in zip(*names))
     order = np.argsort(owner, kind="stable")
@@ -225,7 +222,7 @@ def _names_array(total: int, names: list[tuple[np.ndarray, ...]]) -> pa.ListArra
         [
             pa.array(namespace[order], pa.int32()),
             pa.array(parent[order], pa.int64()),
-            _ticks_array(ticks[order]),
+            _times(ticks[order]),
             pa.array(text[order], pa.string()),
         ],
         names=["namespace", "parent", "times", "name"],
@@ -255,11 +252,11 @@ def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 pa.array(embedded, mask=~(usable & (slots.size >= 48))),
                 pa.array((flags & 2) != 0, mask=~usable),
                 pa.array((flags & 1) != 0, mask=~usable),
-                _ticks_array(standard, has_standard & usable),
+                _times(standard, has_standard & usable),
                 _names_array(len(reasons), names),
             ],
             names=[
                 "case_id", "source_path", "record_number", "reason", "embedded_record_number",
-                "is_directory", "is_allocated", "standard", "names",
+                "is_directory", "is_allocated", "standard_information", "names",
             ],
         )

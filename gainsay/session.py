@@ -7,12 +7,14 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan in this package relies on. Sizes and executor counts are left to the cluster.
+# The last one skips the call-site lookup PySpark otherwise makes for every column expression.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -22,6 +24,7 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     settings = {
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         **SETTINGS,
         **conf,

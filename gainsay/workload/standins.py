@@ -209,83 +209,88 @@ def event_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def little_endian(value: Column, count: int) -> Column:
-    digits = F.lpad(F.hex(value.cast("bigint")), 2 * count, "0")
-    pairs = [F.substring(digits, 2 * k + 1, 2) for k in reversed(range(count))]
-    return F.unhex(F.concat(*pairs))
+def little_endian(value: Column | int, count: int) -> Column:
+    """The low bytes of a number, lowest first, as hex digits."""
+    if isinstance(value, int):
+        return F.lit(value.to_bytes(count, "little").hex())
+    highest_first = F.unhex(F.lpad(F.hex(value.cast("bigint")), 2 * count, "0"))
+    # One character per byte, so reversing the text reverses the bytes.
+    text = F.reverse(F.decode(highest_first, "ISO-8859-1"))
+    return F.hex(F.encode(text, "ISO-8859-1"))
 
 
-def _zeros(count: Column) -> Column:
-    return F.unhex(F.repeat(F.lit("00"), count))
+def _hex(raw: bytes) -> Column:
+    return F.lit(raw.hex())
 
 
-def _attribute(kind: int, content: Column) -> Column:
+def _fill(digits: Column, count: Column) -> Column:
+    """Zeros up to ``count`` digits; far cheaper than a pad, which copies one character at a time."""
+    return F.concat(digits, F.lit("0" * SLOT_BYTES)).substr(F.lit(1), count)
+
+
+def _attribute(kind: int, content: Column, size: Column | int) -> Column:
     """A resident attribute: 24 header bytes, then the content, padded to eight bytes."""
-    size = F.length(content)
-    padding = F.pmod(-size, F.lit(8))
+    padded = -(-size // 8) * 8 if isinstance(size, int) else size + F.pmod(-size, F.lit(8))
     return F.concat(
-        little_endian(F.lit(kind), 4), little_endian(24 + size + padding, 4),
-        F.lit(bytes(8)), little_endian(size, 4), little_endian(F.lit(24), 2), F.lit(bytes(2)),
-        content, _zeros(padding),
+        little_endian(kind, 4), little_endian(24 + padded, 4), _hex(bytes(8)),
+        little_endian(size, 4), little_endian(24, 2), _hex(bytes(2)),
+        _fill(content, F.lit(2) * padded),
     )
 
 
-def _file_name(parent: Column, created: Column, name: Column, namespace: Column | int) -> Column:
-    space = namespace if isinstance(namespace, Column) else F.lit(namespace)
-    return _attribute(0x30, F.concat(
-        little_endian(parent, 8), *[little_endian(created, 8)] * 4, F.lit(bytes(24)),
-        little_endian(F.length(name), 1), little_endian(space, 1), F.encode(name, "UTF-16LE"),
-    ))
+def _file_name(parent: Column | int, created: Column, name: Column, namespace: Column | int) -> Column:
+    chars = F.length(name)
+    content = F.concat(
+        little_endian(parent, 8), F.repeat(little_endian(created, 8), 4), _hex(bytes(24)),
+        little_endian(chars, 1), little_endian(namespace, 1), F.hex(F.encode(name, "UTF-16LE")),
+    )
+    return _attribute(0x30, content, 66 + 2 * chars)
 
 
 def mft_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One raw slot per order; the key modulo 16 picks an intact or a damaged shape."""
-    kind = F.col("o_orderkey") % 16
-    named = timestamp_to_filetime(utc(F.col("o_orderdate")))
+    """One raw slot per order, put together as hex digits; the key modulo 16 picks an intact or a
+    damaged shape."""
+    kind, named = F.col("_kind"), F.col("_named")
     day = 864_000_000_000
     back = (F.col("o_custkey") % 3) * day
     standard = _attribute(0x10, F.concat(
         little_endian(named - back, 8), little_endian(named + day, 8),
         little_endian(F.when(kind == 5, 0).otherwise(named - 10_000_000), 8),
-        little_endian(named - 10_000_010, 8), F.lit(bytes(16)),
-    ))
-    long_name = F.concat(F.lit("ordre-é-"), F.col("o_orderkey").cast("string"))
+        little_endian(named - 10_000_010, 8), _hex(bytes(16)),
+    ), 48)
     parent = F.col("o_custkey") + F.lit(3 << 48)
-    short = _file_name(F.lit(5), named + day, F.lit("ORDRE~1"), 2)
-    attributes = F.concat(
-        F.when(kind == 6, F.lit(b"")).otherwise(standard),
-        F.when(kind == 4, short).otherwise(F.lit(b"")),
-        F.when(kind == 7, F.lit(b"")).otherwise(_file_name(parent, named, long_name, kind % 4)),
-        little_endian(F.lit(0xFFFFFFFF), 4),
-    )
+    short = _file_name(5, named + day, F.lit("ORDRE~1"), 2)
     flags = F.when(F.col("o_orderstatus") == "F", 0).otherwise(1) + F.when(
         F.col("o_orderpriority") == "1-URGENT", 2
     ).otherwise(0)
-    used = _FIRST_ATTRIBUTE + F.length("_attributes")
-    head = F.concat(
-        F.when(kind == 0, F.lit(b"BAAD")).when(kind == 1, F.lit(b"????")).otherwise(F.lit(b"FILE")),
-        little_endian(F.lit(_USA_OFFSET), 2),
-        little_endian(F.when(kind == 9, 0).otherwise(3), 2),
-        F.lit(bytes(12)), little_endian(F.lit(_FIRST_ATTRIBUTE), 2), little_endian(flags, 2),
-        little_endian(used, 4), F.lit(bytes(16)), little_endian(F.col("o_orderkey"), 4),
-        F.lit(_UPDATE_NUMBER + b"AZ" + bytes(4)),
+    signature = F.when(kind == 0, _hex(b"BAAD")).when(kind == 1, _hex(b"????"))
+    slot = F.concat(
+        signature.otherwise(_hex(b"FILE")), little_endian(_USA_OFFSET, 2),
+        F.when(kind == 9, little_endian(0, 2)).otherwise(little_endian(3, 2)),
+        _hex(bytes(12)), little_endian(_FIRST_ATTRIBUTE, 2), little_endian(flags, 2),
+        little_endian(SLOT_BYTES, 4), _hex(bytes(16)), little_endian(F.col("o_orderkey"), 4),
+        _hex(_UPDATE_NUMBER + bytes(6)),
+        F.when(kind == 6, "").otherwise(standard),
+        F.when(kind == 4, short).otherwise(""),
+        F.when(kind == 7, "").otherwise(_file_name(parent, named, F.col("_name"), kind % 4)),
+        little_endian(0xFFFFFFFF, 4),
     )
-    body = F.concat("_head", "_attributes")
-    padded = F.concat(body, _zeros(F.lit(SLOT_BYTES) - F.length(body)))
+    tail = F.when(kind == 2, _hex(b"\xff\xff")).otherwise(_hex(_UPDATE_NUMBER))
+    # A slot has two sectors; the last two bytes of each carry the update number.
     raw = F.concat(
-        F.substring("_padded", 1, 510), F.lit(_UPDATE_NUMBER), F.substring("_padded", 513, 510),
-        F.when(kind == 2, F.lit(b"\xff\xff")).otherwise(F.lit(_UPDATE_NUMBER)),
+        _fill(slot, F.lit(SLOT_BYTES - 4)), _hex(_UPDATE_NUMBER),
+        F.lit("00" * (SLOT_BYTES // 2 - 2)), tail,
     )
     return (
         read(spark, sf_dir, "orders")
-        .withColumn("_attributes", attributes)
-        .withColumn("_head", head)
-        .withColumn("_padded", padded)
+        .withColumn("_kind", F.col("o_orderkey") % 16)
+        .withColumn("_named", timestamp_to_filetime(utc(F.col("o_orderdate"))))
+        .withColumn("_name", F.concat(F.lit("ordre-é-"), F.col("o_orderkey").cast("string")))
         .select(
             case_of("o_orderkey").alias("case_id"),
             F.concat(F.lit("disk"), (F.col("o_custkey") % 8).cast("string"), F.lit("/$MFT")).alias("source_path"),
             F.col("o_orderkey").alias("record_number"),
-            F.when(kind == 3, F.lit(bytes(SLOT_BYTES))).otherwise(raw).alias("raw"),
+            F.when(kind == 3, F.lit(bytes(SLOT_BYTES))).otherwise(F.unhex(raw)).alias("raw"),
         )
     )
 
