@@ -1,8 +1,9 @@
 """Event XML to event records.
 
-One pull parse (``from_xml``) reads all system fields and tells whether the text is well-formed.
-Only rows that pass get a second look with XPath for the message texts, since XPath on malformed
-text would end the job.
+One pull parse (``from_xml``) reads all fields and tells whether the text is well-formed. It hands
+over the event data as tags and plain text, which a pattern takes apart unless the data itself
+holds characters that look like tags. Those few rows get a second parse with XPath, and only if
+they are well-formed: XPath on malformed text would end the job.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ _SYSTEM = (
     f"Channel: {_TEXT}>"
 )
 _DOCUMENT = (
-    f"_VALUE STRING, Event ARRAY<STRUCT<_xmlns: STRING, System: {_SYSTEM}>>, _corrupt STRING"
+    f"_VALUE STRING, Event ARRAY<STRUCT<_xmlns: STRING, System: {_SYSTEM}, EventData: STRING, "
+    "UserData: STRING>>, _corrupt STRING"
 )
 _OPTIONS = {
     "mode": "PERMISSIVE",
@@ -45,7 +47,6 @@ def _own_texts(element: str) -> str:
     return f"{element}/descendant-or-self::*/text()[not(preceding-sibling::*)]"
 
 
-# UserData only counts where there is no EventData, not where that is empty.
 _MESSAGE_TEXTS = (
     _own_texts("/*/Event/EventData[1]")
     + " | "
@@ -53,13 +54,21 @@ _MESSAGE_TEXTS = (
 )
 
 
+# Where the parser's rendering of the data could be misread: a comment or CDATA section, an escaped
+# "<", or a ">" in what may be an attribute value.
+_AMBIGUOUS = r"""<!|&lt;|&#0*60;|&#[xX]0*3[cC];|=\s*"[^"<]*(>|&gt;|&#)|=\s*'[^'<]*(>|&gt;|&#)"""
+
+# A start tag and the text up to the next tag.
+_TAG_AND_TEXT = "<[^/>][^>]*>([^<]*)"
+
+
 def event_timestamp(text: Column) -> Column:
     cleaned = F.regexp_replace(text, ",", ".")
     return F.when(text.rlike(_DATE_TIME), cleaned.try_cast("timestamp"))
 
 
 def whole_number(text: Column) -> Column:
-    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
+    return text.try_cast("bigint")
 
 
 def _joined(texts: Column) -> Column:
@@ -91,8 +100,16 @@ def decode(rows: DataFrame, xml: str = "raw_xml") -> DataFrame:
     def text(tag: str) -> Column:
         return strip(system[tag]["_VALUE"])
 
-    wrapped_ok = F.when(F.col("reason").isNull(), F.col("_wrapped"))
-    texts = F.call_function("xpath", wrapped_ok, F.lit(_MESSAGE_TEXTS))
+    # UserData only counts where there is no EventData, not where that is empty.
+    data = F.coalesce(event["EventData"], event["UserData"])
+    by_pattern = F.regexp_extract_all(
+        F.concat(F.lit("<_>"), data), F.lit(_TAG_AND_TEXT), F.lit(1)
+    )
+    by_path = F.call_function("xpath", F.col("_wrapped"), F.lit(_MESSAGE_TEXTS))
+    texts = F.when(
+        F.col("reason").isNull(),
+        F.when(F.col("_wrapped").rlike(_AMBIGUOUS), by_path).otherwise(by_pattern),
+    )
 
     kept = [c for c in rows.columns if c != xml]
     return (

@@ -12,9 +12,16 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"[^\\/]+$", 0)
 
 
+# The characters that count as white space, Unicode ones included.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
-    """Drop leading and trailing white space, Unicode spaces included."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Drop leading and trailing white space."""
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def contains_ignoring_case(text: Column, part: Column) -> Column:

@@ -16,6 +16,7 @@ from gainsay.operators import gaps
 from gainsay.operators.presence import unmatched_in_window
 from gainsay.operators.rows import not_seen, only_cases_with
 from gainsay.schemas import SEVERITIES
+from gainsay.session import checkpointed
 from gainsay.sources.case import CaseTables
 
 # Ids of events that report a new process.
@@ -171,8 +172,11 @@ def prefetch_hash_mismatch(tables: CaseTables) -> DataFrame:
 
 
 def record_number_gap(tables: CaseTables, significant_gap_size: int = SIGNIFICANT_GAP) -> DataFrame:
-    """Large gaps in an event log's record numbers, and one summary of its small gaps."""
-    found = gaps.record_gaps(tables.events, by=_SOURCE)
+    """Large gaps in an event log's record numbers, and one summary of its small gaps.
+
+    The gaps are few next to the events and are used three times, so they are written out once.
+    """
+    found = checkpointed(gaps.record_gaps(tables.events, by=_SOURCE))
     return _large_gaps(gaps.significant(found, significant_gap_size)).unionByName(
         _small_gaps(gaps.minor(found, significant_gap_size))
     )

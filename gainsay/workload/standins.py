@@ -173,39 +173,41 @@ def event_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     system = F.concat(
         F.lit("<System>"),
         F.when(digit == 6, "<Provider/>").otherwise(
-            F.concat(F.lit('<Provider Name="'), html_escape(F.col("event_type")), F.lit('" Guid="{1}"/>'))
+            F.concat(F.lit('<Provider Name="'), F.col("event_type"), F.lit('" Guid="{1}"/>'))
         ),
         F.lit('<EventID Qualifiers="16384">'), number, F.lit("</EventID><Level>4</Level>"),
         F.lit('<TimeCreated SystemTime="'), instant, F.lit('"/><EventRecordID>'),
         F.col("event_id").cast("string"), F.lit("</EventRecordID><Channel></Channel><Computer> HOST-"),
         F.col("user_id").cast("string"), F.lit(" </Computer></System>"),
     )
-    props = html_escape(F.col("props"))
-    data = (
-        F.when(digit == 7, F.concat(F.lit("<EventData/><UserData><a>"), props, F.lit("</a></UserData>")))
-        .when(digit == 8, F.concat(F.lit("<UserData><x xmlns=\"urn:x\"><a>"), props, F.lit("</a></x></UserData>")))
-        .when(digit == 9, F.lit(""))
+    before = (
+        F.when(digit == 7, "<EventData/><UserData><a>")
+        .when(digit == 8, '<UserData><x xmlns="urn:x"><a>')
+        .when(digit == 9, "")
+        .otherwise('<EventData><Data Name="p"> ')
+    )
+    after = (
+        F.when(digit == 7, "</a></UserData>")
+        .when(digit == 8, "</a></x></UserData>")
+        .when(digit == 9, "")
         .otherwise(F.concat(
-            F.lit('<EventData><Data Name="p"> '), props, F.lit("</Data>\n<Data> </Data><Data><b>"),
-            F.col("event_type"), F.lit("</b>tail</Data></EventData>"),
+            F.lit("</Data>\n<Data> </Data><Data><b>"), F.col("event_type"),
+            F.lit("</b>tail</Data></EventData>"),
         ))
     )
-    whole = F.concat(head, system, data, F.lit("</Event>"))
-    damaged = (
-        F.when(digit == 1, F.expr("substring(_whole, 1, length(_whole) - 9)"))
-        .when(digit == 2, F.concat(head, data, F.lit("</Event>")))
-        .when(digit == 3, F.concat(F.col("_whole"), F.lit("<Event/>")))
-        .otherwise(F.col("_whole"))
-    )
-    return (
-        read(spark, sf_dir, "events")
-        .withColumn("_whole", whole)
-        .select(
-            case_of("user_id").alias("case_id"),
-            F.concat(F.lit("xml/user-"), F.col("user_id").cast("string")).alias("source_path"),
-            F.col("event_id").alias("record_number"),
-            damaged.alias("raw_xml"),
-        )
+    end = F.when(digit == 1, "</Sys").when(digit == 3, "</Event><Event/>").otherwise("</Event>")
+    return read(spark, sf_dir, "events").select(
+        case_of("user_id").alias("case_id"),
+        F.concat(F.lit("xml/user-"), F.col("user_id").cast("string")).alias("source_path"),
+        F.col("event_id").alias("record_number"),
+        F.concat(
+            head,
+            F.when(digit == 2, "").otherwise(system),
+            before,
+            F.when(digit == 9, "").otherwise(html_escape(F.col("props"))),
+            after,
+            end,
+        ).alias("raw_xml"),
     )
 
 
