@@ -184,7 +184,7 @@ def _walk_attributes(slots: _Slots, reasons: np.ndarray):
         named, start, size = rows[here][usable], start[usable], size[usable]
         if len(named):
             texts = [
-                _name_text(slots.bytes[r, s + 66 : s + n].tobytes(), slots.bytes[r, s + 64])
+                _name_text(slots.bytes[r, s + 66 : s + n].tobytes(), int(slots.bytes[r, s + 64]))
                 for r, s, n in zip(named, start, size)
             ]
             names.append(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gainsay.functions.text import basename
+from gainsay.sources.files import list_files
 
 CATEGORIES = ("evtx", "registry", "prefetch", "mft")
 
@@ -32,14 +33,10 @@ def discover(spark: SparkSession, folder: str, case_id: str | Column | None = No
 
     ``case_id`` may be a fixed text or an expression over ``path``; by default one case is assumed.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select("path", "length", "modificationTime")
-    )
     case = case_id if isinstance(case_id, Column) else F.lit(case_id or "case")
-    return files.withColumns({"case_id": case, "category": classify(F.col("path"))})
+    return list_files(spark, folder).withColumns(
+        {"case_id": case, "category": classify(F.col("path"))}
+    )
 
 
 def paths_of(files: DataFrame, category: str) -> DataFrame:

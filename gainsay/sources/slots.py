@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gainsay.sources.files import open_uri
+
 RECORD_BYTES = 1024
 SLOTS_PER_PARTITION = 64 * 1024
 _SLOTS_PER_BATCH = 4096
@@ -36,7 +36,7 @@ class SlotReader(DataSourceReader):
     def partitions(self) -> list[SlotRange]:
         ranges = []
         for uri in self.paths:
-            store, path = _open(uri)
+            store, path = open_uri(uri)
             slots = store.get_file_info(path).size // self.record_bytes
             ranges += [
                 SlotRange(uri, first, min(self.per_partition, slots - first))
@@ -45,7 +45,7 @@ class SlotReader(DataSourceReader):
         return ranges
 
     def read(self, partition: SlotRange) -> Iterator[pa.RecordBatch]:
-        store, path = _open(partition.path)
+        store, path = open_uri(partition.path)
         with store.open_input_file(path) as file:
             stop = partition.first + partition.count
             for first in range(partition.first, stop, _SLOTS_PER_BATCH):
@@ -83,14 +83,6 @@ class SlotSource(DataSource):
         )
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), unquote(urlsplit(uri).path)
-    if "://" in uri:
-        return fs.FileSystem.from_uri(uri)
-    return fs.LocalFileSystem(), uri
-
-
 def read_slots(
     spark: SparkSession,
     paths: list[str],
