@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 _WORD_BITS = 6
 _LEVEL_BITS = (16, 16, None)
@@ -24,65 +24,56 @@ def record_gaps(
     """One row per gap: ``by``, the numbers before and after it, and how many are missing between."""
     by = list(by)
     value = F.col(number).cast("bigint")
+    bit = value.bitwiseAND(F.lit((1 << _WORD_BITS) - 1)).cast("int")
     words = (
         records.filter(value.isNotNull())
         .select(
             *by,
             F.shiftright(value, _WORD_BITS).alias("_unit"),
-            value.bitwiseAND(F.lit((1 << _WORD_BITS) - 1)).cast("int").alias("_bit"),
+            value.alias("_value"),
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("_bit"),
         )
         .groupBy(*by, "_unit")
         .agg(
-            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bit"))).alias(
-                "_mask"
-            )
+            F.bit_or("_bit").alias("_mask"),
+            F.min("_value").alias("_first"),
+            F.max("_value").alias("_last"),
         )
     )
-    start = F.shiftleft("_unit", _WORD_BITS)
-    numbers = words.select(*by, "_unit", _set_bits(F.col("_mask")).alias("_bits"), start.alias("_start"))
-    spans = numbers.select(
-        *by,
-        "_unit",
-        (F.col("_start") + F.get("_bits", F.lit(0))).alias("_first"),
-        (F.col("_start") + F.element_at("_bits", -1)).alias("_last"),
-    )
-
-    parts = [_inside_words(numbers, by)]
+    parts = [_inside_words(words, by)]
+    spans = words.select(*by, "_unit", "_first", "_last")
     for bits in _LEVEL_BITS:
-        group = [*by] if bits is None else [*by, "_parent"]
-        if bits is not None:
-            spans = spans.withColumn("_parent", F.shiftright("_unit", bits))
-        following = F.lead("_first").over(Window.partitionBy(*group).orderBy("_unit"))
+        parent = F.shiftright("_unit", bits) if bits is not None else F.lit(0).cast("bigint")
+        order = Window.partitionBy(*by, "_parent").orderBy("_unit")
+        spans = spans.withColumn("_parent", parent).withColumns(
+            {"_next": F.lead("_first").over(order), "_head": F.first("_first").over(order)}
+        )
         parts.append(
-            spans.select(*by, F.col("_last").alias("previous"), following.alias("current")).filter(
-                F.col("current") - F.col("previous") > 1
+            spans.filter(F.col("_next") - F.col("_last") > 1).select(
+                *by, F.col("_last").alias("previous"), F.col("_next").alias("current")
             )
         )
-        if bits is not None:
-            spans = spans.groupBy(*by, F.col("_parent").alias("_unit")).agg(
-                F.min("_first").alias("_first"), F.max("_last").alias("_last")
-            )
+        # The last row of a window stands for its whole range one level up.
+        spans = spans.filter(F.col("_next").isNull()).select(
+            *by, F.col("_parent").alias("_unit"), F.col("_head").alias("_first"), "_last"
+        )
     missing = F.col("current") - F.col("previous") - 1
     return reduce(DataFrame.unionByName, parts).withColumn("missing", missing)
 
 
-def _set_bits(mask: Column) -> Column:
-    """Ascending places of the bits that are set. A full word is a constant."""
-    every = F.sequence(F.lit(0), F.lit((1 << _WORD_BITS) - 1))
-    some = F.filter(every, lambda place: F.call_function("bit_get", mask, place) == 1)
-    return F.when(mask == -1, every).otherwise(some)
-
-
-def _inside_words(numbers: DataFrame, by: list[str]) -> DataFrame:
-    """Gaps between two numbers of the same word."""
+def _inside_words(words: DataFrame, by: list[str]) -> DataFrame:
+    """Gaps between two numbers of the same word; most words of a dense log have none."""
+    places = F.sequence(F.lit(0), F.lit((1 << _WORD_BITS) - 1))
+    bits = F.filter(places, lambda place: F.call_function("bit_get", F.col("_mask"), place) == 1)
     pairs = F.zip_with(
         F.slice("_bits", F.lit(1), F.size("_bits") - 1),
         F.slice("_bits", F.lit(2), F.size("_bits") - 1),
         lambda a, b: F.struct(a.alias("a"), b.alias("b")),
     )
-    holey = F.element_at("_bits", -1) - F.get("_bits", F.lit(0)) >= F.size("_bits")
+    start = F.shiftleft("_unit", _WORD_BITS)
     return (
-        numbers.filter(holey)
+        words.filter(F.col("_last") - F.col("_first") >= F.bit_count("_mask"))
+        .select(*by, start.alias("_start"), bits.alias("_bits"))
         .select(*by, "_start", F.explode(pairs).alias("_pair"))
         .filter(F.col("_pair.b") - F.col("_pair.a") > 1)
         .select(

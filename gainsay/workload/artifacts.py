@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gainsay.functions import prefetch, registry
 from gainsay.functions.mft import namespace_rank, timestamp_anomalies
-from gainsay.functions.text import html_escape, row_contains
+from gainsay.functions.text import basename, html_escape, row_contains
 from gainsay.functions.time import filetime_to_timestamp, timestamp_to_filetime, utc
 from gainsay.operators import rows as row_ops
 from gainsay.operators.slots import slot_mismatches
@@ -226,8 +226,6 @@ def subkey_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT c_custkey, file_name, filename_hash_matches AS matches FROM ({PREFETCH_FILES_SQL})")
 def filename_hash_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gainsay.functions.text import basename
-
     return standins.prefetch_files(spark, sf_dir).select(
         F.conv("prefetch_hash", 16, 10).cast("bigint").alias("c_custkey"),
         basename(F.col("source_path")).alias("file_name"),
@@ -326,7 +324,7 @@ def prefetch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT c_name || '-' || upper(printf('%08x', c_custkey)) || '.pf' AS source_path, 'prefetch_hash' AS field_group,
-       CASE c_custkey % 5 WHEN 0 THEN 'not a 32-bit number' ELSE 'not a 32-bit number' END AS reason
+       'not a 32-bit number' AS reason
 FROM customer WHERE c_custkey % 5 < 2
 UNION ALL
 SELECT c_name || '-' || upper(printf('%08x', c_custkey)) || '.pf', 'format_version', 'not a number'

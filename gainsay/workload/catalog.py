@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 EVENTS_SQL = """
 SELECT 'case-' || (user_id % 4) AS case_id, 'logs/user-' || user_id || '.evtx' AS source_path,
        event_id AS record_number,
-       CASE event_type WHEN 'click' THEN 4688 WHEN 'view' THEN 1 ELSE 7 END AS event_id,
+       CAST(CASE event_type WHEN 'click' THEN 4688 WHEN 'view' THEN 1 ELSE 7 END AS BIGINT) AS event_id,
        ts, event_type AS provider_name, 'HOST-' || (user_id % 10) AS computer_name,
        event_id % 5 AS level, props AS message
 FROM events

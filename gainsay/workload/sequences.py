@@ -6,6 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gainsay.functions.text import iso_timestamp
 from gainsay.functions.time import utc
 from gainsay.operators import gaps
 from gainsay.operators.presence import unmatched_in_window
@@ -41,7 +42,7 @@ def record_gap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY previous) AS place
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY previous) AS INTEGER) AS place
                FROM ({USER_GAPS_SQL}) WHERE missing < 10) WHERE place <= 2
 """)
 def record_gap_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +114,6 @@ SELECT case_id, source_path, record_number, event_id, {iso_sql('ts')} AS at
 FROM ({EVENTS_SQL}) WHERE event_id IN (1, 4688) AND ts IS NOT NULL
 """)
 def process_creation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gainsay.functions.text import iso_timestamp
-
     rows = rules.process_creations(standins.events(spark, sf_dir))
     return rows.select(
         "case_id", "source_path", "record_number", "event_id",

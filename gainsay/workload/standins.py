@@ -14,6 +14,7 @@ from gainsay.functions.text import html_escape, iso_timestamp
 from gainsay.functions.time import timestamp_to_filetime, utc
 from gainsay.functions.prefetch import filename_hash_matches, hash_hex
 from gainsay.functions.mft import timestamp_anomalies
+from gainsay.operators.rows import spread
 from gainsay.session import prepare
 from gainsay.sources.case import CaseTables
 
@@ -196,7 +197,7 @@ def event_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         ))
     )
     end = F.when(digit == 1, "</Sys").when(digit == 3, "</Event><Event/>").otherwise("</Event>")
-    return read(spark, sf_dir, "events").select(
+    return spread(read(spark, sf_dir, "events")).select(
         case_of("user_id").alias("case_id"),
         F.concat(F.lit("xml/user-"), F.col("user_id").cast("string")).alias("source_path"),
         F.col("event_id").alias("record_number"),
@@ -284,7 +285,7 @@ def mft_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("00" * (SLOT_BYTES // 2 - 2)), tail,
     )
     return (
-        read(spark, sf_dir, "orders")
+        spread(read(spark, sf_dir, "orders"))
         .withColumn("_kind", F.col("o_orderkey") % 16)
         .withColumn("_named", timestamp_to_filetime(utc(F.col("o_orderdate"))))
         .withColumn("_name", F.concat(F.lit("ordre-é-"), F.col("o_orderkey").cast("string")))
