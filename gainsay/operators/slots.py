@@ -2,7 +2,7 @@
 
 The byte work (sector tails, attribute list) has no Spark expression, so it runs in one Arrow step
 that treats a whole batch of slots as a byte matrix. What the fields mean (the preferred name,
-anomalies, unused slots, failure split) stays in Spark expressions around that step.
+anomalies, failure split) stays in Spark expressions around that step.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from gainsay.functions.time import EPOCH_OFFSET_MICROS, LAST_FILETIME
 
 # Byte layout of a file record.
 SECTOR_BYTES = 512
+RECORD, CORRUPT = b"FILE", b"BAAD"
 STANDARD_INFORMATION = 0x10
 FILE_NAME = 0x30
 END_OF_ATTRIBUTES = 0xFFFFFFFF
@@ -40,15 +41,8 @@ def decode(slots: DataFrame, tolerance: timedelta = TOLERANCE) -> DataFrame:
 
     Slots that were never in use (all zero) give neither a record nor a failure.
     """
-    signature = F.substring("raw", 1, 4)
-    unused = (signature == F.lit(b"\0\0\0\0")) & F.hex("raw").rlike("^0*$")
-    reason = F.when(signature == F.lit(b"BAAD"), "marked corrupt by the file system").when(
-        signature != F.lit(b"FILE"), "unknown signature"
-    )
-    decoded = (
-        slots.filter(F.col("raw").isNotNull() & ~unused)
-        .select("case_id", "source_path", "record_number", "raw", reason.alias("reason"))
-        .mapInArrow(_decode_batches, _DECODED)
+    decoded = slots.select("case_id", "source_path", "record_number", "raw").mapInArrow(
+        _decode_batches, _DECODED
     )
     return (
         decoded.withColumn("_best", preferred_name(F.col("names")))
@@ -231,12 +225,23 @@ def _names_array(total: int, names: list[tuple[np.ndarray, ...]]) -> pa.ListArra
     return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), items)
 
 
+def _signatures(slots: _Slots) -> np.ndarray:
+    """Reasons by signature; None where the slot may be read on."""
+    found = slots.bytes[:, :4]
+    reasons = np.full(len(found), "unknown signature", dtype=object)
+    reasons[(found == np.frombuffer(CORRUPT, np.uint8)).all(axis=1)] = "marked corrupt by the file system"
+    reasons[(found == np.frombuffer(RECORD, np.uint8)).all(axis=1)] = None
+    return reasons
+
+
 def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        raw = batch.column("raw").to_pylist()
+        batch = batch.filter(pa.array([any(r or b"") for r in raw], pa.bool_()))
         if not batch.num_rows:
             continue
         slots = _Slots(batch.column("raw").to_pylist())
-        reasons = np.array(batch.column("reason").to_pylist(), dtype=object)
+        reasons = _signatures(slots)
         _restore_sector_tails(slots, reasons)
         every = np.arange(len(reasons))
         flags = slots.small(every, 22, 2)
