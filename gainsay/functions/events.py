@@ -80,8 +80,9 @@ def decode(rows: DataFrame, xml: str = "raw_xml") -> DataFrame:
     """Event fields for each XML row, plus ``reason`` where the row cannot be used."""
     body = F.regexp_replace(F.col(xml), r"(?s)^\s*<\?xml.*?\?>", "")
     wrapped = F.concat(F.lit(f"<{_WRAPPER}>"), body, F.lit(f"</{_WRAPPER}>"))
+    # Unlike a plain column, an exploded one is not parsed again for each filter placed on it.
     parsed = rows.withColumn("_wrapped", wrapped).withColumn(
-        "_doc", F.from_xml("_wrapped", _DOCUMENT, _OPTIONS)
+        "_doc", F.explode(F.array(F.from_xml("_wrapped", _DOCUMENT, _OPTIONS)))
     )
     doc = F.col("_doc")
     event = F.get(doc["Event"], 0)
