@@ -1,4 +1,4 @@
-"""Running rules: one lazy union, or one materialised step per rule with failures kept apart."""
+"""Running rules: one union of all, or one materialised step per rule with failures kept apart."""
 
 from __future__ import annotations
 
@@ -36,14 +36,16 @@ FAILURES = struct(rule_name=STRING, error=STRING)
 def run(
     tables: CaseTables, rules: Iterable[Rule] | None = None, ordered: bool = True
 ) -> DataFrame:
-    """Findings of all rules as one lazy plan, highest severity first.
+    """Findings of all rules, highest severity first.
 
-    None means the default rules, an empty list means none. A failing rule fails the query; use
-    ``run_isolated`` to keep the others.
+    None means the default rules, an empty list means none. A failing rule fails the whole; use
+    ``run_isolated`` to keep the others. Unordered findings are one lazy plan. A sort reads its
+    input twice, so ordered ones are written to the checkpoint folder first rather than found twice.
     """
     chosen = DEFAULT_RULES if rules is None else tuple(rules)
     parts = [_evaluate(rule, place, tables) for place, rule in enumerate(chosen)]
-    return _union(tables.events.sparkSession, parts, ordered)
+    found = _union(tables.events.sparkSession, parts, ordered=False)
+    return by_severity(checkpointed(found)) if ordered and parts else found
 
 
 def run_isolated(

@@ -27,6 +27,7 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **SETTINGS,
         **conf,
     }
