@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gainsay.functions import prefetch, registry
 from gainsay.functions.mft import namespace_rank, timestamp_anomalies
@@ -26,13 +26,19 @@ from gainsay.workload.catalog import (
     query,
 )
 
+def _text(column: str, name: str | None = None) -> Column:
+    """Nullable values as text, timestamps by their microseconds; NULL looks the same everywhere."""
+    value = F.unix_micros(column) if name else F.col(column)
+    return value.cast("string").alias(name or column)
+
+
 # --- event XML ---------------------------------------------------------------------------------
 
 
 @query("""
 SELECT 'case-' || (user_id % 4) AS case_id, event_id AS record_number,
-       CASE WHEN d = 4 THEN NULL ELSE user_id END AS event_id,
-       CASE WHEN d = 5 THEN NULL ELSE epoch_us(ts) END AS micros,
+       CASE WHEN d = 4 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS event_id,
+       CASE WHEN d = 5 THEN NULL ELSE CAST(epoch_us(ts) AS VARCHAR) END AS micros,
        CASE WHEN d = 6 THEN NULL ELSE event_type END AS provider_name,
        'HOST-' || user_id AS computer_name, CAST(NULL AS VARCHAR) AS channel,
        CAST(4 AS BIGINT) AS level,
@@ -43,7 +49,7 @@ FROM (SELECT *, event_id % 10 AS d FROM events) WHERE d NOT IN (1, 2, 3)
 def event_xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = case.events_from_xml(standins.event_xml(spark, sf_dir))
     return records.select(
-        "case_id", "record_number", "event_id", F.unix_micros("timestamp").alias("micros"),
+        "case_id", "record_number", _text("event_id"), _text("timestamp", "micros"),
         "provider_name", "computer_name", "channel", "level", "message",
     )
 
@@ -224,12 +230,12 @@ def subkey_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- prefetch ----------------------------------------------------------------------------------
 
 
-@query(f"SELECT c_custkey, file_name, filename_hash_matches AS matches FROM ({PREFETCH_FILES_SQL})")
+@query(f"SELECT c_custkey, file_name, CAST(filename_hash_matches AS VARCHAR) AS matches FROM ({PREFETCH_FILES_SQL})")
 def filename_hash_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standins.prefetch_files(spark, sf_dir).select(
         F.conv("prefetch_hash", 16, 10).cast("bigint").alias("c_custkey"),
         basename(F.col("source_path")).alias("file_name"),
-        F.col("filename_hash_matches").alias("matches"),
+        F.col("filename_hash_matches").cast("string").alias("matches"),
     )
 
 
@@ -304,9 +310,9 @@ def _raw_prefetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT c_name AS executable_name,
        CASE WHEN c_custkey % 5 > 1 THEN upper(printf('%08x', c_custkey)) END AS prefetch_hash,
-       CASE WHEN c_custkey % 5 > 1 THEN true END AS matches,
-       CASE WHEN c_custkey % 6 > 0 THEN 30 END AS format_version,
-       CASE WHEN c_custkey % 7 > 0 THEN c_custkey END AS run_count,
+       CASE WHEN c_custkey % 5 > 1 THEN 'true' END AS matches,
+       CASE WHEN c_custkey % 6 > 0 THEN '30' END AS format_version,
+       CASE WHEN c_custkey % 7 > 0 THEN CAST(c_custkey AS VARCHAR) END AS run_count,
        c_name || ',' || c_mktsegment AS filenames,
        CAST(CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS volume_count,
        upper(printf('%08x', c_custkey)) AS serial
@@ -315,8 +321,9 @@ FROM customer
 def prefetch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = case.prefetch_from_rows(_raw_prefetch(spark, sf_dir))
     return records.select(
-        "executable_name", "prefetch_hash", F.col("filename_hash_matches").alias("matches"),
-        "format_version", "run_count", F.array_join("referenced_filenames", ",").alias("filenames"),
+        "executable_name", "prefetch_hash",
+        F.col("filename_hash_matches").cast("string").alias("matches"),
+        _text("format_version"), _text("run_count"), F.array_join("referenced_filenames", ",").alias("filenames"),
         F.size("volumes").alias("volume_count"),
         F.get("volumes", F.lit(0))["serial_number"].alias("serial"),
     )
@@ -403,10 +410,10 @@ def preferred_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT record_number, record_number AS embedded_record_number, is_allocated, is_directory,
        CASE WHEN k <> 7 THEN 'ordre-é-' || record_number END AS filename,
-       CASE WHEN k <> 7 THEN o_custkey END AS parent_record_number,
-       CASE WHEN k <> 6 THEN us - (o_custkey % 3) * 86400000000 END AS created,
-       CASE WHEN k NOT IN (5, 6) THEN us - 1000000 END AS changed,
-       CASE WHEN k <> 7 THEN us END AS named,
+       CASE WHEN k <> 7 THEN CAST(o_custkey AS VARCHAR) END AS parent_record_number,
+       CASE WHEN k <> 6 THEN CAST(us - (o_custkey % 3) * 86400000000 AS VARCHAR) END AS created,
+       CASE WHEN k NOT IN (5, 6) THEN CAST(us - 1000000 AS VARCHAR) END AS changed,
+       CASE WHEN k <> 7 THEN CAST(us AS VARCHAR) END AS named,
        CASE WHEN k IN (6, 7) THEN '' WHEN o_custkey % 3 = 0 THEN 'access_time'
             ELSE 'creation_time,access_time' END AS anomalies
 FROM (SELECT o_orderkey AS record_number, o_orderkey % 16 AS k, o_custkey, epoch_us(o_orderdate) AS us,
@@ -417,10 +424,10 @@ def mft_slot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = case.mft_from_slots(standins.mft_slots(spark, sf_dir))
     return records.select(
         "record_number", "embedded_record_number", "is_allocated", "is_directory", "filename",
-        "parent_record_number",
-        F.unix_micros("standard_information.creation_time").alias("created"),
-        F.unix_micros("standard_information.mft_modification_time").alias("changed"),
-        F.unix_micros("file_name_information.creation_time").alias("named"),
+        _text("parent_record_number"),
+        _text("standard_information.creation_time", "created"),
+        _text("standard_information.mft_modification_time", "changed"),
+        _text("file_name_information.creation_time", "named"),
         F.array_join("timestamp_anomalies", ",").alias("anomalies"),
     )
 
