@@ -6,6 +6,7 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as contract
+from gainsay.workload.catalog import ORACLE, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -18,14 +19,16 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry(spark):
     assert contract.entry(spark).limit(1).count() == 1
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    _, problem = compare(spark, duck, SF_DIR, contract.queries()[name], contract.oracle_sql()[name])
+    _, problem = compare(spark, duck, SF_DIR, QUERIES[name], ORACLE[name])
     assert problem is None
