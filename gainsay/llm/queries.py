@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gainsay.llm import packing
-from gainsay.llm.common import read
+from gainsay.llm import chat, containment, packing, probminhash, records, vafile
+from gainsay.llm.common import read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,3 +35,108 @@ def digest_pieces(pieces: DataFrame) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
         "offset", "sequence_tokens", "step_group",
     )
+
+
+@query()
+def op5_length_delimited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "records")
+    records.write_records(read(spark, sf_dir, "documents"), folder)
+    return records.read_records(spark, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query("""
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+""")
+def op3_vector_approximation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vafile.whole_vectors(read(spark, sf_dir, "embeddings"))
+    found = vafile.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+# A conversation that is nothing but control strings.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@query(r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text))
+         AS loss_sha256,
+       CAST(sum(length('<|im_start|>') + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n'))
+                + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_end|>') + 1)
+            AS BIGINT) AS formatted_chars,
+       CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS n_examples
+FROM turns GROUP BY conv_id
+""")
+def op8_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise(chat.ASSISTANT).alias("role"),
+        F.lit(CONTROL).alias("text"),
+    )
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    back = chat.parsed(chat.segments(turns.unionByName(control)))
+    whole = back.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_turns"),
+        F.array_sort(F.collect_list(F.struct("position", "role", "text", "loss"))).alias("turns"),
+        F.sum("chars").cast("bigint").alias("formatted_chars"),
+        F.count("loss").alias("n_examples"),
+    )
+    line = F.lit("\n")
+    said = F.transform("turns", lambda t: F.concat(t["role"], line, t["text"], line))
+    trained = F.array_join("turns.loss", "")
+    return whole.select(
+        "conv_id",
+        "n_turns",
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length(trained).cast("bigint").alias("loss_chars"),
+        F.sha2(trained, 256).alias("loss_sha256"),
+        "formatted_chars",
+        "n_examples",
+    )
+
+
+@query()
+def op4_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = probminhash.near_copies(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
+
+
+_SHINGLES_SQL = r"""
+  SELECT DISTINCT id, list_aggregate(words[i : least(i + 4, len(words))], 'string_agg', ' ') AS shingle
+  FROM (SELECT id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i
+        FROM (SELECT id, list_filter(string_split_regex(lower(text), '[ \t\n\r\v\f]+'), lambda w: w <> '') AS words
+              FROM ({source})) WHERE len(words) > 0)
+"""
+
+
+@query(f"""
+WITH d AS ({_SHINGLES_SQL.format(source="SELECT doc_id AS id, coalesce(text, '') AS text FROM documents")}),
+     b AS ({_SHINGLES_SQL.format(source="SELECT item_id AS id, coalesce(text, '') AS text FROM benchmark")}),
+     n AS (SELECT id, count(*) AS item_shingles FROM b GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, count(*) / CAST(any_value(n.item_shingles) AS DOUBLE) AS containment,
+       any_value(n.item_shingles) AS item_shingles
+FROM d JOIN b ON d.shingle = b.shingle JOIN n ON n.id = b.id
+GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n.item_shingles)
+""")
+def op7_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
