@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gainsay.llm import chat, containment, packing, probminhash, records, vafile
+from gainsay.llm import chat, containment, packing, probminhash, records, toxicity, vafile
 from gainsay.llm.common import read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,3 +140,8 @@ GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n.item_shingles)
 """)
 def op7_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op10_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -34,11 +34,12 @@ def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < size:
         size = 1 << max(size - 1, 1).bit_length()
-        inverse = pow(_BASE, -1, 1 << 64)
-        _powers = tuple(
-            np.cumprod(np.concatenate([[1], np.full(size - 1, b)]).astype(np.uint64), dtype=np.uint64)
-            for b in (_BASE, inverse)
-        )
+        tables = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(size, base, dtype=np.uint64)
+            steps[0] = 1
+            tables.append(np.cumprod(steps, dtype=np.uint64))
+        _powers = tuple(tables)
     return _powers
 
 
@@ -49,19 +50,33 @@ def lowered(text: bytes) -> bytes:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of all texts, and the position of each text's first word (one more at the end)."""
+    hashes, first, _ = prefix_hashes(texts, _SPACE, ())
+    return hashes, first
+
+
+def prefix_hashes(
+    texts: list[bytes], separators: np.ndarray, lengths: tuple[int, ...]
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Like ``word_hashes`` for words between any ``separators`` (of all byte values), and the hashes of the
+    first so many bytes of every word; where a word is not longer, of the whole word. In lower case."""
+    texts = [lowered(text) for text in texts]
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    text_starts = np.concatenate([[0], np.cumsum(lengths + 1)])
-    space = _SPACE[data]
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    text_starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+    space = separators[data]
     before = np.concatenate([[True], space[:-1]])
     starts = np.flatnonzero(~space & before)
     ends = np.flatnonzero(space & ~before)
     power, inverse = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * inverse[starts]
-    hashes = mix(hashes ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
-    return hashes, np.searchsorted(starts, text_starts)
+
+    def between(stops: np.ndarray) -> np.ndarray:
+        value = (sums[stops] - sums[starts]) * inverse[starts]
+        return mix(value ^ ((stops - starts).astype(np.uint64) << np.uint64(56)))
+
+    prefixes = [between(np.minimum(ends, starts + length)) for length in lengths]
+    return between(ends), np.searchsorted(starts, text_starts), prefixes
 
 
 def shingle_hashes(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
