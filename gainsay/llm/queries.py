@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gainsay.llm import chat, containment, packing, probminhash, records, toxicity, vafile
+from gainsay.llm import chat, containment, packing, probminhash, records, secrets, spans, toxicity, vafile
 from gainsay.llm.common import read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,18 @@ def op7_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query()
+def op1_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    base, kinds = spans.base_only(F.col("spans")), secrets.KINDS
+    said = lambda v: F.size(F.filter("spans", lambda s: s["verdict"] == v)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[spans.count(F.col("spans"), kind).alias(f"n_{kind}") for kind in kinds],
+        F.sha2(spans.joined(base, kinds), 256).alias("base_sha256"),
+        spans.joined(F.col("spans"), kinds).alias("spans"),
+        said("owned").alias("n_owned"),
+        said("copied").alias("n_copied"),
+    )
