@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gainsay.llm import chat, containment, packing, probminhash, records, secrets, spans, toxicity, vafile
+from gainsay.llm import chat, containment, packing, pii, probminhash, records, secrets, spans, toxicity, vafile
 from gainsay.llm.common import read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,3 +160,15 @@ def op1_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         said("owned").alias("n_owned"),
         said("copied").alias("n_copied"),
     )
+
+
+@query()
+def op9_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    base, kinds = spans.base_only(F.col("spans")), pii.KINDS
+    return found.select(
+        "doc_id",
+        *[spans.count(F.col("spans"), kind).alias(f"n_{kind}") for kind in kinds],
+        F.sha2(spans.joined(base, kinds), 256).alias("base_sha256"),
+        spans.joined(F.col("spans"), kinds).alias("spans"),
+    )
