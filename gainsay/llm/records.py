@@ -2,7 +2,8 @@
 
 A record file is a row of frames: length of the payload (unsigned 64 bit), masked CRC-32C of that
 length, payload, masked CRC-32C of the payload; all numbers little-endian. A payload is one document:
-1 or 0 (is there a doc_id), the doc_id, and its ids as unsigned 32-bit integers. Beside every record
+1 or 0 (is there a doc_id), the bytes per id, the doc_id, and its ids as unsigned integers of two bytes
+where the vocabulary fits in them, else of four. Beside every record
 file lies an index: per frame its offset, its size, the number of ids before it in the file, and its
 number of ids.
 
@@ -32,7 +33,7 @@ END_ID = 1
 READ_BYTES = 4 << 20
 
 _HEAD = struct.Struct("<QI")
-_ID = struct.Struct("<qq")
+_ID = struct.Struct("<iiq")
 _INDEX = np.dtype([("offset", "<u8"), ("size", "<u8"), ("start", "<u8"), ("ids", "<u8")])
 _FILE = "part bigint, name string, documents bigint, ids bigint"
 RECORD = pa.schema([
@@ -45,8 +46,15 @@ class BadRecord(ValueError):
     """A frame whose length, checksum or index does not fit."""
 
 
-def _payload(doc_id: int | None, ids: bytes) -> bytes:
-    return _ID.pack(doc_id is not None, doc_id or 0) + ids
+def payload(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
+    return _ID.pack(doc_id is not None, width, doc_id or 0) + ids.astype(f"<u{width}").tobytes()
+
+
+def document(payload: bytes) -> tuple[int | None, bytes]:
+    """The doc_id, and the ids as unsigned 32-bit integers."""
+    there, width, doc_id = _ID.unpack_from(payload)
+    ids = np.frombuffer(payload, dtype=f"<u{width}", offset=_ID.size).astype("<u4")
+    return doc_id if there else None, ids.tobytes()
 
 
 def _filesystem(folder: str):
@@ -102,7 +110,7 @@ def write_records(
     path, end = tokenizer or default_path(), end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode, width = encoder(path).encode, 2 if max(encoder(path).largest_id, end_id) < 1 << 16 else 4
         system, root = _filesystem(folder)
         system.create_dir(root, recursive=True)
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
@@ -115,7 +123,8 @@ def write_records(
                         index = system.open_output_stream(f"{root}/{name}.index")
                     encoded = [ids + end for ids in encode(raw(part.column("text")))]
                     doc_ids = part.column("doc_id").to_pylist()
-                    framed = frames([_payload(i, ids) for i, ids in zip(doc_ids, encoded)])
+                    arrays = [np.frombuffer(ids, dtype="<u4") for ids in encoded]
+                    framed = frames([payload(i, ids, width) for i, ids in zip(doc_ids, arrays)])
                     entries = np.zeros(len(framed), dtype=_INDEX)
                     entries["size"] = [len(f) for f in framed]
                     entries["ids"] = [len(ids) // 4 for ids in encoded]
@@ -161,10 +170,10 @@ def _records(data: bytes, starts: list[int]) -> pa.RecordBatch:
     found = payloads(data)
     if len(found) != len(starts):
         raise BadRecord("index and records differ")
-    ids = [p[_ID.size :] for p in found]
-    keys = [_ID.unpack_from(p) for p in found]
+    documents = [document(p) for p in found]
+    ids = [i for _, i in documents]
     return pa.RecordBatch.from_arrays([
-        pa.array([key if there else None for there, key in keys], type=pa.int64()),
+        pa.array([key for key, _ in documents], type=pa.int64()),
         pa.array(starts, type=pa.int64()),
         pa.array([len(i) // 4 for i in ids], type=pa.int64()),
         pa.array(ids, type=pa.binary()),

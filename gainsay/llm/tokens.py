@@ -9,6 +9,8 @@ the frequent words.
 from __future__ import annotations
 
 import os
+import struct
+import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
@@ -20,6 +22,21 @@ _MARK = b"~"
 _BETWEEN = b" ~ "
 _TOGETHER = 32
 
+# Words on which the shorter way must give the tokenizer's ids, else it is not taken.
+_PROBES = [w.encode() for w in ("The", "understanding", "straße", "Übung", "niño", "ÉTÉ", "слово", "thndhain")]
+# Its lower case depends on its place in a word.
+_FINAL = "Σ"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level models use for every byte: its own, or one from 256 up."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [byte for byte in range(256) if byte not in printable]
+    return {byte: chr(byte) for byte in printable} | {byte: chr(256 + i) for i, byte in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -45,8 +62,11 @@ class Encoder:
         self._limit = generation_words
         mark = self._tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
         self._mark = mark[0] if len(mark) == 1 else None
+        self.largest_id = max(self._tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
+        self._model = self._tokenizer.model
+        self._direct = self._agrees()
 
     def encode(self, texts: Sequence[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -64,18 +84,57 @@ class Encoder:
         """Ids of new words, from the last generation or from the tokenizer."""
         if len(self._young) + len(new) > self._limit:
             self._old, self._young = self._young, {}
+        young = self._young
         known = new & self._old.keys()
-        self._young.update((word, self._old[word]) for word in known)
-        fresh = list(new - known)
+        young.update((word, self._old[word]) for word in known)
+        rest = []
+        for word in new - known:
+            ids = self._letters(word) if self._direct else None
+            if ids is None:
+                rest.append(word)
+            else:
+                young[word] = ids
         # Several words at a time with a mark between them are faster than a call for each.
-        plain = [word for word in fresh if _MARK not in word] if self._mark is not None else []
+        plain = [word for word in rest if _MARK not in word] if self._mark is not None else []
         groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
-        groups += [[word] for word in fresh if self._mark is None or _MARK in word]
-        texts = [_BETWEEN.join(group).decode("utf-8", "replace") for group in groups]
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        for group, encoded in zip(groups, found):
-            ids = np.array(encoded.ids, dtype="<u4")
+        groups += [[word] for word in rest if self._mark is None or _MARK in word]
+        for group, ids in zip(groups, self._whole([_BETWEEN.join(group) for group in groups])):
             cuts = (4 * np.flatnonzero(ids == self._mark)).tolist() if len(group) > 1 else []
-            whole = ids.tobytes()
-            starts, ends = [0, *(cut + 4 for cut in cuts)], [*cuts, len(whole)]
-            self._young.update(zip(group, (whole[a:b] for a, b in zip(starts, ends))))
+            flat = ids.tobytes()
+            starts, ends = [0, *(cut + 4 for cut in cuts)], [*cuts, len(flat)]
+            young.update(zip(group, (flat[a:b] for a, b in zip(starts, ends))))
+
+    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        plain = [text.decode("utf-8", "replace") for text in texts]
+        found = self._tokenizer.encode_batch_fast(plain, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4") for e in found]
+
+    def _letters(self, word: bytes) -> bytes | None:
+        """Ids of a word that is nothing but letters and perhaps a full stop or comma at its end, else None.
+
+        Such a word is one piece for the tokenizer's model, in lower case, and the mark is a piece of its own.
+        """
+        core, end = (word[:-1], word[-1:]) if word.endswith((b".", b",")) else (word, b"")
+        if core.isalpha():
+            core = core.lower()
+        else:
+            text = core.decode("utf-8", "replace")
+            if core.isascii() or not text.isalpha() or _FINAL in text:
+                return None
+            text = unicodedata.normalize("NFC", text).lower()
+            if not text.isalpha():
+                return None
+            core = text.encode()
+        ids = self._young.get(core)
+        if ids is None:
+            found = self._model.tokenize(core.decode("latin-1").translate(_BYTE_LETTERS))
+            ids = struct.pack(f"<{len(found)}I", *[token.id for token in found])
+            self._young[core] = ids
+        return ids + self._ends[end]
+
+    def _agrees(self) -> bool:
+        """Whether the shorter way of ``_letters`` gives the tokenizer's own ids."""
+        words = [word + end for word in _PROBES for end in (b"", b".", b",")]
+        self._ends = {end: ids.tobytes() for end, ids in zip((b"", b".", b","), self._whole([b"", b".", b","]))}
+        whole = [ids.tobytes() for ids in self._whole(words)]
+        return [self._letters(word) for word in words] == whole
