@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gainsay.llm import chat, containment, packing, pii, probminhash, records, secrets, spans, toxicity, vafile
+from gainsay.llm import chat, containment, packing, pii, probminhash, quality, records, secrets, spans, toxicity, vafile
 from gainsay.llm.common import read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,3 +172,8 @@ def op9_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spans.joined(base, kinds), 256).alias("base_sha256"),
         spans.joined(F.col("spans"), kinds).alias("spans"),
     )
+
+
+@query()
+def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read(spark, sf_dir, "documents"))

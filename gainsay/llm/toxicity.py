@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gainsay.llm.common import raw, slices, staged, texts
+from gainsay.llm.common import raw, slices, staged, texts, thinned
 from gainsay.llm.shingles import mix, prefix_hashes, shingle_hashes
 from gainsay.llm.weak import LabelModel, Linear, decode, encode, fit, train
 
@@ -99,7 +99,7 @@ def _compiled() -> list[re.Pattern[bytes]]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """Texts and labels of at most ``per_class`` distinct labelled rows of each class, none of them held out.
+    """Texts and labels of about ``per_class`` labelled rows of each class (at most twice as many), none held out.
 
     A document with differing labels counts as toxic. Which rows are taken depends on the id alone.
     """
@@ -108,11 +108,15 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
         .groupBy(F.col("doc_id").cast("bigint").alias("labelled_id"))
         .agg(F.max("toxic").alias("toxic"))
     )
+    known = staged(known, "labelled")
+    totals = {row["toxic"]: row["n"] for row in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = [
-        known.filter(F.col("toxic") == label).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(per_class)
+        thinned(known.filter(F.col("toxic") == label), ["labelled_id"], per_class, totals.get(label, 0)).limit(
+            2 * per_class
+        )
         for label in (0, 1)
-    ]
-    # At most 2 * per_class rows of two numbers: a proven bound.
+    ]
+    # At most 4 * per_class rows of two numbers: a proven bound.
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))
     rows = docs.join(picked, docs.doc_id == picked.labelled_id)
     return rows.groupBy(F.md5("text").alias("md5")).agg(
