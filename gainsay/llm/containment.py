@@ -158,24 +158,62 @@ def contained(
             index = Index(block, width)
             for batch in batches:
                 for part in slices(batch, "text"):
-                    yield _search(index, part, threshold, width)
+                    yield _pairs(index, part, threshold, width)
 
         selected = texts(docs, doc_id, text)
         return selected.select(selected.doc_id.cast("bigint"), "text").mapInArrow(run, _FOUND)
 
-    wanted = items.select(
-        F.col(item_id).cast("bigint").alias("item_id"),
-        F.coalesce(F.col(item_text), F.lit("")).alias("text"),
-    )
-    rows = ((row["item_id"], row["text"]) for row in wanted.toLocalIterator())
-    found = [staged(found_in(block), "contained") for block in item_blocks(rows, block_shingles)]
+    blocks = item_blocks(_items(items, item_id, item_text), block_shingles)
+    found = [staged(found_in(block), "contained") for block in blocks]
     if not found:
         return docs.sparkSession.createDataFrame([], _FOUND)
     return reduce(DataFrame.unionAll, found)
 
 
-def _search(index: Index, part: pa.RecordBatch, threshold: float, width: int) -> pa.RecordBatch:
-    plain = raw(part.column("text"))
+def without_items(
+    docs: DataFrame,
+    items: DataFrame,
+    *,
+    threshold: float = THRESHOLD,
+    width: int = WIDTH,
+    block_shingles: int = BLOCK_SHINGLES,
+    text: str = "text",
+    item_text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold less than ``threshold`` of every item (see ``contained``)."""
+
+    def clean_of(rows: DataFrame, block: list[Item]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(block, width)
+            for batch in batches:
+                place = batch.schema.get_field_index(text)
+                for part in slices(batch, text):
+                    plain = [t or b"" for t in raw(part.column(place))]
+                    keep = np.ones(len(plain), dtype=bool)
+                    keep[[row for row, *_ in _matches(index, plain, threshold, width)]] = False
+                    yield part.filter(pa.array(keep))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    rest = docs
+    blocks = item_blocks(_items(items, None, item_text), block_shingles)
+    for n, block in enumerate(blocks):
+        rest = clean_of(staged(rest, "clean") if n else rest, block)
+    return rest
+
+
+def _items(items: DataFrame, item_id: str | None, item_text: str) -> Iterator[Item]:
+    key = F.col(item_id) if item_id else F.lit(None)
+    wanted = items.select(
+        key.cast("bigint").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")
+    )
+    return ((row["item_id"], row["text"]) for row in wanted.toLocalIterator())
+
+
+def _matches(
+    index: Index, plain: list[bytes], threshold: float, width: int
+) -> Iterator[tuple[int, int, float, int]]:
+    """Text number, item number, containment and number of item shingles of every verified pair."""
     text_of, hashes = shingle_hashes(plain, width)
     ids = hashes >> np.uint64(64 - ID_BITS)
     first = np.searchsorted(text_of, np.arange(len(plain) + 1))
@@ -183,15 +221,21 @@ def _search(index: Index, part: pa.RecordBatch, threshold: float, width: int) ->
     for size_class in index.classes:
         for text, item in size_class.candidates(ids, text_of, first):
             wanted[text].add(item)
-    doc_ids = part.column("doc_id")
-    rows = []
     for text in sorted(wanted):
         whole = word_shingles(plain[text].decode("utf-8", "replace"), width)
         for item in sorted(wanted[text]):
             exact = index.exact[item]
             share = len(exact & whole) / len(exact)
             if share >= threshold:
-                rows.append((doc_ids[text].as_py(), index.item_ids[item], share, len(exact)))
+                yield text, item, share, len(exact)
+
+
+def _pairs(index: Index, part: pa.RecordBatch, threshold: float, width: int) -> pa.RecordBatch:
+    doc_ids = part.column("doc_id")
+    rows = [
+        (doc_ids[text].as_py(), index.item_ids[item], share, number)
+        for text, item, share, number in _matches(index, raw(part.column("text")), threshold, width)
+    ]
     names = ["doc_id", "item_id", "containment", "item_shingles"]
     types = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
     columns = list(zip(*rows)) or [[]] * 4

@@ -257,3 +257,21 @@ def score(
 
     keyed = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return keyed.mapInArrow(run, _SCORED)
+
+
+def without_toxic(
+    docs: DataFrame, labels: DataFrame, *, cut: float = CUT, text: str = "text", doc_id: str = "doc_id", **options
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score (see ``score``) is below ``cut``."""
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic")
+    rows = texts(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    scorer = learn(rows, known, **options).scorer
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index(text)
+            for part in slices(batch, text):
+                plain = [t or b"" for t in raw(part.column(place))]
+                yield part.filter(pa.array(scorer.score(len(plain), *features(plain)) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
