@@ -2,7 +2,8 @@
 
 Heuristic labellers look at the form of a text (repetition, capitals, symbols, lengths, ...) and vote good,
 bad, or nothing. Their vote patterns are counted over the whole corpus; expectation-maximisation finds
-from the counts alone how accurate each labeller is and which say the same thing. The posterior labels
+from the counts alone how accurate each labeller is and which say the same thing, with a class for good
+texts and one for every kind of fault. The posterior labels
 of a bounded sample train a linear scorer over hashed features (measures in steps, shapes of words and
 their shares), which scores every document. No human labels are read.
 """
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from gainsay.llm.common import raw, slices, texts, thinned
 from gainsay.llm.shingles import mix, word_hashes
-from gainsay.llm.weak import LabelModel, Linear, decode, encode, fit, train
+from gainsay.llm.weak import LabelModel, Linear, decode, encode, fit, one_class_per_fault, train
 
 SAMPLE = 10_000
-CUT = 0.9
+CUT = 0.5
 
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
@@ -123,11 +124,12 @@ def measures(plain: list[bytes]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarr
 
 
 def votes(table: np.ndarray) -> np.ndarray:
+    """1 for bad, 0 for good, -1 for neither."""
     out = np.full(table.shape, -1, dtype=np.int8)
     for j, (bad, good) in enumerate(LABELLERS.values()):
         rising = bad > good
-        out[table[:, j] <= good if rising else table[:, j] >= good, j] = 1
-        out[table[:, j] >= bad if rising else table[:, j] <= bad, j] = 0
+        out[table[:, j] <= good if rising else table[:, j] >= good, j] = 0
+        out[table[:, j] >= bad if rising else table[:, j] <= bad, j] = 1
     return out
 
 
@@ -186,13 +188,11 @@ def learn(docs: DataFrame, *, sample: int = SAMPLE) -> tuple[LabelModel, Linear]
     )
     seen = decode(patterns["code"].to_numpy(dtype=np.int64), labellers)
     number = patterns["n"].to_numpy(dtype=float)
-    said = np.maximum((seen >= 0).sum(axis=1), 1)
-    start = np.where((seen == 0).any(axis=1), 0.15, 0.5 + 0.45 * (seen == 1).sum(axis=1) / said)
-    model = fit(seen, number, start)
+    model = fit(seen, number, one_class_per_fault)
     chosen = thinned(docs, ["doc_id", "text"], sample, int(number.sum())).limit(2 * sample)
     known = chosen.select("text").mapInArrow(describe, "code bigint, features array<bigint>").toPandas()
     known = known.sort_values("code", kind="stable")
-    posterior = model.posterior(decode(known["code"].to_numpy(dtype=np.int64), labellers))
+    posterior = 1 - model.posterior(decode(known["code"].to_numpy(dtype=np.int64), labellers))
     rows = [np.array(r, dtype=np.int64).view(np.uint64) for r in known["features"]]
     every = np.unique(np.concatenate(rows)) if rows else np.zeros(0, dtype=np.uint64)
     return model, train(rows, posterior, every)
@@ -215,7 +215,7 @@ def score(
                 table, words = measures(raw(part.column("text")))
                 found = scorer.score(len(table), *features(table, words))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(found), pa.array(model.posterior(votes(table))),
+                    part.column("doc_id"), pa.array(found), pa.array(1 - model.posterior(votes(table))),
                     pa.array(found >= cut),
                 ], names=["doc_id", "score", "posterior", "keep"])
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gainsay.llm.common import raw, slices, staged, texts, thinned
 from gainsay.llm.shingles import mix, prefix_hashes, shingle_hashes
-from gainsay.llm.weak import LabelModel, Linear, decode, encode, fit, train
+from gainsay.llm.weak import LabelModel, Linear, decode, encode, fit, train, two
 
 SAMPLE_PER_CLASS = 4096
 CUT = 0.7
@@ -180,6 +180,11 @@ class Model:
     scorer: Linear
 
 
+def _any_voter(votes: np.ndarray, groups: list[tuple[int, ...]]) -> np.ndarray:
+    """A first guess: toxic is what any voter calls so."""
+    return two((votes == 1).any(axis=1) * 0.8 + 0.1)
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
@@ -216,10 +221,9 @@ def learn(
 
     known = featured.orderBy("md5").mapInArrow(entries, "toxic int, code bigint, entries array<bigint>").toPandas()
     votes = decode(patterns["code"].to_numpy(dtype=np.int64), voters.number)
-    start = (votes == 1).any(axis=1).astype(float) * 0.8 + 0.1
     anchors = decode(known["code"].to_numpy(dtype=np.int64), voters.number)
     label_model = fit(
-        votes, patterns["n"].to_numpy(dtype=float), start,
+        votes, patterns["n"].to_numpy(dtype=float), _any_voter,
         anchors=(anchors, known["toxic"].to_numpy()) if len(known) else None,
     )
     posterior = label_model.posterior(anchors) if len(known) else np.zeros(0)

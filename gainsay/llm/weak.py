@@ -1,6 +1,6 @@
 """A generative model of labellers that overlap, err and depend on each other; and a linear scorer.
 
-Every labeller votes 1, 0 or -1 (abstains). The model has a class and, given it, tables of the votes;
+Every labeller votes 1, 0 or -1 (abstains). The model has classes and, given each, tables of the votes;
 expectation-maximisation fits them to the counts of vote patterns, so its work does not grow with the
 number of rows. Labellers that still depend on each other given the class (by their conditional mutual
 information) share one joint table, and the fit is repeated: two copies of one signal then count once.
@@ -8,12 +8,13 @@ information) share one joint table, and the fit is repeated: two copies of one s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 
 VALUES = 3
+Start = Callable[[np.ndarray, list[tuple[int, ...]]], np.ndarray]
 
 
 def encode(votes: np.ndarray) -> np.ndarray:
@@ -28,38 +29,40 @@ def decode(codes: np.ndarray, labellers: int) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """``groups`` of labellers with one table each: the chance of a vote combination given class 0 and 1."""
+    """``groups`` of labellers with one table each: the chance of a vote combination given each class."""
 
-    prior: float
+    prior: np.ndarray
     groups: list[tuple[int, ...]]
     tables: list[np.ndarray]
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """The chance of class 1 for every row of votes."""
-        odds = np.full(len(votes), np.log(self.prior) - np.log1p(-self.prior))
+    def chances(self, votes: np.ndarray) -> np.ndarray:
+        """The chance of every class for every row of votes."""
+        odds = np.tile(np.log(self.prior), (len(votes), 1))
         for group, table in zip(self.groups, self.tables):
-            seen = encode(votes[:, list(group)])
-            odds += np.log(table[1, seen]) - np.log(table[0, seen])
-        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+            odds += np.log(table[:, encode(votes[:, list(group)])]).T
+        odds = np.exp(odds - odds.max(axis=1, keepdims=True, initial=-np.inf))
+        return odds / odds.sum(axis=1, keepdims=True)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """The chance of not being of class 0."""
+        return 1 - self.chances(votes)[:, 0]
 
     def accuracies(self) -> dict[int, float]:
-        """How often each labeller is right when it votes."""
+        """How often each labeller is right when it votes: 0 for class 0, 1 for any other."""
         out = {}
-        share = np.array([1 - self.prior, self.prior])
         for group, table in zip(self.groups, self.tables):
-            votes = decode(np.arange(table.shape[1]), len(group))
+            votes, mass = decode(np.arange(table.shape[1]), len(group)), self.prior[:, None] * table
             for place, labeller in enumerate(group):
-                mass = share[:, None] * table
-                said = [mass[:, votes[:, place] == v] for v in (0, 1)]
-                total = said[0].sum() + said[1].sum()
-                out[labeller] = float((said[0][0].sum() + said[1][1].sum()) / total) if total else 0.5
+                right = mass[0, votes[:, place] == 0].sum() + mass[1:, votes[:, place] == 1].sum()
+                total = mass[:, votes[:, place] >= 0].sum()
+                out[labeller] = float(right / total) if total else 0.5
         return out
 
 
 def fit(
     votes: np.ndarray,
     counts: np.ndarray,
-    start: np.ndarray,
+    start: Start,
     *,
     anchors: tuple[np.ndarray, np.ndarray] | None = None,
     rounds: int = 50,
@@ -69,48 +72,49 @@ def fit(
 ) -> LabelModel:
     """Fit to vote patterns with their counts.
 
-    ``start`` is a first guess of each pattern's chance of class 1. ``anchors`` are votes of rows with
-    known classes; they enter every step with those classes. Without any pattern the model is even.
+    ``start`` makes a first guess of each pattern's chances of the classes (a column for each, class 0 first)
+    from the votes and the groups of labellers: first every labeller alone, then those found to
+    depend on each other together. ``anchors`` are votes of rows with known classes; they enter every
+    step with those classes. Without any pattern the first guess alone counts.
     """
     labellers = votes.shape[1]
     if anchors is not None:
         votes = np.concatenate([votes, anchors[0]])
         counts = np.concatenate([counts, np.ones(len(anchors[0]))])
-        fixed = anchors[1].astype(float)
-        start = np.concatenate([start, fixed])
 
-    def run(groups: list[tuple[int, ...]], chance: np.ndarray) -> tuple[LabelModel, np.ndarray]:
+    def run(groups: list[tuple[int, ...]]) -> tuple[LabelModel, np.ndarray]:
+        chances = start(votes, groups).astype(float)
+        classes = chances.shape[1]
+        fixed = np.eye(classes)[anchors[1].astype(int)] if anchors is not None else chances[:0]
+        chances[len(chances) - len(fixed) :] = fixed
         seen = [encode(votes[:, list(group)]) for group in groups]
         for _ in range(rounds):
-            mass = np.stack([counts * (1 - chance), counts * chance])
-            prior = (mass[1].sum() + smoothing) / (mass.sum() + 2 * smoothing)
+            mass = chances.T * counts
+            prior = (mass.sum(axis=1) + smoothing) / (mass.sum() + classes * smoothing)
             tables = []
             for group, codes in zip(groups, seen):
                 size = VALUES ** len(group)
                 table = np.stack([np.bincount(codes, weights=m, minlength=size) for m in mass])
-                table += smoothing / size
+                table = table + smoothing / size
                 tables.append(table / table.sum(axis=1, keepdims=True))
-            model = LabelModel(float(prior), groups, tables)
-            after = model.posterior(votes)
-            if anchors is not None:
-                after[len(after) - len(fixed) :] = fixed
-            if np.abs(after - chance).max(initial=0) < 1e-6:
+            model = LabelModel(prior, groups, tables)
+            after = model.chances(votes)
+            after[len(after) - len(fixed) :] = fixed
+            if np.abs(after - chances).max(initial=0) < 1e-6:
                 break
-            chance = after
-        return model, chance
+            chances = after
+        return model, chances
 
-    alone = [(j,) for j in range(labellers)]
-    _, chance = run(alone, start.astype(float))
-    groups = _dependent(votes, counts, chance, dependence, largest_group)
-    return run(groups, chance)[0]
+    _, chances = run([(j,) for j in range(labellers)])
+    return run(_dependent(votes, counts, chances, dependence, largest_group))[0]
 
 
 def _dependent(
-    votes: np.ndarray, counts: np.ndarray, chance: np.ndarray, least: float, largest: int
+    votes: np.ndarray, counts: np.ndarray, chances: np.ndarray, least: float, largest: int
 ) -> list[tuple[int, ...]]:
     """Labellers joined where their votes tell of each other beyond the class, strongest pairs first."""
     labellers = votes.shape[1]
-    mass = np.stack([counts * (1 - chance), counts * chance])
+    mass = chances.T * counts
     total = max(mass.sum(), 1e-12)
     found = []
     for a in range(labellers):
@@ -136,6 +140,34 @@ def _dependent(
     return sorted(set(group_of.values()))
 
 
+def one_vote_each(votes: np.ndarray, groups: list[tuple[int, ...]]) -> np.ndarray:
+    """A first guess of two classes: the mean of what the groups say, each by the mean of its members."""
+    total, spoke = np.zeros(len(votes)), np.zeros(len(votes))
+    for group in groups:
+        own = votes[:, list(group)]
+        number = (own >= 0).sum(axis=1)
+        total += np.where(number, (own == 1).sum(axis=1) / np.maximum(number, 1), 0)
+        spoke += number > 0
+    return two(0.1 + 0.8 * np.where(spoke, total / np.maximum(spoke, 1), 0.5))
+
+
+def two(chance: np.ndarray) -> np.ndarray:
+    """The columns of two classes from the chance of class 1."""
+    return np.stack([1 - chance, chance], axis=1)
+
+
+def one_class_per_fault(votes: np.ndarray, groups: list[tuple[int, ...]]) -> np.ndarray:
+    """A first guess of class 0 for rows that no group objects to (votes 1), and a class for each group's objection.
+
+    Rows are bad in unlike ways: with one class for all of them, a fault that few labellers see would be put
+    down to the others' errors.
+    """
+    said = np.stack([(votes[:, list(group)] == 1).any(axis=1) for group in groups], axis=1)
+    objections = said.sum(axis=1, keepdims=True)
+    faults = np.where(objections > 0, 0.9 * said / np.maximum(objections, 1), 0.1 / len(groups))
+    return np.concatenate([1 - faults.sum(axis=1, keepdims=True), faults], axis=1)
+
+
 @dataclass
 class Linear:
     """Weights of hashed features that are there or not."""
