@@ -1,13 +1,17 @@
 """Event XML to event records.
 
 One pull parse (``from_xml``) reads all fields and tells whether the text is well-formed. It hands
-over the event data as tags and plain text, which a pattern takes apart unless the data itself
-holds characters that look like tags. Those few rows get a second parse with XPath, and only if
-they are well-formed: XPath on malformed text would end the job.
+over the event data as tags and plain text, which a pattern takes apart. Where that reading could
+differ from a tree's (repeated or mixed fields, prefixes, another root, data that looks like tags),
+a pattern over the raw text says so beforehand, and those few texts are read as trees in an Arrow step;
+for all others that step gets and gives only NULLs.
 """
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gainsay.functions.text import strip
@@ -42,29 +46,80 @@ _DATE_TIME = (
 )
 
 
-def _own_texts(element: str) -> str:
-    """Texts of an element and its descendants, without the text after child elements."""
-    return f"{element}/descendant-or-self::*/text()[not(preceding-sibling::*)]"
-
-
-_MESSAGE_TEXTS = (
-    _own_texts("/*/Event/EventData[1]")
-    + " | "
-    + _own_texts("/*/Event[not(EventData)]/UserData[1]")
-)
-
-
 # Where the parser's rendering of the data could be misread: a comment or CDATA section, an escaped
 # "<", or a ">" in what may be an attribute value.
 _AMBIGUOUS = r"""<!|&lt;|&#0*60;|&#[xX]0*3[cC];|=\s*"[^"<]*(>|&gt;|&#)|=\s*'[^'<]*(>|&gt;|&#)"""
 
+# Where a tree takes the first child and its leading text, and goes by namespaces rather than names: a
+# root that is not a plain Event, fields that occur twice, fields with anything but text in them,
+# and prefixes of the namespace.
+_IRREGULAR = (
+    r"(?s)^(?!\s*(?:<\?xml.*?\?>)?\s*<Event[\s/>])"
+    r"|(?s)<(System|Provider|EventID|Level|TimeCreated|EventRecordID|Computer|Channel|EventData|UserData)[\s/>].*<\1[\s/>]"
+    r"|<(?:EventID|Level|EventRecordID|Computer|Channel)(?:\s[^>]*[^/>])?>[^<]*<(?!/)"
+    r"|xmlns:[^\s=]+\s*=\s*[\"']http://schemas\.microsoft\.com/win/2004/08/events/event"
+)
+
 # A start tag and the text up to the next tag.
 _TAG_AND_TEXT = "<[^/>][^>]*>([^<]*)"
 
 
+_TREE = (
+    "malformed boolean, system boolean, event_id string, level string, time string, provider string, "
+    "number string, computer string, channel string, texts array<string>"
+)
+
+
+def _as_tree(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_read_tree(text) for text in texts], columns=_TREE_COLUMNS, dtype=object)
+
+
+_TREE_COLUMNS = [part.split()[0] for part in _TREE.split(", ")]
+
+
+def _read_tree(text: str | None) -> list:
+    """Raw field texts of one event: first children in the namespace, their leading text."""
+    blank: list = [None] * (len(_TREE_COLUMNS) - 2)
+    if text is None:
+        return [None, None, *blank]
+    try:
+        root = ElementTree.fromstring(text)
+    except (ElementTree.ParseError, ValueError):
+        return [True, None, *blank]
+
+    def child(of: ElementTree.Element, tag: str) -> ElementTree.Element | None:
+        return of.find(f"{{{EVENT_NAMESPACE}}}{tag}")
+
+    system = child(root, "System")
+    if system is None:
+        return [False, False, *blank]
+
+    def own(tag: str) -> str | None:
+        found = child(system, tag)
+        return None if found is None else found.text
+
+    def attribute(tag: str, name: str) -> str | None:
+        found = child(system, tag)
+        return None if found is None else found.get(name)
+
+    data = child(root, "EventData")
+    data = child(root, "UserData") if data is None else data
+    texts = [] if data is None else [element.text or "" for element in data.iter()]
+    return [
+        False, True, own("EventID"), own("Level"), attribute("TimeCreated", "SystemTime"),
+        attribute("Provider", "Name"), own("EventRecordID"), own("Computer"), own("Channel"), texts,
+    ]
+
+
 def event_timestamp(text: Column) -> Column:
+    """The instant; a date-time without a zone is UTC, whatever the session's time zone."""
     cleaned = F.regexp_replace(text, ",", ".")
-    return F.when(text.rlike(_DATE_TIME), cleaned.try_cast("timestamp"))
+    zoned = (
+        F.when(text.rlike(r"^[0-9-]{10}$"), F.concat(cleaned, F.lit("T00:00:00Z")))
+        .when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), cleaned)
+        .otherwise(F.concat(cleaned, F.lit("Z")))
+    )
+    return F.when(text.rlike(_DATE_TIME), zoned.try_cast("timestamp"))
 
 
 def whole_number(text: Column) -> Column:
@@ -80,11 +135,15 @@ def decode(rows: DataFrame, xml: str = "raw_xml") -> DataFrame:
     """Event fields for each XML row, plus ``reason`` where the row cannot be used."""
     body = F.regexp_replace(F.col(xml), r"(?s)^\s*<\?xml.*?\?>", "")
     wrapped = F.concat(F.lit(f"<{_WRAPPER}>"), body, F.lit(f"</{_WRAPPER}>"))
+    unusual = F.col(xml).rlike(_IRREGULAR) | F.col(xml).rlike(_AMBIGUOUS)
     # Unlike a plain column, an exploded one is not parsed again for each filter placed on it.
-    parsed = rows.withColumn("_wrapped", wrapped).withColumn(
-        "_doc", F.explode(F.array(F.from_xml("_wrapped", _DOCUMENT, _OPTIONS)))
+    parsed = (
+        rows.withColumn("_unusual", F.coalesce(unusual, F.lit(False)))
+        .withColumn("_tree", F.pandas_udf(_as_tree, _TREE)(F.when(F.col("_unusual"), F.col(xml))))
+        .withColumn("_plain", F.when(~F.col("_unusual"), wrapped))
+        .withColumn("_doc", F.explode(F.array(F.from_xml("_plain", _DOCUMENT, _OPTIONS))))
     )
-    doc = F.col("_doc")
+    doc, tree = F.col("_doc"), F.col("_tree")
     event = F.get(doc["Event"], 0)
     system = event["System"]
     malformed = (
@@ -94,23 +153,25 @@ def decode(rows: DataFrame, xml: str = "raw_xml") -> DataFrame:
         | (strip(F.coalesce(doc["_VALUE"], F.lit(""))) != "")
     )
     in_namespace = F.coalesce(system["_xmlns"], event["_xmlns"]) == EVENT_NAMESPACE
-    reason = F.when(malformed, "malformed XML").when(
-        system.isNull() | ~F.coalesce(in_namespace, F.lit(False)), "no System element"
+    no_system = system.isNull() | ~F.coalesce(in_namespace, F.lit(False))
+    either = F.col("_unusual")
+    reason = F.when(F.when(either, tree["malformed"]).otherwise(malformed), "malformed XML").when(
+        F.when(either, ~tree["system"]).otherwise(no_system), "no System element"
     )
 
-    def text(tag: str) -> Column:
-        return strip(system[tag]["_VALUE"])
+    def text(tag: str, in_tree: str) -> Column:
+        return strip(F.when(either, tree[in_tree]).otherwise(system[tag]["_VALUE"]))
 
     # UserData only counts where there is no EventData, not where that is empty.
     data = F.coalesce(event["EventData"], event["UserData"])
     by_pattern = F.regexp_extract_all(
         F.concat(F.lit("<_>"), data), F.lit(_TAG_AND_TEXT), F.lit(1)
     )
-    by_path = F.call_function("xpath", F.col("_wrapped"), F.lit(_MESSAGE_TEXTS))
     texts = F.when(
-        F.col("reason").isNull(),
-        F.when(F.col("_wrapped").rlike(_AMBIGUOUS), by_path).otherwise(by_pattern),
+        F.col("reason").isNull(), F.when(either, tree["texts"]).otherwise(by_pattern)
     )
+    time = F.when(either, tree["time"]).otherwise(system["TimeCreated"]["_SystemTime"])
+    provider = F.when(either, tree["provider"]).otherwise(system["Provider"]["_Name"])
 
     kept = [c for c in rows.columns if c != xml]
     return (
@@ -118,15 +179,15 @@ def decode(rows: DataFrame, xml: str = "raw_xml") -> DataFrame:
         .withColumn("_texts", texts)
         .select(
             *kept,
-            whole_number(text("EventID")).alias("event_id"),
-            event_timestamp(system["TimeCreated"]["_SystemTime"]).alias("timestamp"),
-            system["Provider"]["_Name"].alias("provider_name"),
-            text("Computer").alias("computer_name"),
-            text("Channel").alias("channel"),
-            whole_number(text("Level")).alias("level"),
+            whole_number(text("EventID", "event_id")).alias("event_id"),
+            event_timestamp(time).alias("timestamp"),
+            provider.alias("provider_name"),
+            text("Computer", "computer").alias("computer_name"),
+            text("Channel", "channel").alias("channel"),
+            whole_number(text("Level", "level")).alias("level"),
             _joined(F.col("_texts")).alias("message"),
             xml,
-            whole_number(text("EventRecordID")).alias("embedded_record_number"),
+            whole_number(text("EventRecordID", "number")).alias("embedded_record_number"),
             "reason",
         )
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
 
 from gainsay.functions.text import basename
 from gainsay.functions.time import utc
@@ -61,13 +60,11 @@ def _failure(bad: Column, field_group: str, reason: str) -> Column:
 def decode(raw: DataFrame) -> DataFrame:
     """Landing rows to prefetch records plus a ``field_failures`` array.
 
-    Numbers may arrive as text; text that is no number nulls that field only. A decoder can hand
+    Numbers may arrive as text; text that is no number, and a number out of range, null that field only. A decoder can hand
     over its own failures in a ``field_errors`` column.
     """
-    is_text = {f.name for f in raw.schema.fields if isinstance(f.dataType, StringType)}
-
     def number(name: str, to: str) -> tuple[Column, Column]:
-        value = F.col(name).try_cast(to) if name in is_text else F.col(name).cast(to)
+        value = F.col(name).try_cast(to)
         return value, F.col(name).isNotNull() & value.isNull()
 
     hash_value, hash_bad = number("prefetch_hash", "bigint")

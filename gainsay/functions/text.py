@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from gainsay.functions.time import utc_text
+
 
 def basename(path: Column) -> Column:
     """Last path component; both slash kinds separate."""
@@ -51,11 +53,9 @@ def html_escape(text: Column) -> Column:
 
 def iso_timestamp(timestamp: Column) -> Column:
     """ISO-8601 in UTC; the fraction is left out when it is zero."""
-    whole = F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.date_format(timestamp, ".SSSSSS")
-    return F.concat(
-        whole, F.when(fraction == ".000000", "").otherwise(fraction), F.lit("+00:00")
-    )
+    micros = F.pmod(F.unix_micros(timestamp), F.lit(1_000_000))
+    fraction = F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))
+    return F.concat(utc_text(timestamp), F.when(micros == 0, "").otherwise(fraction), F.lit("+00:00"))
 
 
 def numeric_first(column: str | Column) -> list[Column]:

@@ -2,20 +2,19 @@
 
 Numbers are first packed 64 to a word with a bit-or, which combines before the shuffle: repeats
 vanish and a dense log shrinks up to 64 times, however large one source is. Neighbouring words are
-then compared in windows over fixed number ranges, and the ranges among each other one level up, so
-no window ever holds a whole source. The sizes are bounds by number range, not by data: 2**16 rows
-per window on the lower levels and 2**25 (the rest of a 64-bit number) on the top one.
+then compared in windows over fixed number ranges, so no window ever holds a whole source. A range
+leaves one row, its first and last number, and these rows are compared among each other in a window
+per source: one row per 2**26 numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _WORD_BITS = 6
-_LEVEL_BITS = (16, 16, None)
+_RANGE_BITS = 20
 
 
 def record_gaps(
@@ -30,58 +29,62 @@ def record_gaps(
         .select(
             *by,
             F.shiftright(value, _WORD_BITS).alias("_unit"),
-            value.alias("_value"),
             F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("_bit"),
         )
         .groupBy(*by, "_unit")
-        .agg(
-            F.bit_or("_bit").alias("_mask"),
-            F.min("_value").alias("_first"),
-            F.max("_value").alias("_last"),
-        )
+        .agg(F.bit_or("_bit").alias("_mask"))
+        .withColumns({"_first": _nth_number("_unit", "_mask", True), "_last": _nth_number("_unit", "_mask", False)})
+        .withColumn("_range", F.shiftright("_unit", _RANGE_BITS))
+    )
+    order = Window.partitionBy(*by, "_range").orderBy("_unit")
+    compared = words.withColumns(
+        {"_next": F.lead("_first").over(order), "_head": F.first("_first").over(order)}
+    )
+    # What a word has to say: gaps inside it, the gap after it, and for the last of a range the range's ends.
+    pair = "array<struct<_end:boolean,previous:bigint,current:bigint>>"
+    inside = F.when(F.col("_last") - F.col("_first") >= F.bit_count("_mask"), _inside_word())
+    after = F.when(F.col("_next") - F.col("_last") > 1, F.array(_pair(False, F.col("_last"), F.col("_next"))))
+    ends = F.when(F.col("_next").isNull(), F.array(_pair(True, F.col("_head"), F.col("_last"))))
+    none = F.array().cast(pair)
+    said = compared.select(
+        *by, F.explode(F.concat(*[F.coalesce(x.cast(pair), none) for x in (inside, after, ends)])).alias("_said")
+    ).select(*by, "_said.*")
+    between = Window.partitionBy(*by).orderBy("previous")
+    ranges = (
+        said.filter("_end")
+        .select(*by, F.col("current").alias("previous"), F.lead("previous").over(between).alias("current"))
+        .filter(F.col("current") - F.col("previous") > 1)
     )
-    parts = [_inside_words(words, by)]
-    spans = words.select(*by, "_unit", "_first", "_last")
-    for bits in _LEVEL_BITS:
-        parent = F.shiftright("_unit", bits) if bits is not None else F.lit(0).cast("bigint")
-        order = Window.partitionBy(*by, "_parent").orderBy("_unit")
-        spans = spans.withColumn("_parent", parent).withColumns(
-            {"_next": F.lead("_first").over(order), "_head": F.first("_first").over(order)}
-        )
-        parts.append(
-            spans.filter(F.col("_next") - F.col("_last") > 1).select(
-                *by, F.col("_last").alias("previous"), F.col("_next").alias("current")
-            )
-        )
-        # The last row of a window stands for its whole range one level up.
-        spans = spans.filter(F.col("_next").isNull()).select(
-            *by, F.col("_parent").alias("_unit"), F.col("_head").alias("_first"), "_last"
-        )
     missing = F.col("current") - F.col("previous") - 1
-    return reduce(DataFrame.unionByName, parts).withColumn("missing", missing)
+    return said.filter("NOT _end").drop("_end").unionByName(ranges).withColumn("missing", missing)
+
+
+def _pair(end: bool, previous: Column, current: Column) -> Column:
+    return F.struct(F.lit(end).alias("_end"), previous.alias("previous"), current.alias("current"))
 
 
-def _inside_words(words: DataFrame, by: list[str]) -> DataFrame:
+def _nth_number(unit: str, mask: str, lowest: bool) -> Column:
+    """The lowest or highest number of a word, by the place of that bit in the mask."""
+    value = F.col(mask)
+    # Bits beyond the wanted one are filled, so that their number is its place. No step can overflow.
+    for shift in (1, 2, 4, 8, 16, 32):
+        filled = F.shiftleft(value, shift) if lowest else F.shiftrightunsigned(value, shift)
+        value = value.bitwiseOR(filled)
+    place = F.lit(1 << _WORD_BITS) - F.bit_count(value) if lowest else F.bit_count(value) - 1
+    return F.shiftleft(unit, _WORD_BITS) + place
+
+
+def _inside_word() -> Column:
     """Gaps between two numbers of the same word; most words of a dense log have none."""
     places = F.sequence(F.lit(0), F.lit((1 << _WORD_BITS) - 1))
     bits = F.filter(places, lambda place: F.call_function("bit_get", F.col("_mask"), place) == 1)
-    pairs = F.zip_with(
-        F.slice("_bits", F.lit(1), F.size("_bits") - 1),
-        F.slice("_bits", F.lit(2), F.size("_bits") - 1),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-    )
     start = F.shiftleft("_unit", _WORD_BITS)
-    return (
-        words.filter(F.col("_last") - F.col("_first") >= F.bit_count("_mask"))
-        .select(*by, start.alias("_start"), bits.alias("_bits"))
-        .select(*by, "_start", F.explode(pairs).alias("_pair"))
-        .filter(F.col("_pair.b") - F.col("_pair.a") > 1)
-        .select(
-            *by,
-            (F.col("_start") + F.col("_pair.a")).alias("previous"),
-            (F.col("_start") + F.col("_pair.b")).alias("current"),
-        )
+    pairs = F.zip_with(
+        F.slice(bits, F.lit(1), F.size(bits) - 1),
+        F.slice(bits, F.lit(2), F.size(bits) - 1),
+        lambda a, b: _pair(False, start + a, start + b),
     )
+    return F.filter(pairs, lambda p: p["current"] - p["previous"] > 1)
 
 
 def significant(gaps: DataFrame, threshold: int = 10) -> DataFrame:

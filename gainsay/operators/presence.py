@@ -55,26 +55,30 @@ def mentions(
     ).first()
     if profile["longest"] is None:
         return events.select(*keep, F.lit("").alias("name")).filter(F.lit(False))
-    if profile["size"] <= broadcast_limit:
-        index = F.broadcast(index)
-
-    longest = profile["longest"]
-    pieces = _positions(events, keep, text, longest)
+    places = _positions(events, keep, text, profile["longest"])
     prefixes = F.array(
-        *[F.substring("piece", 1, chars) for chars in sorted(profile["prefix_lengths"])]
+        *[F.col("_chunk").substr(F.col("_place"), F.lit(n)) for n in sorted(profile["prefix_lengths"])]
     )
-    return (
-        pieces.select(*keep, "piece", F.explode(F.array_distinct(prefixes)).alias("prefix"))
-        .join(index, "prefix")
-        .select(*keep, "piece", F.explode("lengths").alias("chars"))
-        .select(*keep, F.col("piece").substr(F.lit(1), F.col("chars")).alias("name"))
+    looked_up = places.select(
+        *keep, "_chunk", "_place", F.explode(F.array_distinct(prefixes)).alias("prefix")
+    )
+    if profile["size"] <= broadcast_limit:
+        # The text is only cut where a name begins; until then every place shares its chunk.
+        hits = looked_up.join(F.broadcast(index), "prefix")
+    else:
+        # A shuffle by prefix: places without a listed beginning stay behind, by a filter of the prefixes
+        # that Spark makes at run time, and a place carries no more than the longest name.
+        rest = F.col("_chunk").substr(F.col("_place"), F.lit(profile["longest"]))
+        hits = looked_up.select(*keep, rest.alias("_chunk"), F.lit(1).alias("_place"), "prefix").join(index, "prefix")
+    return hits.select(*keep, "_chunk", "_place", F.explode("lengths").alias("chars")).select(
+        *keep, F.col("_chunk").substr(F.col("_place"), F.col("chars")).alias("name")
     )
 
 
 def _positions(events: DataFrame, keep: Sequence[str], text: str, longest: int) -> DataFrame:
-    """The ``longest`` characters from every position of every text.
+    """Every position of every text, as a place in a chunk that reaches ``longest`` characters beyond it.
 
-    Long texts are cut into overlapping chunks first, which keeps the cost linear.
+    Chunks overlap, so a name is whole in the chunk it begins in, and the cost is linear.
     """
     starts = F.sequence(
         F.lit(0), F.greatest(F.length("_text") - 1, F.lit(0)), F.lit(CHUNK_CHARS)
@@ -91,9 +95,7 @@ def _positions(events: DataFrame, keep: Sequence[str], text: str, longest: int)
         .filter(F.col("_chunk") != "")
     )
     places = F.sequence(F.lit(1), F.least(F.length("_chunk"), F.lit(CHUNK_CHARS)))
-    return chunks.select(*keep, "_chunk", F.explode(places).alias("_place")).select(
-        *keep, F.col("_chunk").substr(F.col("_place"), F.lit(longest)).alias("piece")
-    )
+    return chunks.select(*keep, "_chunk", F.explode(places).alias("_place"))
 
 
 def unmatched_in_window(

@@ -42,11 +42,3 @@ def not_seen(
     """Rows whose key does not occur in ``seen``. NULL keys are never seen."""
     return rows.join(seen.select(*by).distinct(), list(by), "left_anti")
 
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Deal out rows before costly per-row work when the input has fewer pieces than there are cores.
-
-    A table of many files is left as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

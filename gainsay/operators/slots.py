@@ -25,6 +25,7 @@ FILE_NAME = 0x30
 END_OF_ATTRIBUTES = 0xFFFFFFFF
 PARENT_MASK = 0x0000FFFFFFFFFFFF
 _PADDING = 128
+_SLOTS_AT_ONCE = 4096
 
 _TIMES = "struct<" + ",".join(f"{field}:timestamp" for field in TIME_FIELDS) + ">"
 _NAME = f"struct<namespace:int,parent:bigint,times:{_TIMES},name:string>"
@@ -77,12 +78,17 @@ def slot_mismatches(records: DataFrame) -> DataFrame:
 class _Slots:
     """A batch of slots as a zero-padded byte matrix with little-endian reads."""
 
-    def __init__(self, raw: list[bytes]):
-        self.size = np.array([len(r) for r in raw], dtype=np.int64)
-        width = int(self.size.max(initial=0)) + _PADDING
-        self.bytes = np.frombuffer(
-            b"".join(r.ljust(width, b"\0") for r in raw), dtype=np.uint8
-        ).reshape(len(raw), width).copy()
+    def __init__(self, raw: pa.Array):
+        offsets = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1]
+        content = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)
+        self.size = np.diff(offsets).astype(np.int64)
+        width = int(self.size.max(initial=0))
+        self.bytes = np.zeros((len(raw), width + _PADDING), dtype=np.uint8)
+        if len(raw) and (self.size == width).all():
+            self.bytes[:, :width] = content[offsets[0] : offsets[-1]].reshape(len(raw), width)
+        else:
+            inside = np.arange(width) < self.size[:, None]
+            self.bytes[:, :width][inside] = content[offsets[0] : offsets[-1]]
 
     def at(self, rows: np.ndarray, offset: np.ndarray | int, count: int) -> np.ndarray:
         """``count`` bytes per row from ``offset``; bytes past the slot read as zero."""
@@ -105,7 +111,7 @@ def _restore_sector_tails(slots: _Slots, reasons: np.ndarray) -> None:
     rows = np.flatnonzero(reasons == None)  # noqa: E711 - element-wise
     start, count = slots.small(rows, 4, 2), slots.small(rows, 6, 2)
     short = (count < 1) | (start + 2 * count > slots.size[rows])
-    reasons[rows[short]] = "update sequence array is truncated"
+    reasons[rows[short]] = "the slot ends before its sector numbers do"
     rows, start, count = rows[~short], start[~short], count[~short]
     original = slots.bytes.copy()
     for sector in range(1, int(slots.size.max(initial=0)) // SECTOR_BYTES + 1):
@@ -234,34 +240,58 @@ def _signatures(slots: _Slots) -> np.ndarray:
     return reasons
 
 
+_COLUMNS = [
+    "case_id", "source_path", "record_number", "reason", "embedded_record_number",
+    "is_directory", "is_allocated", "standard_information", "names",
+]
+
+
 def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw = batch.column("raw").to_pylist()
-        batch = batch.filter(pa.array([any(r or b"") for r in raw], pa.bool_()))
-        if not batch.num_rows:
-            continue
-        slots = _Slots(batch.column("raw").to_pylist())
-        reasons = _signatures(slots)
-        _restore_sector_tails(slots, reasons)
-        every = np.arange(len(reasons))
-        flags = slots.small(every, 22, 2)
-        embedded = slots.small(every, 44, 4)
-        standard, has_standard, names = _walk_attributes(slots, reasons)
-        usable = reasons == None  # noqa: E711 - element-wise
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("case_id"),
-                batch.column("source_path"),
-                batch.column("record_number"),
-                pa.array(reasons.tolist(), pa.string()),
-                pa.array(embedded, mask=~(usable & (slots.size >= 48))),
-                pa.array((flags & 2) != 0, mask=~usable),
-                pa.array((flags & 1) != 0, mask=~usable),
-                _times(standard, has_standard & usable),
-                _names_array(len(reasons), names),
-            ],
-            names=[
-                "case_id", "source_path", "record_number", "reason", "embedded_record_number",
-                "is_directory", "is_allocated", "standard_information", "names",
-            ],
-        )
+        batch = batch.filter(batch.column("raw").is_valid())
+        for first in range(0, batch.num_rows, _SLOTS_AT_ONCE):
+            yield from _guarded(batch.slice(first, _SLOTS_AT_ONCE))
+
+
+def _guarded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The decoded batch. Where that fails for a reason of its own, each slot alone; the bad one is a failure."""
+    try:
+        yield _decoded(batch)
+    except Exception as error:  # noqa: BLE001 - one slot must not end the job
+        if batch.num_rows > 1:
+            for row in range(batch.num_rows):
+                yield from _guarded(batch.slice(row, 1))
+        else:
+            empty = _decoded(batch.slice(0, 0))
+            values = [batch.column(i) for i in range(3)] + [pa.array([f"cannot be decoded: {error}"], pa.string())]
+            values += [pa.nulls(1, empty.column(i).type) for i in range(4, len(_COLUMNS))]
+            yield pa.RecordBatch.from_arrays(values, names=_COLUMNS)
+
+
+def _decoded(batch: pa.RecordBatch) -> pa.RecordBatch:
+    slots = _Slots(batch.column("raw"))
+    used = slots.bytes.any(axis=1)
+    if not used.all():
+        batch = batch.filter(pa.array(used))
+        slots.bytes, slots.size = slots.bytes[used], slots.size[used]
+    reasons = _signatures(slots)
+    _restore_sector_tails(slots, reasons)
+    every = np.arange(len(reasons))
+    flags = slots.small(every, 22, 2)
+    embedded = slots.small(every, 44, 4)
+    standard, has_standard, names = _walk_attributes(slots, reasons)
+    usable = reasons == None  # noqa: E711 - element-wise
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column("case_id"),
+            batch.column("source_path"),
+            batch.column("record_number"),
+            pa.array(reasons.tolist(), pa.string()),
+            pa.array(embedded, mask=~(usable & (slots.size >= 48))),
+            pa.array((flags & 2) != 0, mask=~usable),
+            pa.array((flags & 1) != 0, mask=~usable),
+            _times(standard, has_standard & usable),
+            _names_array(len(reasons), names),
+        ],
+        names=_COLUMNS,
+    )

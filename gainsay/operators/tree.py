@@ -2,7 +2,8 @@
 
 Every row holds a pointer to the ancestor above the part of its path known so far. A round replaces
 each pointer by that ancestor's own pointer and joins the two path parts, so the known part doubles
-and the number of rounds is the logarithm of the depth.
+and the number of rounds is the logarithm of the depth. Rows that have reached their root are written
+once and only looked up from then on.
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from gainsay.session import checkpointed
 
-MAX_DEPTH = 512
-
 
 def key_paths(
     cells: DataFrame,
@@ -24,28 +23,34 @@ def key_paths(
     parent: str = "parent_id",
     name: str = "name",
     separator: str = "\\",
-    max_depth: int = MAX_DEPTH,
 ) -> DataFrame:
-    """``by``, key, ``names`` (root first), ``path`` and ``depth`` of every reachable row.
+    """``by``, key, ``names`` (root first), ``path`` and ``depth`` of every reachable row, however deep.
 
-    Rows with a ``reason`` are left out together with everything below them, as are rows whose
-    chain of parents ends at a missing row or in a loop. ``names`` sorts in depth-first order.
+    Rows with a ``reason`` are left out together with everything below them (``key_failures`` lists
+    them), as are rows whose chain of parents ends at a missing row or in a loop. ``names`` sorts in
+    depth-first order.
     """
     by = list(by)
     usable = cells.filter(F.col("reason").isNull()) if "reason" in cells.columns else cells
-    state = usable.select(
-        *by,
-        F.col(key).alias("_key"),
-        F.col(parent).alias("_above"),
-        F.array(F.coalesce(F.col(name), F.lit(""))).alias("names"),
+    state = checkpointed(
+        usable.select(
+            *by,
+            F.col(key).alias("_key"),
+            F.col(parent).alias("_above"),
+            F.array(F.coalesce(F.col(name), F.lit(""))).alias("names"),
+        )
     )
-    rounds = max(max_depth - 1, 1).bit_length()
-    for _ in range(rounds):
-        state = checkpointed(state)
-        if state.filter(F.col("_above").isNotNull()).isEmpty():
+    finished = state.filter(F.col("_above").isNull())
+    open_rows = state.filter(F.col("_above").isNotNull())
+    while True:
+        step = checkpointed(_one_round(open_rows, finished, by))
+        arrived = step.filter(F.col("_above").isNull())
+        # In every round the rows whose root is nearest arrive. Where none does, only loops are left.
+        if arrived.isEmpty():
             break
-        state = state.filter(F.col("_above").isNull()).unionByName(_one_round(state, by))
-    return state.filter(F.col("_above").isNull()).select(
+        finished = finished.unionByName(arrived)
+        open_rows = step.filter(F.col("_above").isNotNull())
+    return finished.select(
         *by,
         F.col("_key").alias(key),
         "names",
@@ -54,15 +59,23 @@ def key_paths(
     )
 
 
-def _one_round(state: DataFrame, by: list[str]) -> DataFrame:
-    below = state.filter(F.col("_above").isNotNull())
-    above = state.select(
+def key_failures(
+    cells: DataFrame, by: Sequence[str] = ("case_id", "source_path"), key: str = "key_id"
+) -> DataFrame:
+    """One dead-letter row per key that could not be read."""
+    return cells.filter(F.col("reason").isNotNull()).select(*by, key, "reason")
+
+
+def _one_round(open_rows: DataFrame, finished: DataFrame, by: list[str]) -> DataFrame:
+    """The open rows, each with the known part of its path joined to that of the row it points to."""
+    known = finished.unionByName(open_rows)
+    above = known.select(
         *by,
         F.col("_key").alias("_above"),
         F.col("_above").alias("_next"),
         F.col("names").alias("_names"),
     )
-    return below.join(above, [*by, "_above"]).select(
+    return open_rows.join(above, [*by, "_above"]).select(
         *by, "_key", F.col("_next").alias("_above"), F.concat("_names", "names").alias("names")
     )
 

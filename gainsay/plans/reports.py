@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gainsay.functions.registry import value_label, value_text
 from gainsay.functions.text import basename, html_escape, iso_timestamp
+from gainsay.session import checkpointed
 
 # Columns of the event report, in order.
 EVENT_REPORT_COLUMNS = (
@@ -20,25 +21,23 @@ EVENT_REPORT_COLUMNS = (
 
 
 def event_row_html(columns: Sequence[str] = EVENT_REPORT_COLUMNS) -> Column:
-    """One event as an HTML table row; NULL fields are blank, the level sets the row's class."""
-
-    def cell(name: str) -> Column:
-        text = iso_timestamp(F.col(name)) if name == "timestamp" else F.col(name).cast("string")
-        opening = '<td class="msg-cell">' if name == columns[-1] else "<td>"
-        return F.concat(
-            F.lit(opening), html_escape(F.coalesce(text, F.lit(""))), F.lit("</td>")
-        )
-
-    level = F.coalesce(
-        F.concat(F.lit(' class="level-'), F.col("level").cast("string"), F.lit('"')), F.lit("")
+    """One event as a table row: a cell per column, blank for NULL, and the level as data of the row."""
+    texts = [
+        iso_timestamp(F.col(c)) if c == "timestamp" else F.col(c).cast("string") for c in columns
+    ]
+    cells = F.array_join(
+        F.transform(F.array(*texts), lambda t: F.concat(F.lit("<td>"), F.coalesce(html_escape(t), F.lit("")))),
+        "</td>",
     )
-    return F.concat(F.lit("<tr"), level, F.lit(">"), *map(cell, columns), F.lit("</tr>"))
+    level = F.coalesce(F.concat(F.lit(' data-level="'), F.col("level").cast("string"), F.lit('"')), F.lit(""))
+    return F.concat(F.lit("<tr"), level, F.lit(">"), cells, F.lit("</td></tr>"))
 
 
 def failure_row_html() -> Column:
-    number = F.coalesce(F.col("record_number").cast("string"), F.lit("?"))
+    """One failed record as a table row."""
+    number = F.coalesce(F.col("record_number").cast("string"), F.lit(""))
     return F.concat(
-        F.lit("<li>Record "), number, F.lit(": "), html_escape(F.col("reason")), F.lit("</li>")
+        F.lit("<tr data-failed><td>"), number, F.lit("</td><td>"), html_escape(F.col("reason")), F.lit("</td></tr>")
     )
 
 
@@ -82,45 +81,43 @@ def write_event_report(report: DataFrame, path: str) -> None:
 # --- findings ----------------------------------------------------------------------------------
 
 
-def _lines_html(lines: str) -> Column:
-    return F.array_join(F.transform(lines, html_escape), "<br>")
-
-
 def finding_row_html() -> Column:
-    cells = [
-        html_escape(F.upper("severity")), html_escape(F.col("rule_name")),
-        html_escape(F.col("description")), _lines_html("evidence"), _lines_html("source_paths"),
-    ]
-    tagged = [part for cell in cells for part in (F.lit("<td>"), cell, F.lit("</td>"))]
+    """One finding as a table row: rule, description, evidence as a list, sources."""
+    points = F.transform("evidence", lambda x: F.concat(F.lit("<li>"), html_escape(x), F.lit("</li>")))
     return F.concat(
-        F.lit('<tr class="sev-'), F.col("severity"), F.lit('">'), *tagged, F.lit("</tr>")
-    )
+        F.lit('<tr data-severity="'), "severity", F.lit('"><th>'), html_escape(F.col("rule_name")),
+        F.lit("</th><td>"), html_escape(F.col("description")), F.lit("</td><td><ul>"),
+        F.array_join(points, ""), F.lit("</ul></td><td>"),
+        F.array_join(F.transform("source_paths", html_escape), ", "), F.lit("</td></tr>"),
+    )
 
 
-NO_FINDINGS_ROW = '<tr><td colspan="5">No findings.</td></tr>'
+NOTHING_FOUND = '<tr data-severity="none"><td>nothing was found</td></tr>'
 
 
 def findings_report(found: DataFrame) -> DataFrame:
-    """Report rows of findings; a single "no findings" row when there are none."""
-    rows = found.select(finding_row_html().alias("value"))
+    """Report rows of findings; a single row that says so when there are none.
+
+    Whether there are any is only known when they have been found, so the rows are written out once.
+    """
+    rows = checkpointed(found.select(finding_row_html().alias("value")))
     none = (
-        found.agg(F.count(F.lit(1)).alias("n"))
+        rows.agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") == 0)
-        .select(F.lit(NO_FINDINGS_ROW).alias("value"))
+        .select(F.lit(NOTHING_FOUND).alias("value"))
     )
     return rows.unionByName(none)
 
 
 def finding_detail() -> Column:
-    """Full text of one finding: rule, severity, description, evidence and sources as lists."""
-
-    def listed(column: str) -> Column:
-        return F.array_join(F.transform(column, lambda x: F.concat(F.lit("  - "), x)), "\n")
-
-    return F.concat(
-        F.lit("Rule: "), "rule_name", F.lit("\nSeverity: "), F.upper("severity"), F.lit("\n\n"),
-        "description", F.lit("\n\nEvidence:\n"), listed("evidence"),
-        F.lit("\n\nSources:\n"), listed("source_paths"),
+    """One finding as plain text."""
+    points = F.transform("evidence", lambda x: F.concat(F.lit("* "), x))
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "rule_name"),
+        F.col("description"),
+        F.array_join(points, "\n"),
+        F.concat(F.lit("in "), F.array_join("source_paths", ", ")),
     )
 
 
@@ -179,16 +176,17 @@ def prefetch_summary(records: DataFrame) -> DataFrame:
 
 def mft_summary(records: DataFrame, failures: DataFrame | None = None) -> DataFrame:
     """Records by kind, flagged records and failures in one row."""
-    totals = records.agg(
-        F.count(F.lit(1)).alias("record_count"),
-        F.count_if("likely_timestomped").alias("timestomped_count"),
-        F.count_if("is_directory").alias("directory_count"),
-        F.count_if(~F.col("is_allocated")).alias("deleted_count"),
-    )
+    flags = {
+        "timestomped_count": F.col("likely_timestomped"),
+        "directory_count": F.col("is_directory"),
+        "deleted_count": ~F.col("is_allocated"),
+    }
+    rows = records.select(F.lit(False).alias("failed"), *[c.alias(n) for n, c in flags.items()])
+    totals = [F.count_if(~F.col("failed")).alias("record_count"), *[F.count_if(n).alias(n) for n in flags]]
     if failures is None:
-        return totals
-    # Two one-row frames.
-    return totals.join(failures.agg(F.count(F.lit(1)).alias("failure_count")), F.lit(True))
+        return rows.agg(*totals)
+    letters = failures.select(F.lit(True).alias("failed"), *[F.lit(None).cast("boolean").alias(n) for n in flags])
+    return rows.unionByName(letters).agg(*totals, F.count_if("failed").alias("failure_count"))
 
 
 def timestomped(records: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ from gainsay.operators import gaps
 from gainsay.operators.presence import unmatched_in_window
 from gainsay.operators.rows import not_seen, only_cases_with
 from gainsay.schemas import SEVERITIES
-from gainsay.session import checkpointed
 from gainsay.sources.case import CaseTables
 
 # Ids of events that report a new process.
@@ -25,6 +24,7 @@ TIME_WINDOW = timedelta(minutes=5)
 SIGNIFICANT_GAP = 10
 EVIDENCE_LINES = 10
 
+# Names of the rules; their severities are likewise fixed.
 PREFETCH_WITHOUT_EVENT = "prefetch_execution_without_evtx"
 PERSISTENCE_WITHOUT_EXECUTION = "persistence_without_execution"
 HASH_MISMATCH = "prefetch_filename_hash_mismatch"
@@ -76,8 +76,9 @@ def prefetch_execution_without_event(
             *_SOURCE, "executable_name", "last_run_times"
         )
     )
+    gated = only_cases_with(runs, tables.events)
     unmatched = unmatched_in_window(
-        runs,
+        gated,
         process_creations(tables.events, process_creation_event_ids),
         window=time_window,
         name="executable_name",
@@ -85,10 +86,9 @@ def prefetch_execution_without_event(
         event_text="message",
         event_time="timestamp",
     )
-    gated = only_cases_with(unmatched, tables.events)
     at = iso_timestamp(F.col("run_time"))
     return findings(
-        gated,
+        unmatched,
         PREFETCH_WITHOUT_EVENT,
         "medium",
         description=F.concat(
@@ -96,8 +96,7 @@ def prefetch_execution_without_event(
             F.lit(f", but no process-creation event names it within {time_window}."),
         ),
         evidence=[
-            F.concat(F.lit("Prefetch source: "), "source_path"),
-            F.concat(F.lit("Run timestamp: "), at),
+            F.concat(F.lit("ran at "), at), F.concat(F.lit("recorded by "), "source_path"),
         ],
         details={"executable_name": F.col("executable_name"), "run_time": at},
         ordinal=F.col("run_index"),
@@ -129,11 +128,11 @@ def persistence_without_execution(
         tables.registry_values.select(*_SOURCE, "key_path", "name", "data"),
         persistence_key_segments,
     ).withColumn("exe_key", F.lower("exe_name"))
-    unseen = not_seen(entries, executed_names(tables.prefetch), ["case_id", "exe_key"])
-    gated = only_cases_with(unseen, tables.prefetch)
+    gated = only_cases_with(entries, tables.prefetch)
+    unseen = not_seen(gated, executed_names(tables.prefetch), ["case_id", "exe_key"])
     label = registry.value_label(F.col("name"))
     return findings(
-        gated,
+        unseen,
         PERSISTENCE_WITHOUT_EXECUTION,
         "medium",
         description=F.concat(
@@ -141,9 +140,8 @@ def persistence_without_execution(
             "exe_name", F.lit("', but prefetch shows no run of it."),
         ),
         evidence=[
-            F.concat(F.lit("Registry source: "), "source_path"),
-            F.concat(F.lit("Key path: "), "key_path"),
-            F.concat(F.lit("Value data: "), registry.value_text(F.col("data"))),
+            F.concat(F.lit("data "), registry.value_text(F.col("data"))),
+            F.concat(F.lit("set under "), "key_path", F.lit(" in "), "source_path"),
         ],
         details={"key_path": F.col("key_path"), "value": label, "exe_name": F.col("exe_name")},
         ordinal=F.lit(0),
@@ -163,28 +161,31 @@ def prefetch_hash_mismatch(tables: CaseTables) -> DataFrame:
             F.lit("); it was renamed or altered."),
         ),
         evidence=[
-            F.concat(F.lit("Prefetch source: "), "source_path"),
-            F.concat(F.lit("Embedded hash: "), "prefetch_hash"),
+            F.concat(F.lit("hash inside "), "prefetch_hash"), F.concat(F.lit("file name "), "source_path"),
         ],
         details={"prefetch_hash": F.col("prefetch_hash")},
         ordinal=F.lit(0),
     )
 
 
-def record_number_gap(tables: CaseTables, significant_gap_size: int = SIGNIFICANT_GAP) -> DataFrame:
+def record_number_gap(
+    tables: CaseTables,
+    significant_gap_size: int = SIGNIFICANT_GAP,
+    evidence_lines: int = EVIDENCE_LINES,
+) -> DataFrame:
     """Large gaps in an event log's record numbers, and one summary of its small gaps.
 
-    The gaps are few next to the events and are used three times, so they are written out once.
+    The summary names the first ``evidence_lines`` small gaps and counts the others.
     """
-    found = checkpointed(gaps.record_gaps(tables.events, by=_SOURCE))
+    found = gaps.record_gaps(tables.events, by=_SOURCE)
     return _large_gaps(gaps.significant(found, significant_gap_size)).unionByName(
-        _small_gaps(gaps.minor(found, significant_gap_size))
+        _small_gaps(gaps.minor(found, significant_gap_size), evidence_lines)
     )
 
 
 def _gap_range() -> Column:
     return F.concat(
-        (F.col("previous") + 1).cast("string"), F.lit("-"), (F.col("current") - 1).cast("string")
+        (F.col("previous") + 1).cast("string"), F.lit(" to "), (F.col("current") - 1).cast("string")
     )
 
 
@@ -198,24 +199,23 @@ def _large_gaps(rows: DataFrame) -> DataFrame:
             F.col("missing"), basename(F.col("source_path")), F.col("previous"), F.col("current"),
         ),
         evidence=[
-            F.concat(F.lit("Event log source: "), "source_path"),
-            F.concat(F.lit("Gap range: "), _gap_range()),
+            F.concat(F.lit("absent "), _gap_range()), F.concat(F.lit("log "), "source_path"),
         ],
         details={c: F.col(c) for c in ("previous", "current", "missing")},
         ordinal=F.col("previous"),
     )
 
 
-def _small_gaps(rows: DataFrame) -> DataFrame:
+def _small_gaps(rows: DataFrame, evidence_lines: int) -> DataFrame:
     lines = (
-        gaps.first_gaps(rows, _SOURCE, EVIDENCE_LINES)
-        .withColumn("line", F.format_string("Gap range: %s (%d missing)", _gap_range(), F.col("missing")))
+        gaps.first_gaps(rows, _SOURCE, evidence_lines)
+        .withColumn("line", F.format_string("absent %s, %d in all", _gap_range(), F.col("missing")))
         .groupBy(*_SOURCE)
         .agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("lines"))
     )
-    rest = F.col("gap_count") - EVIDENCE_LINES
+    rest = F.col("gap_count") - evidence_lines
     more = F.when(
-        rest > 0, F.array(F.format_string("... and %d more", rest))
+        rest > 0, F.array(F.format_string("%d further gaps", rest))
     ).otherwise(F.array().cast("array<string>"))
     totals = gaps.summarise(rows, _SOURCE)
     return findings(
@@ -245,7 +245,7 @@ def mft_timestomping(tables: CaseTables) -> DataFrame:
             F.lit("File record #"), F.col("record_number").cast("string"), F.lit(" ('"),
             F.coalesce("filename", F.lit("")), F.lit("') has standard times before its name was made."),
         ),
-        evidence=[F.concat(F.lit("Anomalous fields: "), fields)],
+        evidence=[F.concat(F.lit("set back: "), fields)],
         details={"record_number": F.col("record_number"), "anomalies": fields},
         ordinal=F.col("record_number"),
     )

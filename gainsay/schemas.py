@@ -107,6 +107,8 @@ MFT = _table(
 )
 
 BAD_FILES = _table(reason=STRING)
+# Dead letters of all stages; place says which record, key or field of the file failed.
+FAILURES = _table(stage=STRING, place=STRING, reason=STRING)
 
 FINDINGS = struct(
     case_id=STRING,

@@ -6,8 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings every plan in this package relies on. Sizes and executor counts are left to the cluster.
-# The last one skips the call-site lookup PySpark otherwise makes for every column expression.
+# Settings that serve the plans of this package well; none is needed for right results. Sizes and executor
+# counts are left to the cluster. The JVM never compiles a method above 8000 bytes, so a stage that
+# would generate one runs far faster as smaller pieces. The last one skips the call-site lookup PySpark otherwise makes for every column expression.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -38,17 +39,6 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return spark
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Set what the plans need in a session made by someone else.
-
-    Every timestamp in the data model is UTC. The JVM never compiles a method above 8000 bytes, so
-    a stage that would generate one runs far faster as smaller pieces.
-    """
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    return spark
-
-
 def use_checkpoint_dir(spark: SparkSession) -> str:
     """Point checkpoints at the folder named by ``spark.checkpoint.dir``.
 
@@ -58,7 +48,7 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="gainsay-checkpoint-")
     if context.getCheckpointDir() is None:

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gainsay.sources.files import open_uri
@@ -35,22 +36,38 @@ class SlotReader(DataSourceReader):
 
     def partitions(self) -> list[SlotRange]:
         ranges = []
-        for uri in self.paths:
-            store, path = open_uri(uri)
-            slots = store.get_file_info(path).size // self.record_bytes
+        for uri, size in self._sizes():
+            slots = size // self.record_bytes
             ranges += [
                 SlotRange(uri, first, min(self.per_partition, slots - first))
                 for first in range(0, slots, self.per_partition)
             ]
         return ranges
 
+    def _sizes(self) -> Iterator[tuple[str, int]]:
+        """Sizes of all files, with one request per file system."""
+        stores: dict[str, tuple[fs.FileSystem, list[tuple[str, str]]]] = {}
+        for uri in self.paths:
+            store, path = open_uri(uri)
+            stores.setdefault(uri.split("://")[0] if "://" in uri else "", (store, []))[1].append((uri, path))
+        for store, files in stores.values():
+            found = store.get_file_info([path for _, path in files])
+            for (uri, path), info in zip(files, found):
+                if info.type != fs.FileType.File:
+                    raise FileNotFoundError(path)
+                yield uri, info.size
+
     def read(self, partition: SlotRange) -> Iterator[pa.RecordBatch]:
         store, path = open_uri(partition.path)
+        # The same spelling as all readers give a file.
+        name = path if partition.path.startswith("file:") else partition.path
         with store.open_input_file(path) as file:
             stop = partition.first + partition.count
             for first in range(partition.first, stop, _SLOTS_PER_BATCH):
                 count = min(_SLOTS_PER_BATCH, stop - first)
                 block = file.read_at(count * self.record_bytes, first * self.record_bytes)
+                if len(block) < count * self.record_bytes:
+                    raise OSError(f"{path} got shorter while it was read")
                 slots = pa.Array.from_buffers(
                     pa.binary(self.record_bytes),
                     len(block) // self.record_bytes,
@@ -58,7 +75,7 @@ class SlotReader(DataSourceReader):
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([partition.path] * len(slots), pa.string()),
+                        pa.array([name] * len(slots), pa.string()),
                         pa.array(range(first, first + len(slots)), pa.int64()),
                         slots.cast(pa.binary()),
                     ],
@@ -86,11 +103,14 @@ class SlotSource(DataSource):
 def read_slots(
     spark: SparkSession,
     paths: list[str],
-    case_id: str = "case",
+    case_id: str | Column = "case",
     record_bytes: int = RECORD_BYTES,
     slots_per_partition: int = SLOTS_PER_PARTITION,
 ) -> DataFrame:
-    """Slots of all ``paths``; the slot's place in its file is its record number."""
+    """Slots of all ``paths``; the slot's place in its file is its record number.
+
+    ``case_id`` is a fixed text or an expression over ``source_path``.
+    """
     spark.dataSource.register(SlotSource)
     return (
         spark.read.format("mft_slots")
@@ -98,5 +118,5 @@ def read_slots(
         .option("recordbytes", record_bytes)
         .option("slotsperpartition", slots_per_partition)
         .load()
-        .withColumn("case_id", F.lit(case_id))
+        .withColumn("case_id", case_id if isinstance(case_id, Column) else F.lit(case_id))
     )

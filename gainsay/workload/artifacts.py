@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gainsay.functions import prefetch, registry
-from gainsay.functions.mft import namespace_rank, timestamp_anomalies
+from gainsay.functions.mft import preferred_name, timestamp_anomalies
 from gainsay.functions.text import basename, html_escape, row_contains
 from gainsay.functions.time import filetime_to_timestamp, timestamp_to_filetime, utc
 from gainsay.operators import rows as row_ops
@@ -41,7 +41,7 @@ SELECT 'case-' || (user_id % 4) AS case_id, event_id AS record_number,
        CASE WHEN d = 5 THEN NULL ELSE CAST(epoch_us(ts) AS VARCHAR) END AS micros,
        CASE WHEN d = 6 THEN NULL ELSE event_type END AS provider_name,
        'HOST-' || user_id AS computer_name, CAST(NULL AS VARCHAR) AS channel,
-       CAST(4 AS BIGINT) AS level,
+       CASE WHEN d IN (0, 4, 5) AND (event_id // 10) % 5 = 2 THEN NULL ELSE '4' END AS level,
        CASE WHEN d IN (7, 9) THEN NULL WHEN d = 8 THEN props
             ELSE props || ' | ' || event_type END AS message
 FROM (SELECT *, event_id % 10 AS d FROM events) WHERE d NOT IN (1, 2, 3)
@@ -50,7 +50,7 @@ def event_xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = case.events_from_xml(standins.event_xml(spark, sf_dir))
     return records.select(
         "case_id", "record_number", _text("event_id"), _text("timestamp", "micros"),
-        "provider_name", "computer_name", "channel", "level", "message",
+        "provider_name", "computer_name", "channel", _text("level"), "message",
     )
 
 
@@ -66,10 +66,9 @@ def event_xml_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_row_sql() -> str:
     cells = ["CAST(record_number AS VARCHAR)", "CAST(event_id AS VARCHAR)", iso_sql("ts"),
-             "provider_name", "computer_name", "'Security'", "CAST(level AS VARCHAR)"]
+             "provider_name", "computer_name", "'Security'", "CAST(level AS VARCHAR)", "message"]
     joined = " || ".join(f"'<td>' || {escape_sql(c)} || '</td>'" for c in cells)
-    last = f"'<td class=\"msg-cell\">' || {escape_sql('message')} || '</td>'"
-    return f"'<tr class=\"level-' || level || '\">' || {joined} || {last} || '</tr>'"
+    return f"'<tr data-level=\"' || level || '\">' || {joined} || '</tr>'"
 
 
 @query(f"""
@@ -254,35 +253,35 @@ def hash_mismatch_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.prefetch_summary(standins.prefetch_files(spark, sf_dir))
 
 
-_ORDERS_BY_CUSTOMER_SQL = """
-SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place,
-       o_orderdate, o_orderkey % 13 = 0 AS missing
-FROM orders
+_SLOTS_SQL = """
+SELECT o_custkey, (o_orderkey // 45) AS file, o_orderdate, o_orderkey % 13 = 0 AS missing,
+       row_number() OVER (PARTITION BY o_custkey, o_orderkey // 45 ORDER BY o_orderkey) AS place
+FROM (SELECT o_orderkey % 5 AS o_custkey, o_orderkey, o_orderdate FROM orders)
 """
 
 
 @query(f"""
-SELECT o_custkey, CAST(place - 1 AS INTEGER) AS run_index, epoch_us(o_orderdate) AS micros
-FROM (SELECT *, max(CAST(missing AS INTEGER)) OVER (PARTITION BY o_custkey ORDER BY place) AS cut
-      FROM ({_ORDERS_BY_CUSTOMER_SQL}))
+SELECT o_custkey, file, CAST(place - 1 AS INTEGER) AS run_index, epoch_us(o_orderdate) AS micros
+FROM (SELECT *, max(CAST(missing AS INTEGER)) OVER (PARTITION BY o_custkey, file ORDER BY place) AS cut
+      FROM ({_SLOTS_SQL}))
 WHERE cut = 0 AND place <= 8
 """)
 def run_times_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest twelve orders of each customer as run-time slots, some of them empty."""
-    place = F.row_number().over(
-        Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), "o_orderkey")
-    )
+    """All orders as run-time slots, dealt to files of up to nine; some slots are empty."""
+    key = F.col("o_orderkey")
     slots = (
         standins.read(spark, sf_dir, "orders")
-        .withColumn("place", place)
-        .filter(F.col("place") <= 12)
-        .withColumn("slot", F.when(F.col("o_orderkey") % 13 != 0, utc(F.col("o_orderdate"))))
-        .groupBy("o_custkey")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "slot"))).alias("slots"))
-        .select("o_custkey", prefetch.run_times(F.col("slots.slot")).alias("last_run_times"))
+        .select(
+            (key % 5).alias("o_custkey"),
+            F.floor(key / 45).alias("file"),
+            F.struct(key, F.when(key % 13 != 0, utc(F.col("o_orderdate"))).alias("slot")).alias("slot"),
+        )
+        .groupBy("o_custkey", "file")
+        .agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+        .select("o_custkey", "file", prefetch.run_times(F.col("slots.slot")).alias("last_run_times"))
     )
     return prefetch.explode_run_times(slots).select(
-        "o_custkey", "run_index", F.unix_micros("run_time").alias("micros")
+        "o_custkey", "file", "run_index", F.unix_micros("run_time").alias("micros")
     )
 
 
@@ -398,11 +397,12 @@ def preferred_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as names: the return flag is the namespace, the line number the order met."""
     space = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "N", 3).otherwise(9)
     fields = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
-    best = F.min(F.struct(namespace_rank(space).alias("rank"), *fields))
+    names = F.array_sort(F.collect_list(F.struct(*fields, space.alias("namespace"))))
     return (
         standins.read(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
-        .agg(best.alias("best"))
+        .agg(names.alias("names"))
+        .select("l_orderkey", preferred_name(F.col("names")).alias("best"))
         .select("l_orderkey", *[F.col(f"best.{f}").alias(f) for f in fields])
     )
 
@@ -436,7 +436,7 @@ def mft_slot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey AS record_number,
        CASE o_orderkey % 16 WHEN 0 THEN 'marked corrupt by the file system' WHEN 1 THEN 'unknown signature'
             WHEN 2 THEN 'sector 2 does not carry the update number'
-            ELSE 'update sequence array is truncated' END AS reason
+            ELSE 'the slot ends before its sector numbers do' END AS reason
 FROM orders WHERE o_orderkey % 16 IN (0, 1, 2, 9)
 """)
 def mft_slot_failures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gainsay.plans import engine, reports, rules
+from gainsay.sources.case import CaseTables
 from gainsay.workload import standins
 from gainsay.workload.catalog import (
     EVENTS_SQL,
@@ -34,7 +35,7 @@ _FACTS = ("rule_name", "severity", "case_id", "source_path", "evidence")
 
 _RUNS_SQL = f"""
 SELECT 'prefetch_execution_without_evtx' AS rule_name, 'medium' AS severity, case_id, source_path,
-       'Prefetch source: ' || source_path || chr(10) || 'Run timestamp: ' || {iso_sql('ts')} AS evidence
+       'ran at ' || {iso_sql('ts')} || chr(10) || 'recorded by ' || source_path AS evidence
 FROM (SELECT 'case-' || (user_id % 4) AS case_id, 'pf/run-' || event_id || '.pf' AS source_path,
              '"k": ' || (user_id % 100) || '}}' AS name, ts FROM events WHERE event_type = 'purchase') p
 WHERE NOT EXISTS (
@@ -46,8 +47,8 @@ WHERE NOT EXISTS (
 
 _PERSISTENCE_SQL = f"""
 SELECT 'persistence_without_execution' AS rule_name, 'medium' AS severity, case_id, source_path,
-       'Registry source: ' || source_path || chr(10) || 'Key path: ' || key_path || chr(10)
-       || 'Value data: {{"kind":"text","s":"\\"C:\\\\bin\\\\' || p_brand || '.EXE\\" -k"}}' AS evidence
+       'data {{"kind":"text","s":"\\"C:\\\\bin\\\\' || p_brand || '.EXE\\" -k"}}' || chr(10)
+       || 'set under ' || key_path || ' in ' || source_path AS evidence
 FROM ({REGISTRY_SQL}) r
 WHERE p_size % 2 = 0 AND s IS NOT NULL AND NOT EXISTS (
   SELECT 1 FROM ({PARTS_RUN_SQL}) x WHERE x.case_id = r.case_id AND x.exe_key = lower(r.p_brand || '.exe'))
@@ -55,7 +56,7 @@ WHERE p_size % 2 = 0 AND s IS NOT NULL AND NOT EXISTS (
 
 _HASH_SQL = f"""
 SELECT 'prefetch_filename_hash_mismatch' AS rule_name, 'high' AS severity, case_id, source_path,
-       'Prefetch source: ' || source_path || chr(10) || 'Embedded hash: ' || prefetch_hash AS evidence
+       'hash inside ' || prefetch_hash || chr(10) || 'file name ' || source_path AS evidence
 FROM ({PREFETCH_FILES_SQL}) WHERE filename_hash_matches = false
 """
 
@@ -68,20 +69,20 @@ SELECT *, current - previous - 1 AS missing FROM (
 
 _GAPS_SQL = f"""
 SELECT 'evtx_record_number_gap' AS rule_name, 'medium' AS severity, case_id, source_path,
-       'Event log source: ' || source_path || chr(10) || 'Gap range: ' || (previous + 1) || '-' || (current - 1) AS evidence
+       'absent ' || (previous + 1) || ' to ' || (current - 1) || chr(10) || 'log ' || source_path AS evidence
 FROM ({_LOG_GAPS_SQL}) WHERE missing >= 10
 UNION ALL
 SELECT 'evtx_record_number_gap', 'info', case_id, source_path,
-       string_agg('Gap range: ' || (previous + 1) || '-' || (current - 1) || ' (' || missing || ' missing)', chr(10)
+       string_agg('absent ' || (previous + 1) || ' to ' || (current - 1) || ', ' || missing || ' in all', chr(10)
                   ORDER BY previous) FILTER (place <= 10)
-       || CASE WHEN count(*) > 10 THEN chr(10) || '... and ' || (count(*) - 10) || ' more' ELSE '' END
+       || CASE WHEN count(*) > 10 THEN chr(10) || (count(*) - 10) || ' further gaps' ELSE '' END
 FROM (SELECT *, row_number() OVER (PARTITION BY case_id, source_path ORDER BY previous) AS place
       FROM ({_LOG_GAPS_SQL}) WHERE missing < 10) GROUP BY case_id, source_path
 """
 
 _STOMPED_SQL = f"""
 SELECT 'mft_timestomping_detected' AS rule_name, 'high' AS severity, case_id, source_path,
-       'Anomalous fields: ' || anomalies AS evidence
+       'set back: ' || anomalies AS evidence
 FROM ({MFT_SQL}) WHERE anomalies <> ''
 """
 
@@ -175,20 +176,21 @@ _DESCRIPTION_SQL = """
 """
 
 
-@query(f"""
-SELECT '<tr class="sev-high"><td>HIGH</td><td>prefetch_filename_hash_mismatch</td><td>'
-       || {escape_sql(_DESCRIPTION_SQL)} || '</td><td>Prefetch source: ' || {escape_sql('source_path')}
-       || '<br>Embedded hash: ' || prefetch_hash || '</td><td>' || {escape_sql('source_path')} || '</td></tr>' AS value
-FROM ({PREFETCH_FILES_SQL}) WHERE filename_hash_matches = false
-""")
+_HASH_ROW_SQL = f"""
+'<tr data-severity="high"><th>prefetch_filename_hash_mismatch</th><td>' || {escape_sql(_DESCRIPTION_SQL)}
+|| '</td><td><ul><li>hash inside ' || prefetch_hash || '</li><li>file name ' || {escape_sql('source_path')}
+|| '</li></ul></td><td>' || {escape_sql('source_path')} || '</td></tr>'
+"""
+
+
+@query(f"SELECT {_HASH_ROW_SQL} AS value FROM ({PREFETCH_FILES_SQL}) WHERE filename_hash_matches = false")
 def findings_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.findings_report(rules.prefetch_hash_mismatch(standins.case_tables(spark, sf_dir)))
 
 
 @query(f"""
-SELECT concat_ws(chr(10), 'Rule: prefetch_filename_hash_mismatch', 'Severity: HIGH', '',
-                 {_DESCRIPTION_SQL}, '', 'Evidence:', '  - Prefetch source: ' || source_path,
-                 '  - Embedded hash: ' || prefetch_hash, '', 'Sources:', '  - ' || source_path) AS detail
+SELECT concat_ws(chr(10), '[HIGH] prefetch_filename_hash_mismatch', {_DESCRIPTION_SQL},
+                 '* hash inside ' || prefetch_hash, '* file name ' || source_path, 'in ' || source_path) AS detail
 FROM ({PREFETCH_FILES_SQL}) WHERE filename_hash_matches = false
 """)
 def finding_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,12 +198,36 @@ def finding_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(reports.finding_detail().alias("detail"))
 
 
-@query("""
-SELECT '<tr><td colspan="5">No findings.</td></tr>' AS value
+@query(f"""
+SELECT {_HASH_ROW_SQL} AS value FROM ({PREFETCH_FILES_SQL}) WHERE filename_hash_matches = false AND prefetch_hash = '00000000'
+UNION ALL
+SELECT '<tr data-severity="none"><td>nothing was found</td></tr>' WHERE NOT EXISTS (
+  SELECT 1 FROM ({PREFETCH_FILES_SQL}) WHERE filename_hash_matches = false AND prefetch_hash = '00000000')
 """)
 def empty_findings_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No part file carries a hash, so there is nothing that could differ."""
-    tables = standins.CaseTables.build(
-        standins.prepare(spark), prefetch=standins.executed_parts(spark, sf_dir)
+    """All files are compared; none of those that differ has the hash zero."""
+    found = rules.prefetch_hash_mismatch(standins.case_tables(spark, sf_dir))
+    zero = F.get_json_object("details", "$.prefetch_hash") == "00000000"
+    return reports.findings_report(found.filter(zero))
+
+
+@query(f"""
+SELECT 'busy_log' AS rule_name, case_id, source_path, count(*) AS records
+FROM ({EVENTS_SQL}) GROUP BY case_id, source_path HAVING count(*) > 10
+""")
+def custom_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule of the caller's own, run by the engine like the built-in ones."""
+
+    def busy_logs(tables: CaseTables) -> DataFrame:
+        counted = tables.events.groupBy("case_id", "source_path").agg(F.count(F.lit(1)).alias("records"))
+        return rules.findings(
+            counted.filter(F.col("records") > 10), "busy_log", "low",
+            description=F.lit("A log with many records."), evidence=[F.col("records").cast("string")],
+            details={"records": F.col("records")}, ordinal=F.lit(0),
+        )
+
+    found = engine.run(standins.case_tables(spark, sf_dir), (engine.Rule("busy_log", busy_logs),), ordered=False)
+    return found.select(
+        "rule_name", "case_id", F.get("source_paths", F.lit(0)).alias("source_path"),
+        F.get_json_object("details", "$.records").cast("bigint").alias("records"),
     )
-    return reports.findings_report(rules.prefetch_hash_mismatch(tables))

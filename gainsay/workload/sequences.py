@@ -41,12 +41,45 @@ def record_gap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.summarise(gaps.minor(_user_gaps(spark, sf_dir)), ["user_id"])
 
 
+_SMALL_USER_GAPS_SQL = """
+SELECT * FROM (SELECT user_group, previous, current, current - previous - 1 AS missing FROM (
+  SELECT user_id % 8 AS user_group, event_id AS previous,
+         lead(event_id) OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS current FROM events)
+  WHERE current - previous > 1) WHERE missing < 10
+"""
+
+
+def _small_group_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources coarse enough to have many small gaps each."""
+    rows = standins.read(spark, sf_dir, "events").withColumn("user_group", F.col("user_id") % 8)
+    return gaps.minor(gaps.record_gaps(rows, by=["user_group"], number="event_id"))
+
+
 @query(f"""
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY previous) AS INTEGER) AS place
-               FROM ({USER_GAPS_SQL}) WHERE missing < 10) WHERE place <= 2
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_group ORDER BY previous) AS INTEGER) AS place
+               FROM ({_SMALL_USER_GAPS_SQL})) WHERE place <= 10
 """)
 def record_gap_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps.first_gaps(gaps.minor(_user_gaps(spark, sf_dir)), ["user_id"], limit=2)
+    return gaps.first_gaps(_small_group_gaps(spark, sf_dir), ["user_group"])
+
+
+@query("""
+SELECT 'many.evtx' AS source_path, string_agg(line, chr(10) ORDER BY place) FILTER (place <= 10)
+       || CASE WHEN count(*) > 10 THEN chr(10) || (count(*) - 10) || ' further gaps' ELSE '' END AS evidence
+FROM (SELECT 'absent ' || (previous + 1) || ' to ' || (current - 1) || ', ' || (current - previous - 1) || ' in all' AS line,
+             row_number() OVER (ORDER BY previous) AS place
+      FROM (SELECT event_id AS previous, lead(event_id) OVER (ORDER BY event_id) AS current
+            FROM events WHERE event_id % 3 > 0) WHERE current - previous BETWEEN 2 AND 10)
+""")
+def small_gap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log in which every third record is missing: ten gaps are named, the others counted."""
+    rows = standins.events(spark, sf_dir).filter(F.col("record_number") % 3 > 0)
+    one_log = rows.withColumns({"case_id": F.lit("case"), "source_path": F.lit("many.evtx")})
+    tables = standins.CaseTables.build(spark, events=one_log)
+    found = rules.record_number_gap(tables).filter(F.col("severity") == "info")
+    return found.select(
+        F.get("source_paths", F.lit(0)).alias("source_path"), F.array_join("evidence", "\n").alias("evidence")
+    )
 
 
 def _probes(spark: SparkSession, sf_dir: str, case_id=None) -> DataFrame:
@@ -95,18 +128,24 @@ def gated_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases 2 and 3 have no events at all, so nothing can be said about them."""
     case_id = standins.case_of("user_id")
     texts = _texts(spark, sf_dir, case_id).filter(F.col("case_id").isin("case-0", "case-1"))
-    left = unmatched_in_window(_probes(spark, sf_dir, case_id), texts, window=WINDOW)
-    return only_cases_with(left, texts).select("case_id", "event_id")
+    probes = only_cases_with(_probes(spark, sf_dir, case_id), texts)
+    return unmatched_in_window(probes, texts, window=WINDOW).select("case_id", "event_id")
 
 
 @query("""
-SELECT p.event_id FROM events p WHERE p.event_type = 'purchase'
-  AND EXISTS (SELECT 1 FROM events WHERE event_type = 'none such')
+SELECT p.event_id FROM events p
+WHERE p.event_type = 'purchase' AND p.user_id % 4 IN (SELECT user_id % 4 FROM events WHERE contains(props, '"k": 1}'))
 """)
 def gated_anti_join_without_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _texts(spark, sf_dir).filter(F.lit(False))
-    left = unmatched_in_window(_probes(spark, sf_dir), texts, window=WINDOW)
-    return only_cases_with(left, texts).select("event_id")
+    """A case has its say only if some event of it holds the text; no event is near enough in time."""
+    case_id = standins.case_of("user_id")
+    rows = standins.read(spark, sf_dir, "events")
+    texts = rows.filter(F.contains("props", F.lit('"k": 1}'))).select(
+        case_id.alias("case_id"), F.col("props").alias("text"),
+        (utc(F.col("ts")) - F.expr("INTERVAL '9000' DAY")).alias("time"),
+    )
+    probes = only_cases_with(_probes(spark, sf_dir, case_id), texts)
+    return unmatched_in_window(probes, texts, window=WINDOW).select("event_id")
 
 
 @query(f"""

@@ -14,8 +14,6 @@ from gainsay.functions.text import html_escape, iso_timestamp
 from gainsay.functions.time import timestamp_to_filetime, utc
 from gainsay.functions.prefetch import filename_hash_matches, hash_hex
 from gainsay.functions.mft import timestamp_anomalies
-from gainsay.operators.rows import spread
-from gainsay.session import prepare
 from gainsay.sources.case import CaseTables
 
 SLOT_BYTES = 1024
@@ -24,7 +22,7 @@ _UPDATE_NUMBER = b"\x07\x00"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def case_of(key: str) -> Column:
@@ -155,7 +153,7 @@ def case_tables(spark: SparkSession, sf_dir: str) -> CaseTables:
         [f(spark, sf_dir) for f in (purchases, prefetch_files, executed_parts)],
     )
     return CaseTables.build(
-        prepare(spark),
+        spark,
         events=events(spark, sf_dir),
         registry_values=registry_values(spark, sf_dir),
         prefetch=prefetch,
@@ -164,12 +162,16 @@ def case_tables(spark: SparkSession, sf_dir: str) -> CaseTables:
 
 
 def event_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as XML text; the last digit of the number picks a well-formed or a damaged shape."""
+    """Events as XML text; the last digit of the number picks a well-formed or a damaged shape.
+
+    Of the plain ones (0, 4 and 5) the next digits make some with repeated fields, mixed content, a prefix
+    or another root, which are the same events to a tree parser.
+    """
     digit = F.col("event_id") % 10
     head = F.lit(f'<?xml version="1.0" encoding="utf-8"?>\n<Event xmlns="{EVENT_NAMESPACE}">')
     number = F.when(digit == 4, "n/a").otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit("\n")))
     instant = F.when(digit == 5, "not a time").otherwise(
-        F.concat(F.date_format(utc(F.col("ts")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+        F.replace(iso_timestamp(utc(F.col("ts"))), F.lit("+00:00"), F.lit("Z"))
     )
     system = F.concat(
         F.lit("<System>"),
@@ -197,18 +199,31 @@ def event_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         ))
     )
     end = F.when(digit == 1, "</Sys").when(digit == 3, "</Event><Event/>").otherwise("</Event>")
-    return spread(read(spark, sf_dir, "events")).select(
+    shape = F.when(digit.isin(0, 4, 5), F.floor(F.col("event_id") / 10) % 5).otherwise(-1)
+
+    def shaped(text: Column) -> Column:
+        named = F.replace(F.replace(text, F.lit("<Event "), F.lit("<Entry ")), F.lit("</Event>"), F.lit("</Entry>"))
+        spaced = F.regexp_replace(text, r"<(/?)([A-Z][A-Za-z]*|b)(?=[ />])", "<$1e:$2")
+        return (
+            F.when(shape == 1, F.replace(text, F.lit("</EventID>"), F.lit("</EventID><EventID>7</EventID>")))
+            .when(shape == 2, F.replace(text, F.lit("<Level>4<"), F.lit("<Level>x<y/>4<")))
+            .when(shape == 3, F.replace(spaced, F.lit(" xmlns="), F.lit(" xmlns:e=")))
+            .when(shape == 4, named)
+            .otherwise(text)
+        )
+
+    return read(spark, sf_dir, "events").select(
         case_of("user_id").alias("case_id"),
         F.concat(F.lit("xml/user-"), F.col("user_id").cast("string")).alias("source_path"),
         F.col("event_id").alias("record_number"),
-        F.concat(
+        shaped(F.concat(
             head,
             F.when(digit == 2, "").otherwise(system),
             before,
             F.when(digit == 9, "").otherwise(html_escape(F.col("props"))),
             after,
             end,
-        ).alias("raw_xml"),
+        )).alias("raw_xml"),
     )
 
 
@@ -285,7 +300,7 @@ def mft_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("00" * (SLOT_BYTES // 2 - 2)), tail,
     )
     return (
-        spread(read(spark, sf_dir, "orders"))
+        read(spark, sf_dir, "orders")
         .withColumn("_kind", F.col("o_orderkey") % 16)
         .withColumn("_named", timestamp_to_filetime(utc(F.col("o_orderdate"))))
         .withColumn("_name", F.concat(F.lit("ordre-é-"), F.col("o_orderkey").cast("string")))

@@ -107,6 +107,34 @@ def test_message(decoded, body, expected):
     assert row.reason is None and row.message == expected
 
 
+def test_fields_are_first_children_and_their_leading_text(decoded):
+    one = "<System><EventID>5</EventID><EventID>6</EventID><Level>a<b/>c</Level><Computer>x<!-- n -->y</Computer></System>"
+    prefixed = (
+        f'<e:Event xmlns:e="{EVENT_NAMESPACE}"><e:System><e:EventID>7</e:EventID><e:Provider Name="P"/></e:System>'
+        "<EventData>not of the namespace</EventData><e:EventData><e:Data>d</e:Data></e:EventData></e:Event>"
+    )
+    other_root = f'<Record xmlns="{EVENT_NAMESPACE}"><System><EventID>8</EventID></System></Record>'
+    twice = event("<System><EventID>1</EventID></System><System><EventID>2</EventID></System>")
+    wrong = '<e:Event xmlns:e="urn:other"><e:System/></e:Event>'
+    rows = decoded([event(one), prefixed, other_root, twice, wrong])
+    assert [r.reason for r in rows] == [None] * 4 + ["no System element"]
+    assert [r.event_id for r in rows[:4]] == [5, 7, 8, 1]
+    assert rows[0].level is None and rows[0].computer_name == "xy"
+    assert (rows[1].provider_name, rows[1].message) == ("P", "d")
+
+
+def test_times_without_a_zone_are_utc_in_any_session(spark, decoded):
+    texts = [event(f'<System><TimeCreated SystemTime="{t}"/></System>') for t in ("2024-03-10T02:30:00", "2024-03-10", "2024-03-10T02:30:00+01:00")]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.createDataFrame([("c", "f", i, t) for i, t in enumerate(texts)], "case_id string, source_path string, record_number bigint, raw_xml string")
+        found = decode(df).orderBy("record_number").selectExpr("unix_seconds(timestamp) s").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [r.s for r in found] == [1710037800, 1710028800, 1710034200]
+
+
 def test_export_files_split_at_the_end_tag(spark, tmp_path):
     body = "".join(
         event(f"<System><EventID>{i}</EventID><EventRecordID>{i}</EventRecordID></System>")
@@ -118,3 +146,15 @@ def test_export_files_split_at_the_end_tag(spark, tmp_path):
     assert sorted(r.record_number for r in records.collect()) == [1, 2, 3, 4, 5]
     assert failures.count() == 0
     assert records.first().source_path.endswith("log.xml")
+
+
+def test_a_cut_off_event_at_the_end_of_a_file_is_a_failure(spark, tmp_path):
+    system = "<System><EventID>{0}</EventID><EventRecordID>{0}</EventRecordID></System>"
+    whole = "".join(event(system.format(i)) for i in range(1, 4))
+    (tmp_path / "cut log.xml").write_text(whole + event(system.format(9))[: -len("</Event>")])
+    (tmp_path / "ends.xml").write_text(whole)
+    (tmp_path / "tail.xml").write_text(f"<Events>{whole}\n</Events>\n")
+    records, failures = events_from_xml(read_xml_export(spark, str(tmp_path)))
+    assert sorted(r.record_number for r in records.collect()) == [1, 1, 1, 2, 2, 2, 3, 3, 3]
+    (failure,) = failures.collect()
+    assert failure.reason == "malformed XML" and failure.source_path == str(tmp_path / "cut log.xml")

@@ -3,6 +3,7 @@
 import struct
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from slots import attribute, file_name, slot, standard
 
@@ -11,8 +12,8 @@ from gainsay.operators import slots as decoder
 from gainsay.sources import case
 from gainsay.sources.slots import read_slots
 
-MADE = datetime(2024, 6, 20, 3)
-OLD = datetime(2011, 3, 1)
+MADE = datetime(2019, 2, 28, 17, 45)
+OLD = datetime(2003, 11, 5)
 SECOND = timedelta(seconds=1)
 
 
@@ -26,13 +27,13 @@ def decode(spark):
 
 
 def test_ordinary_directory_and_backdated_records(decode):
-    day, later = datetime(2024, 1, 10, 9), datetime(2024, 5, 2, 14, 30)
+    first, next_year = datetime(1999, 12, 31, 23, 59, 58), datetime(2000, 7, 8, 1, 2, 3)
     rows = decode(
-        slot(standard(day, later, later, later), file_name("report.docx", 1, day)),
-        slot(standard(day, day, day, day), file_name("Documents", 3, day), flags=3),
-        slot(standard(OLD, OLD, MADE, OLD), file_name("svchost_updater.exe", 1, MADE)),
+        slot(standard(first, next_year, next_year, next_year), file_name("tide tables.csv", 1, first)),
+        slot(standard(first, first, first, first), file_name("harbour", 3, first), flags=3),
+        slot(standard(OLD, OLD, MADE, OLD), file_name("buoy-17.bin", 1, MADE)),
     )
-    assert [r.filename for r in rows] == ["report.docx", "Documents", "svchost_updater.exe"]
+    assert [r.filename for r in rows] == ["tide tables.csv", "harbour", "buoy-17.bin"]
     assert [r.is_directory for r in rows] == [False, True, False]
     assert [r.embedded_record_number for r in rows] == [0, 0, 0]
     assert [r.likely_timestomped for r in rows] == [False, False, True]
@@ -46,13 +47,34 @@ def test_unused_slots_leave_no_row_but_count(decode):
     assert [r.record_number for r in decode(good, bytes(1024), good)] == [0, 2]
 
 
+def test_a_slot_that_breaks_the_decoder_is_a_failure_of_its_own(monkeypatch):
+    good, bad = slot(file_name("a", 1, MADE)), slot(file_name("poison", 1, MADE))
+    names = decoder._name_text
+
+    def broken(content, chars):
+        text = names(content, chars)
+        if text == "poison":
+            raise ZeroDivisionError("poison")
+        return text
+
+    monkeypatch.setattr(decoder, "_name_text", broken)
+    raws = [good, bad, bytes(1024), good, None]
+    batch = pa.RecordBatch.from_pydict({
+        "case_id": ["c"] * 5, "source_path": ["f"] * 5, "record_number": list(range(5)),
+        "raw": pa.array(raws, pa.binary()),
+    })
+    rows = [r for part in decoder._decode_batches(iter([batch])) for r in part.to_pylist()]
+    assert [(r["record_number"], r["reason"]) for r in rows] == [(0, None), (1, "cannot be decoded: poison"), (3, None)]
+    assert rows[2]["names"][0]["name"] == "a"
+
+
 @pytest.mark.parametrize(
     "raw, reason",
     [
         (slot(signature=b"BAAD"), "marked corrupt by the file system"),
         (slot(signature=b"XXXX"), "unknown signature"),
-        (slot(usa_count=0), "update sequence array is truncated"),
-        (slot(usa_offset=1022), "update sequence array is truncated"),
+        (slot(usa_count=0), "the slot ends before its sector numbers do"),
+        (slot(usa_offset=1022), "the slot ends before its sector numbers do"),
         (slot()[:-1] + b"!", "sector 2 does not carry the update number"),
         (slot()[:510] + b"!!" + slot()[512:], "sector 1 does not carry the update number"),
         (slot(attribute(0x99, bytes(904)), struct.pack("<II", 0x10, 8), used=1024, first=56 + 24 + 0,
@@ -140,7 +162,7 @@ def test_slot_file_scan(spark, tmp_path):
         found = records.orderBy("record_number").collect()
         assert [r.filename for r in found] == [f"n{i}" for i in range(5)]
         assert [r.embedded_record_number for r in found] == list(range(5))
-        assert found[0].source_path == uri and failures.count() == 0
+        assert found[0].source_path == str(path) and failures.count() == 0
 
 
 def test_other_record_sizes(spark, tmp_path):

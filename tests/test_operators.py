@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gainsay.operators import gaps, presence
 from gainsay.operators.rows import only_cases_with, split_failures, without_bad_files
-from gainsay.operators.tree import key_paths, with_subkey_counts
+from gainsay.operators.tree import key_failures, key_paths, with_subkey_counts
 
 # --- gaps --------------------------------------------------------------------------------------
 
@@ -160,21 +160,27 @@ def test_tree_leaves_out_failed_orphaned_and_looping_keys(spark):
         ("c", "h", 7, 99, "orphan", None), ("c", "h", 8, 9, "loop", None), ("c", "h", 9, 8, "loop", None),
         ("c", "other", 1, None, "R2", None), ("c", "other", 2, 1, "Z", None),
     ]
-    out = key_paths(spark.createDataFrame(rows, CELLS), max_depth=16).collect()
+    out = key_paths(spark.createDataFrame(rows, CELLS)).collect()
     assert {(r.source_path, r.path) for r in out} == {
         ("h", "ROOT"), ("h", "ROOT\\A"), ("h", "ROOT\\A\\B"), ("other", "R2"), ("other", "R2\\Z")
     }
 
 
 def test_tree_of_a_long_chain(spark):
-    rows = [("c", "h", i, i - 1 if i else None, str(i), None) for i in range(100)]
+    rows = [("c", "h", i, i - 1 if i else None, str(i), None) for i in range(2000)]
+    rows += [("c", "loop", i, (i + 1) % 7, str(i), None) for i in range(7)]
     out = key_paths(spark.createDataFrame(rows, CELLS))
-    assert out.count() == 100
-    assert out.filter(F.col("key_id") == 99).first().names == [str(i) for i in range(100)]
+    assert out.count() == 2000
+    assert out.filter(F.col("key_id") == 1999).first().names == [str(i) for i in range(2000)]
     order = [r.key_id for r in out.orderBy("names").limit(3).collect()]
     assert order == [0, 1, 2]
 
 
+def test_unreadable_keys_are_listed(spark):
+    rows = [("c", "h", 1, None, "R", None), ("c", "h", 4, 1, "bad", "unreadable")]
+    assert [tuple(r) for r in key_failures(spark.createDataFrame(rows, CELLS)).collect()] == [("c", "h", 4, "unreadable")]
+
+
 def test_subkey_counts(spark):
     rows = [("c", "h", 1, None, "R", None), ("c", "h", 2, 1, "A", None), ("c", "h", 3, 1, "B", None)]
     out = with_subkey_counts(spark.createDataFrame(rows, CELLS))
