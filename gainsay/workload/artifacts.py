@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gainsay.functions import prefetch, registry
 from gainsay.functions.mft import preferred_name, timestamp_anomalies
-from gainsay.functions.text import basename, html_escape, row_contains
+from gainsay.functions.text import basename, html_escape, numeric_first, row_contains
 from gainsay.functions.time import filetime_to_timestamp, timestamp_to_filetime, utc
 from gainsay.operators import rows as row_ops
 from gainsay.operators.slots import slot_mismatches
@@ -504,3 +506,124 @@ def invalid_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = standins.case_files(spark, sf_dir)
     number = F.regexp_extract("path", r"-(\d+)", 1).cast("bigint")
     return discovery.invalid_files(files, F.when(number % 2 == 0, "evtx").otherwise("registry"))
+
+
+# --- what failed, and listings -----------------------------------------------------------------
+
+
+@query("""
+SELECT 'events' AS stage, count(*) AS failures FROM events WHERE event_id % 10 IN (1, 2, 3)
+UNION ALL SELECT 'mft', count(*) FROM orders WHERE o_orderkey % 16 IN (0, 1, 2, 9)
+UNION ALL SELECT 'prefetch', sum(CASE WHEN c_custkey % 5 < 2 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END)
+FROM customer
+""")
+def failures_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dead letters of all decoders in one table."""
+    parts = (
+        ("events", case.events_from_xml(standins.event_xml(spark, sf_dir)), "record_number"),
+        ("mft", case.mft_from_slots(standins.mft_slots(spark, sf_dir)), "record_number"),
+        ("prefetch", case.prefetch_from_rows(_raw_prefetch(spark, sf_dir)), "field_group"),
+    )
+    letters = [case.failures_of(stage, failures, place) for stage, (_, failures), place in parts]
+    return reduce(DataFrame.unionByName, letters).groupBy("stage").agg(F.count(F.lit(1)).alias("failures"))
+
+
+@query(f"""
+SELECT count(*) AS record_count, count(*) FILTER (anomalies <> '') AS timestomped_count,
+       count(*) FILTER (is_directory) AS directory_count, count(*) FILTER (NOT is_allocated) AS deleted_count,
+       (SELECT count(*) FROM orders WHERE o_orderkey % 16 IN (0, 1, 2, 9)) AS failure_count
+FROM ({MFT_SQL})
+""")
+def mft_summary_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, failures = case.mft_from_slots(standins.mft_slots(spark, sf_dir))
+    return reports.mft_summary(standins.mft(spark, sf_dir), failures)
+
+
+def _keys_with_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as registry keys, their lines as values; some value lists could not be read."""
+    value = F.struct(F.col("l_linenumber").alias("number"), F.col("l_returnflag").alias("name"))
+    lines = standins.read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(value)).alias("values")
+    )
+    orders = standins.read(spark, sf_dir, "orders")
+    rows = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
+    unread = F.col("o_orderkey") % 11 == 0
+    return rows.select(
+        F.lit("case").alias("case_id"), F.lit("hive").alias("source_path"), "o_orderkey",
+        F.concat(F.lit("HKLM\\"), F.col("o_orderpriority")).alias("path"),
+        F.col("o_orderpriority").alias("name"), F.col("o_orderdate").alias("last_written"),
+        F.lit(0).alias("subkey_count"), F.size("values").alias("value_count"),
+        F.when(~unread, F.col("values")).alias("values"),
+        F.when(unread, "values cannot be listed").alias("values_error"),
+    )
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'values cannot be listed' ELSE '' END AS reason,
+       CASE WHEN o_orderkey % 11 = 0 THEN -1 ELSE l_linenumber END AS number,
+       CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE l_returnflag END AS name
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND o_orderkey % 11 > 0
+WHERE o_orderkey % 11 = 0 OR l_linenumber IS NOT NULL
+""")
+def values_under_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key whose value list failed keeps one failure row; the values of the others go on."""
+    rows = registry.explode_values(_keys_with_values(spark, sf_dir).drop("name"))
+    return rows.select(
+        "o_orderkey", F.coalesce("reason", F.lit("")).alias("reason"),
+        F.coalesce("value.number", F.lit(-1)).cast("bigint").alias("number"),
+        F.coalesce("value.name", F.lit("")).alias("name"),
+    )
+
+
+@query("""
+SELECT 'HKLM' || chr(92) || o_orderpriority AS path, o_orderpriority AS name, epoch_us(o_orderdate) AS micros,
+       CAST(0 AS BIGINT) AS subkey_count, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS value_count
+FROM orders
+""")
+def key_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _keys_with_values(spark, sf_dir)
+    keys = keys.withColumn("value_count", F.greatest(F.coalesce("value_count", F.lit(0)), F.lit(0)))
+    return registry.project_keys(keys).select(
+        "path", "name", F.unix_micros("last_written").alias("micros"), "subkey_count", "value_count"
+    )
+
+
+@query("""
+SELECT c_name AS executable_name, v.device_path, upper(printf('%08x', c_custkey)) AS serial_number
+FROM customer JOIN (SELECT c_custkey AS k, c_mktsegment AS device_path, unnest(range(0, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END)) AS i
+                    FROM customer) v ON v.k = c_custkey
+""")
+def prefetch_volume_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _ = case.prefetch_from_rows(_raw_prefetch(spark, sf_dir))
+    volumes = reports.prefetch_volumes(records)
+    name = F.regexp_extract("source_path", r"^(.*)-[0-9A-F]{8}\.pf$", 1)
+    return volumes.select(name.alias("executable_name"), "device_path", "serial_number")
+
+
+@query("""
+SELECT executable_name, CAST(NULL AS VARCHAR) AS micros, CAST(2 AS INTEGER) AS filename_count
+FROM (SELECT c_name AS executable_name FROM customer)
+""")
+def prefetch_run_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No run time was decoded: each record keeps one row."""
+    records, _ = case.prefetch_from_rows(_raw_prefetch(spark, sf_dir))
+    return reports.prefetch_listing(records).select(
+        "executable_name", F.unix_micros("run_time").cast("string").alias("micros"), "filename_count"
+    )
+
+
+@query("""
+SELECT p_brand, first, CAST(n AS BIGINT) AS labels FROM (
+  SELECT p_brand, count(*) AS n, arg_min(label, (CASE WHEN p_size % 3 = 0 THEN p_size * 1.0 ELSE 1e9 END, label)) AS first
+  FROM (SELECT *, CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS VARCHAR) ELSE 'x' || p_size END AS label FROM part)
+  GROUP BY p_brand)
+""")
+def numeric_first_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first label of each container when numbers sort by value and before other texts."""
+    size = F.col("p_size")
+    label = F.when(size % 3 == 0, size.cast("string")).otherwise(F.concat(F.lit("x"), size.cast("string")))
+    rows = standins.read(spark, sf_dir, "part").withColumn("label", label)
+    return rows.groupBy("p_brand").agg(
+        F.min_by("label", F.struct(*numeric_first("label"))).alias("first"),
+        F.count(F.lit(1)).alias("labels"),
+    )
