@@ -9,12 +9,15 @@ on a random component, and a component keeps the shingle that comes first. Two t
 component with just the probability that is their similarity. A shingle stops as soon as its next
 arrival is later than the last first arrival of all components (early termination).
 
-Groups stay whole without pairs inside them. Equal texts are one text from the start. In a bucket of
-a band all texts are compared with the smallest one, first each text with the smallest of all its
-buckets, then with the others where the two are not in one class yet. What is left are texts of a
-bucket in different classes. Of those, only pairs are compared whose distances from the bucket's
-smallest text do not differ by more than the threshold allows: the distance is a metric, so
-for the others the triangle inequality already rules a link out.
+Groups stay whole without pairs inside them. Equal texts are one text from the start. A bucket of a band
+has a hub, the text that meets most others over all its buckets: in a group of copies the original,
+which is nearer to every copy than they are to each other. Texts are compared with hubs, first each
+with the strongest hub of all its buckets, then with the others where the two are not in one class
+yet. What is left are texts of a bucket in different classes. Of those, only pairs become rows
+whose signatures agree nearly as often as the threshold asks (five standard deviations below it; a
+link at the very threshold fails that in three of ten million cases) and whose distances from the
+bucket's hub do not differ by more than the threshold allows: the distance is a metric, so for the
+others the triangle inequality rules a link out.
 """
 
 from __future__ import annotations
@@ -25,17 +28,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gainsay.llm.common import raw, slices, staged, texts
 from gainsay.llm.shingles import mix, weighted_sets
 
 BANDS, ROWS = 36, 6
+# Signatures have this many times the components that the bands use; the more, the closer the estimate.
+PRECISION = 2
 THRESHOLD = 0.8
 # Distances are compared as floats: a pair on the edge is compared rather than ruled out.
 _SLACK = 1e-9
 
-_SIGNED = "row_id bigint, doc_id bigint, d1 bigint, d2 bigint, bands array<bigint>"
+_DEVIATIONS = 5
+
+_SIGNED = "row_id bigint, doc_id bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch array<bigint>"
 
 
 def weights(counts: np.ndarray) -> np.ndarray:
@@ -82,6 +89,31 @@ def band_keys(owners: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(owners: np.ndarray) -> np.ndarray:
+    """One byte of every component's owner, eight to a number."""
+    low = (mix(owners.copy()) & np.uint64(0xFF)).astype(np.uint8)
+    padding = -low.shape[1] % 8
+    return np.pad(low, ((0, 0), (0, padding))).view(np.int64)
+
+
+def differing(one: Column, other: Column) -> Column:
+    """In how many components two sketches differ."""
+
+    def unequal_bytes(a: Column, b: Column) -> Column:
+        x = a.bitwiseXOR(b)
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return F.aggregate(F.zip_with(one, other, unequal_bytes), F.lit(0), lambda n, m: n + m)
+
+
+def most_differing(components: int, threshold: float) -> int:
+    """Components in which texts at the threshold still may differ."""
+    mean, deviation = components * (1 - threshold), (components * threshold * (1 - threshold)) ** 0.5
+    return int(mean + _DEVIATIONS * deviation)
+
+
 def probability_jaccard(
     ids: np.ndarray, w: np.ndarray, other_ids: np.ndarray, v: np.ndarray
 ) -> float:
@@ -104,7 +136,7 @@ def probability_jaccard(
 def sign(
     docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per row of ``docs``: a row number, the text's MD5 as two numbers, its band keys.
+    """One row per row of ``docs``: a row number, the text's MD5 as two numbers, its band keys and sketch.
 
     Texts without words have no keys.
     """
@@ -116,16 +148,22 @@ def sign(
                 plain = raw(part.column("text"))
                 digests = b"".join(hashlib.md5(t).digest() for t in plain)
                 digests = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
-                owners, some = signatures(plain, bands * rows)
-                keys = band_keys(owners, bands, rows)[some]
-                ends = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
+                owners, some = signatures(plain, PRECISION * bands * rows)
+                keys = band_keys(owners[:, : bands * rows], bands, rows)[some]
+                sketch = sketches(owners[some])
+
+                def lists(table: np.ndarray) -> pa.ListArray:
+                    ends = np.concatenate([[0], np.cumsum(some * table.shape[1])]).astype(np.int32)
+                    return pa.ListArray.from_arrays(pa.array(ends), pa.array(table.ravel()))
+
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + len(plain))),
                     part.column("doc_id"),
                     pa.array(digests[:, 0]),
                     pa.array(digests[:, 1]),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())),
-                ], names=["row_id", "doc_id", "d1", "d2", "bands"])
+                    lists(keys),
+                    lists(sketch),
+                ], names=["row_id", "doc_id", "d1", "d2", "bands", "sketch"])
                 row += len(plain)
 
     selected = texts(docs, doc_id, text)
@@ -215,13 +253,16 @@ def near_copies(
 
     distinct = signed.join(copies.select(F.col("text_id").alias("row_id")), "row_id", "left_semi")
     members = distinct.select(F.col("row_id").alias("text_id"), F.explode("bands").alias("bucket"))
-    shared = (
-        members.groupBy("bucket")
-        .agg(F.min("text_id").alias("pivot"), F.max("text_id").alias("last"))
-        .filter(F.col("pivot") < F.col("last"))
-        .drop("last")
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+    met = staged(members.join(shared, "bucket"), "met")
+    degrees = met.groupBy("text_id").agg(F.sum("size").alias("degree"))
+    hubs = (
+        met.join(degrees, "text_id")
+        .groupBy("bucket")
+        .agg(F.max(F.struct("degree", "text_id")).alias("hub"))
+        .select("bucket", F.col("hub.text_id").alias("hub"), F.col("hub.degree").alias("degree"))
     )
-    buckets = staged(members.join(shared, "bucket"), "buckets")
+    buckets = staged(met.select("bucket", "text_id").join(hubs, "bucket"), "buckets")
 
     # The texts of all buckets, each once.
     wanted = copies.join(buckets.select("text_id").distinct(), "text_id", "left_semi")
@@ -239,18 +280,18 @@ def near_copies(
         "bodies",
     )
 
-    stars = buckets.filter(F.col("text_id") != F.col("pivot")).select(
-        F.col("pivot").alias("a"), F.col("text_id").alias("b")
-    ).distinct()
-    nearest = stars.groupBy("b").agg(F.min("a").alias("a"))
-    compared = staged(_similar(nearest, bodies), "compared")
+    stars = buckets.filter(F.col("text_id") != F.col("hub"))
+    nearest = stars.groupBy("text_id").agg(F.max(F.struct("degree", "hub"))["hub"].alias("hub"))
+    compared = staged(_similar(_ordered(nearest, "text_id", "hub"), bodies), "compared")
     classes = components(compared.filter(F.col("similarity") >= threshold))
 
-    again = apart(stars.join(compared, ["a", "b"], "left_anti"), classes)
+    again = _ordered(stars, "text_id", "hub").join(compared, ["a", "b"], "left_anti")
+    again = apart(again, classes)
     compared = staged(compared.unionByName(_similar(again, bodies)), "compared")
     classes = components(compared.filter(F.col("similarity") >= threshold))
 
-    rest = apart(crossing(buckets, compared, classes, threshold), classes)
+    signs = distinct.select(F.col("row_id").alias("text_id"), "bands", "sketch")
+    rest = crossing(buckets, signs, compared, classes, threshold, most_differing(PRECISION * bands * rows, threshold))
     rest = rest.join(compared, ["a", "b"], "left_anti")
     compared = staged(compared.unionByName(_similar(rest, bodies)), "compared")
     classes = components(compared.filter(F.col("similarity") >= threshold))
@@ -284,6 +325,11 @@ def _hex(*numbers: str):
     ])
 
 
+def _ordered(pairs: DataFrame, one: str, other: str) -> DataFrame:
+    """Distinct pairs (a, b) with the smaller text number first."""
+    return pairs.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+
+
 def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """``pairs`` whose texts are not in one class yet."""
     for side in ("a", "b"):
@@ -294,12 +340,18 @@ def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def crossing(
-    buckets: DataFrame, compared: DataFrame, classes: DataFrame, threshold: float
+    buckets: DataFrame,
+    signs: DataFrame,
+    compared: DataFrame,
+    classes: DataFrame,
+    threshold: float,
+    most: int,
 ) -> DataFrame:
     """Pairs (a, b) of texts that share a bucket, are in different classes, and may still be similar.
 
-    A bucket whose texts are all in one class gives none. A text that was in one class with the bucket's
-    smallest before they were compared has an unknown similarity to it: anything from 0 to 1.
+    A bucket whose texts are all in one class gives none, and a pair comes from the first bucket that it
+    shares. A text that was in one class with the bucket's hub before the two were compared has an
+    unknown similarity to it: anything from 0 to 1.
     """
     labelled = buckets.join(classes, "text_id", "left").withColumn(
         "class", F.coalesce("class", "text_id")
@@ -310,23 +362,30 @@ def crossing(
         .filter(F.col("low") < F.col("high"))
         .select("bucket")
     )
-    known = compared.select(F.col("a").alias("pivot"), F.col("b").alias("text_id"), "similarity")
     rows = (
-        labelled.filter(F.col("text_id") != F.col("pivot"))
+        labelled.filter(F.col("text_id") != F.col("hub"))
         .join(mixed, "bucket", "left_semi")
-        .join(known, ["pivot", "text_id"], "left")
+        .withColumns({"a": F.least("text_id", "hub"), "b": F.greatest("text_id", "hub")})
+        .join(compared, ["a", "b"], "left")
+        .join(signs, "text_id")
         .select(
-            "bucket", "text_id", "class",
+            "bucket", "text_id", "class", "sketch",
             F.coalesce(F.col("similarity"), F.lit(0.0)).alias("low"),
             F.coalesce(F.col("similarity"), F.lit(1.0)).alias("high"),
+            F.slice("bands", F.lit(1), F.array_position("bands", F.col("bucket")).cast("int") - 1).alias("earlier"),
         )
     )
     rows = staged(rows, "crossing")
     left, right = rows.alias("l"), rows.alias("r")
     reach = 1 - threshold + _SLACK
-    near = (F.col("l.low") - F.col("r.high") <= reach) & (F.col("r.low") - F.col("l.high") <= reach)
-    return (
-        left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.class") != F.col("r.class")) & (F.col("l.text_id") < F.col("r.text_id")) & near)
-        .select(F.col("l.text_id").alias("a"), F.col("r.text_id").alias("b"))
-        .distinct()
+    may_link = (
+        (F.col("l.bucket") == F.col("r.bucket"))
+        & (F.col("l.text_id") < F.col("r.text_id"))
+        & (F.col("l.class") != F.col("r.class"))
+        & (F.col("l.low") - F.col("r.high") <= reach)
+        & (F.col("r.low") - F.col("l.high") <= reach)
+        & (differing(F.col("l.sketch"), F.col("r.sketch")) <= most)
+        & ~F.arrays_overlap("l.earlier", "r.earlier")
     )
+    pairs = left.join(right, may_link)
+    return pairs.select(F.col("l.text_id").alias("a"), F.col("r.text_id").alias("b"))
