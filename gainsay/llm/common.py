@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gainsay.session import use_checkpoint_dir
 
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1 << 14
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,11 +55,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch of about ``limit`` bytes in ``column``; a longer value is a piece of its own."""
+    """Pieces of a batch of about ``limit`` bytes in ``column`` and bounded rows; a longer value is a piece of its own."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     start = held = 0
     for i, size in enumerate(sizes.tolist()):
-        if held and held + size > limit:
+        if held and (held + size > limit or i - start == SLICE_ROWS):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += size + 1
