@@ -136,7 +136,8 @@ def votes(table: np.ndarray) -> np.ndarray:
 def features(table: np.ndarray, words: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature) pairs. A measure gives a feature for each step it reaches, a word shape one
     for each halving of its share that it does not fall below."""
-    rows, parts = [], []
+    # Slices of nothing but empty texts have no feature at all.
+    rows, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
 
     def add(row: np.ndarray, name: np.ndarray, step: np.ndarray) -> None:
         for at in range(1, _STEPS + 1):
