@@ -80,7 +80,9 @@ def fit(
     labellers = votes.shape[1]
     if anchors is not None:
         votes = np.concatenate([votes, anchors[0]])
-        counts = np.concatenate([counts, np.ones(len(anchors[0]))])
+        # Known rows together weigh as much as all others: they keep the classes what they are known to be.
+        weight = max(1.0, counts.sum() / max(len(anchors[0]), 1))
+        counts = np.concatenate([counts, np.full(len(anchors[0]), weight)])
 
     def run(groups: list[tuple[int, ...]]) -> tuple[LabelModel, np.ndarray]:
         chances = start(votes, groups).astype(float)
