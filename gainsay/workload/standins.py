@@ -212,7 +212,9 @@ def event_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(text)
         )
 
-    return read(spark, sf_dir, "events").select(
+    # The table may be one file of one piece; making and reading XML is worth dealing it out.
+    pieces = spark.sparkContext.defaultParallelism
+    return read(spark, sf_dir, "events").repartition(pieces, "event_id").select(
         case_of("user_id").alias("case_id"),
         F.concat(F.lit("xml/user-"), F.col("user_id").cast("string")).alias("source_path"),
         F.col("event_id").alias("record_number"),
@@ -301,6 +303,7 @@ def mft_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         read(spark, sf_dir, "orders")
+        .repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
         .withColumn("_kind", F.col("o_orderkey") % 16)
         .withColumn("_named", timestamp_to_filetime(utc(F.col("o_orderdate"))))
         .withColumn("_name", F.concat(F.lit("ordre-é-"), F.col("o_orderkey").cast("string")))
