@@ -37,7 +37,7 @@ BANDS, ROWS = 36, 6
 # Signatures have this many times the components that the bands use; the more, the closer the estimate.
 PRECISION = 2
 THRESHOLD = 0.8
-# Distances are compared as floats: a pair on the edge is compared rather than ruled out.
+# Similarities are sums of floats: a pair on the edge is linked, and compared rather than ruled out.
 _SLACK = 1e-9
 
 _DEVIATIONS = 5
@@ -201,6 +201,11 @@ def _similar(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
+def linked(compared: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of ``compared`` whose similarity is at least ``threshold``."""
+    return compared.filter(F.col("similarity") >= threshold - _SLACK)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``text_id`` and ``class`` (smallest text_id it is linked with) of every text in ``links`` (a, b)."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -283,18 +288,18 @@ def near_copies(
     stars = buckets.filter(F.col("text_id") != F.col("hub"))
     nearest = stars.groupBy("text_id").agg(F.max(F.struct("degree", "hub"))["hub"].alias("hub"))
     compared = staged(_similar(_ordered(nearest, "text_id", "hub"), bodies), "compared")
-    classes = components(compared.filter(F.col("similarity") >= threshold))
+    classes = components(linked(compared, threshold))
 
     again = _ordered(stars, "text_id", "hub").join(compared, ["a", "b"], "left_anti")
     again = apart(again, classes)
     compared = staged(compared.unionByName(_similar(again, bodies)), "compared")
-    classes = components(compared.filter(F.col("similarity") >= threshold))
+    classes = components(linked(compared, threshold))
 
     signs = distinct.select(F.col("row_id").alias("text_id"), "bands", "sketch")
     rest = crossing(buckets, signs, compared, classes, threshold, most_differing(PRECISION * bands * rows, threshold))
     rest = rest.join(compared, ["a", "b"], "left_anti")
     compared = staged(compared.unionByName(_similar(rest, bodies)), "compared")
-    classes = components(compared.filter(F.col("similarity") >= threshold))
+    classes = components(linked(compared, threshold))
 
     grouped = copies.join(classes, "text_id", "left").withColumn("class", F.coalesce("class", "text_id"))
     sizes = grouped.groupBy("class").agg(

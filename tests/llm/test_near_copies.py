@@ -127,3 +127,19 @@ def test_sketches_tell_in_how_many_components_texts_differ(spark):
 def test_a_lost_link_is_rare():
     """The chance that a pair at the threshold shares no bucket."""
     assert (1 - 0.8**probminhash.ROWS) ** probminhash.BANDS < 1e-4
+
+
+def test_links_at_the_very_threshold(documents):
+    """Exactly four of five shingles are common: linked, however the sum of floats falls; one less is not."""
+    at = [(94, [10, 50]), (76, [2, 30]), (58, [0, 20]), (49, [20]), (184, [10, 40, 70, 100]), (139, [10, 40, 70])]
+    below = [(93, [10, 50]), (75, [2, 30])]
+    rows = []
+    for n, (length, edits) in enumerate(at + below):
+        words = [f"t{n}x{i}" for i in range(length)]
+        other = [f"t{n}y{i}" if i in edits else w for i, w in enumerate(words)]
+        a, b = _weights(" ".join(words)), _weights(" ".join(other))
+        share = (5 * len(a.keys() & b.keys()), 4 * len(a.keys() | b.keys()))
+        assert share[0] == share[1] if n < len(at) else share[0] < share[1]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+    found = {r.doc_id: r.class_id for r in probminhash.near_copies(documents(rows)).collect()}
+    assert found == {i: i - i % 2 if i < 2 * len(at) else i for i, _ in rows}
