@@ -8,6 +8,10 @@ the shingles whose id falls in a bin, the smallest. An item and a window that ag
 candidate, and every candidate is verified by the words themselves: the share of the item's shingles
 that the whole document holds.
 
+The few shingles of the items of the smallest class are too few for that: one in five is not the smallest of
+its bin. These items keep all their shingles and documents need no windows: a candidate is a document
+that holds as many of them as the threshold asks, so none is missed.
+
 A window's signature is only asked for where one of its shingles is in some item's signature, since
 they cannot agree otherwise. The items are a stated query set: they go to the tasks in blocks of
 bounded size, one pass over the documents per block.
@@ -110,10 +114,47 @@ class SizeClass:
         return found
 
 
+class ShortItems(SizeClass):
+    """All shingles of the items of the smallest class."""
+
+    def __init__(self, exact: list[set[tuple[str, ...]]], threshold: float):
+        super().__init__(SMALLEST_CLASS)
+        self.exact, self.threshold = exact, threshold
+        self._least: dict[int, int] = {}
+
+    def add(self, item: int, ids: np.ndarray) -> None:
+        """Keep every id, and how many of them a document has that holds enough of the item's shingles."""
+        self._pairs += [(int(i), item) for i in ids]
+        number = len(self.exact[item])
+        enough = next((n for n in range(1, number) if n / number >= self.threshold), number)
+        # Shingles of one id count once.
+        self._least[item] = max(enough - (number - len(ids)), 1)
+
+    def candidates(
+        self, ids: np.ndarray, text_of: np.ndarray, first: np.ndarray
+    ) -> set[tuple[int, int]]:
+        """Text and item numbers where the text has enough of the item's ids."""
+        at = self.hits(ids)
+        if not len(at):
+            return set()
+        held = np.unique(np.stack([text_of[at].astype(np.int64), ids[at].astype(np.int64)]), axis=1)
+        texts_, wanted = held[0], held[1].astype(np.uint64)
+        low = np.searchsorted(self.ids, wanted)
+        many = np.searchsorted(self.ids, wanted, side="right") - low
+        shift = np.cumsum(many) - many
+        items = self.items[np.arange(int(many.sum())) + np.repeat(low - shift, many)]
+        pairs, counts = np.unique(np.stack([np.repeat(texts_, many), items]), axis=1, return_counts=True)
+        return {
+            (text, item)
+            for text, item, count in zip(*pairs.tolist(), counts.tolist())
+            if count >= self._least[item]
+        }
+
+
 class Index:
     """Size classes and exact shingles of a block of items."""
 
-    def __init__(self, items: list[Item], width: int):
+    def __init__(self, items: list[Item], width: int, threshold: float):
         self.item_ids = [item_id for item_id, _ in items]
         self.exact = [word_shingles(text, width) for _, text in items]
         classes: dict[int, SizeClass] = {}
@@ -123,7 +164,10 @@ class Index:
             largest = SMALLEST_CLASS
             while largest < len(own):
                 largest *= 4
-            classes.setdefault(largest, SizeClass(largest)).add(item, own)
+            if largest not in classes:
+                short = largest == SMALLEST_CLASS
+                classes[largest] = ShortItems(self.exact, threshold) if short else SizeClass(largest)
+            classes[largest].add(item, own)
         self.classes = [c.build() for c in classes.values()]
 
 
@@ -155,7 +199,7 @@ def contained(
 
     def found_in(block: list[Item]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(block, width)
+            index = Index(block, width, threshold)
             for batch in batches:
                 for part in slices(batch, "text"):
                     yield _pairs(index, part, threshold, width)
@@ -184,7 +228,7 @@ def without_items(
 
     def clean_of(rows: DataFrame, block: list[Item]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(block, width)
+            index = Index(block, width, threshold)
             for batch in batches:
                 place = batch.schema.get_field_index(text)
                 for part in slices(batch, text):

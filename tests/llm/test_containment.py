@@ -59,3 +59,26 @@ def test_empty_tables(spark, documents):
     assert containment.contained(documents([]), one).collect() == []
     assert containment.contained(documents([(1, "a b c d e f")]), none).collect() == []
     assert containment.without_items(documents([(1, "a b c d e f")]), none).count() == 1
+
+
+def test_short_items_in_long_documents_are_all_found(spark, documents):
+    """Items of one to five shingles, whole or at the threshold, in texts of many words: none is missed."""
+    items, rows = [], []
+    for seed in range(3):
+        rng = random.Random(seed)
+        say = lambda n: [f"s{seed}w{rng.randrange(5000)}" for _ in range(n)]
+        own = [(1000 * seed + i, " ".join(say(5 + i % 5))) for i in range(300)]
+        items += [*own, own[7]]
+        for n in range(20):
+            words = say(3000)
+            for _, item in rng.sample(own, 20):
+                item = item.split()
+                if len(item) == 9 and rng.random() < 0.5:
+                    item[rng.choice([0, -1])] = "other"  # four of five shingles stay
+                at = rng.randrange(len(words))
+                words[at:at] = item
+            rows.append((100 * seed + n, " ".join(words)))
+    expected = _expected(rows, items)
+    table = spark.createDataFrame([(*i, "x") for i in items], ITEMS)
+    found = containment.contained(documents(rows).repartition(8), table).collect()
+    assert len(expected) > 1000 and sorted(map(tuple, found), key=repr) == expected
