@@ -40,15 +40,29 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _LEAST_VALUE = 6
 
-# Wider candidates: published prefixes of service tokens, key blocks, passwords in addresses, and any long
-# run of letters and digits.
+# Private keys: what lies between the header and the END line, else the lines of key text after the header. Line
+# breaks may be escaped. Every part stops at the next five dashes, so all headers together are one pass.
+_BREAK = r"""(?:\s|\\+[nrt]|["'`,#>|*])"""
+_KEY = re.compile(
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:"
+    r"((?:[^-]|-(?!----))*+)-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|((?:{_BREAK}*+[A-Z][A-Za-z]*-[A-Z][A-Za-z]*:(?:[^\n\\-]|-(?!----))*+)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{20,}}+={{0,2}})++)"
+    r")"
+)
+_KEY_TEXT = re.compile(r"[+/]*[A-Za-z0-9][A-Za-z0-9+/]*")
+# Lines of keys are long, words are not.
+_LEAST_KEY_RUN = 8
+
+# Wider candidates: published prefixes of service tokens, passwords in addresses, and any long run of letters
+# and digits.
 _WIDER = (
     re.compile(r"\b(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|ya29\.|eyJ)[A-Za-z0-9_.-]{16,}"),
-    re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     re.compile(r"(?<=://)[^\s:/@]{1,64}:([^\s:/@]{6,64})@"),
     re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])"),
 )
 _PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|0000|1234|abcd|test")
+# Longer values hold such a word by chance; there it takes a share of the value.
+_LONG, _PLACEHOLDER_SHARE = 200, 0.05
 
 _FOUND = (
     "row_id bigint, doc_id bigint, owner string, repository string, "
@@ -62,19 +76,34 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+def placeholder(value: str) -> bool:
+    """Whether the value is made of placeholder words, or short and has one."""
+    words = sum(len(m.group()) for m in _PLACEHOLDER.finditer(value))
+    return words > (_PLACEHOLDER_SHARE * len(value) if len(value) > _LONG else 0)
+
+
 def looks_live(value: str) -> bool:
     """Random enough for a credential: digits and letters mixed, no placeholder words."""
     return (
         len(value) >= 8
         and any(c.isdigit() for c in value)
         and any(c.isalpha() for c in value)
-        and not _PLACEHOLDER.search(value)
+        and not placeholder(value)
         and entropy(value) >= LEAST_ENTROPY
     )
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and key text of the private keys in a text; the same key has the same text however it is wrapped."""
+    for m in _KEY.finditer(text):
+        parts = _KEY_TEXT.findall(re.sub(r"\\+[nrt]", " ", m.group(m.lastindex)))
+        body = "".join(parts)
+        if len(body) >= _LEAST_KEY_RUN * len(parts) and looks_live(body):
+            yield m.start(), m.end(), body
+
+
 def find(text: str) -> list[tuple[str, int, int, bool, str]]:
-    """Spans of the fixed kinds, and wider candidates that do not touch them, with their values."""
+    """Spans of the fixed kinds, private keys, and wider candidates that touch neither, with their values."""
     found = []
     for m in _ASSIGN.finditer(text):
         if len(m.group(2)) >= _LEAST_VALUE:
@@ -82,11 +111,16 @@ def find(text: str) -> list[tuple[str, int, int, bool, str]]:
     for kind, pattern in (("access", _ACCESS), ("hex", _HEX)):
         found += [(kind, m.start(), m.end(), True, m.group()) for m in pattern.finditer(text)]
     taken = [(start, end) for _, start, end, _, _ in found]
+    # A block may hold or begin in a fixed match ("secret: -----BEGIN"), which says nothing of the key.
+    for start, end, body in key_blocks(text):
+        if not any(s <= start and end <= e for s, e in taken):
+            found.append((OWNED, start, end, False, body))
+            taken.append((start, end))
     for pattern in _WIDER:
         for m in pattern.finditer(text):
             value = m.group(m.lastindex or 0)
             if not any(start < m.end() and m.start() < end for start, end in taken):
-                if looks_live(value) or value.startswith("-----BEGIN"):
+                if looks_live(value):
                     found.append((OWNED, m.start(), m.end(), False, value))
                     taken.append((m.start(), m.end()))
     return found
