@@ -58,7 +58,7 @@ _LEAST_KEY_RUN = 8
 _WIDER = (
     re.compile(r"\b(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|ya29\.|eyJ)[A-Za-z0-9_.-]{16,}"),
     re.compile(r"(?<=://)[^\s:/@]{1,64}:([^\s:/@]{6,64})@"),
-    re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])"),
+    re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"),
 )
 _PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|0000|1234|abcd|test")
 # Longer values hold such a word by chance; there it takes a share of the value.

@@ -103,6 +103,14 @@ def test_private_keys_by_their_bodies(spark):
     assert all(found[i] == [] for i in (20, 21, 22, 23, 30, 31))
 
 
+def test_long_runs_are_candidates(spark):
+    rng = random.Random(7)
+    mine, copied = _key(rng, 300), _key(rng, 5000)
+    rows = [(0, f"see {mine} here", "me"), *((i, f"see {copied} here", f"o{i}") for i in range(1, 4)), (4, "a" * 300, "x")]
+    found = _scanned(spark, rows)
+    assert found == {0: [("owned", "owned", 1, 4, 4 + len(mine))], 1: [], 2: [], 3: [], 4: []}
+
+
 def test_key_headers_take_one_pass():
     for text in ("-----BEGIN PRIVATE KEY-----" * 20_000, "-----BEGIN PRIVATE KEY-----A-B:" * 20_000, "-----BEGIN PRIVATE KEY-----\n" + "A-" * 100_000):
         secrets.find(text)
