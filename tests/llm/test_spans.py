@@ -161,6 +161,29 @@ def test_redaction_and_base_spans(spark, documents):
     assert pii.find(documents([])).collect() == [] and pii.redact(documents([])).collect() == []
 
 
+def test_planted_wide_forms_are_chosen(spark, documents):
+    rng = random.Random(12)
+    rows = _people(rng, 2000)
+    rows += [(2000 + i, f"paid with card 4111 1111 1111 {n:04d} today") for i, n in enumerate(rng.sample(range(10000), 4000)) if pii.luhn(f"411111111111{n:04d}")]
+    planted = []
+    for i in range(60):
+        a, b = rng.randrange(200, 999), rng.randrange(1000, 9999)
+        planted += [
+            ("email_like", "mail ", f"ann{i} (at) post{a} (dot) org", " today"),
+            ("phone_like", "please call ", f"({a}) 555-{b}", " now"),
+            ("ip_like", "from host ", f"2001:db8:{a:x}:{b:x}:0:0:{i:x}:1", " came"),
+            ("card_like", "paid to ", f"DE{98 - int(f'{a}{b}00000000001131400') % 97:02d}{a}{b}00000000001", " today"),
+        ]
+    wide = {10_000 + n: (k, len(x), len(x + y), x + y + z) for n, (k, x, y, z) in enumerate(planted)}
+    found = {r.doc_id: r.spans for r in pii.find(documents(rows + [(i, w[3]) for i, w in wide.items()])).collect()}
+    got = Counter(w[0] for i, w in wide.items() if (w[0], w[1], w[2]) in [(s.kind, s.start, s.end) for s in found[i]])
+    assert all(got[f"{kind}_like"] >= 54 for kind in pii.KINDS), got
+    wrong = [i for i, t in rows if i % 5 in (1, 4) and i < 2000 and found[i]]
+    assert len(wrong) <= 0.05 * 2000, [dict(rows)[i] for i in wrong[:5]]
+    clean = pii.redact(documents(rows + [(i, w[3]) for i, w in wide.items()])).collect()
+    assert sum("[EMAIL_LIKE]" in r.text for r in clean) >= 54
+
+
 def test_redacted_spans_may_overlap():
     assert pii.redacted("0123456789", [("b", 3, 6), ("a", 2, 4), ("c", 8, 9)]) == "01[A]67[C]9"
 
