@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gainsay.llm import chat, containment, packing, pii, probminhash, quality, records, secrets, spans, toxicity, vafile
+from gainsay.llm import (
+    audit, bpe, chat, containment, packing, pii, probminhash, quality, records, secrets, spans, toxicity, vafile, whitening,
+)
 from gainsay.llm.common import read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,3 +179,66 @@ def op9_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"))))
+
+
+@query(r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\v\f]+'), lambda w: w <> '') AS w
+  FROM documents),
+marks AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+masks AS (
+  SELECT part, doc_id,
+         CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM words),
+cells AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM masks LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS filter, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+         list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))) AS earlier
+  FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders)),
+walked AS (
+  SELECT part, filter_order, step, any_value(filter) AS filter,
+         sum(n) FILTER (mask & (coalesce(earlier, 0)::INT | bit) = 0) AS kept,
+         sum(n) FILTER (mask & coalesce(earlier, 0)::INT = 0 AND mask & bit > 0) AS removed,
+         sum(n) FILTER (mask & coalesce(earlier, 0)::INT > 0 AND mask & bit > 0) AS redundant,
+         sum(n) FILTER (mask = bit) AS unique_fails,
+         sum(good) FILTER (mask & coalesce(earlier, 0)::INT = 0 AND mask & bit > 0) AS good_lost,
+         sum(toxic) FILTER (mask & coalesce(earlier, 0)::INT = 0 AND mask & bit > 0) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+       CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM walked
+""")
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query()
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    # Null where the exact number is beyond 64 bits.
+    deviation = F.col("deviation").try_cast("bigint")
+    return found.withColumn("deviation", deviation).select(
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"
+    )

@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="benchmark tab
 
 def test_all_are_registered():
     names = contract.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")}
     assert "pipeline" in names and set(ORACLE) <= set(QUERIES)
 
 
