@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gainsay.llm.common import raw, slices
+from gainsay.llm.common import begin, raw, slices
 
 FILTERS = "ABCDE"
 SETS = 1 << len(FILTERS)
@@ -111,6 +111,7 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("audit")
         for batch in batches:
             for piece in slices(batch, "text"):
                 texts = raw(piece.column("text"))
@@ -224,6 +225,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("audit")
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from gainsay.llm.common import raw, slices, texts
+from gainsay.llm.common import begin, keeps, raw, slices, texts
 
 PIECE_CHARS = 1 << 16
 LONG_RUN = 1 << 12
@@ -47,6 +47,7 @@ def default_pattern() -> str:
 
 def encoding(path: str, pattern: str) -> Encoding:
     """This process's encoding for a rank file and a pattern."""
+    keeps("bpe", _encodings.clear)
     if (path, pattern) not in _encodings:
         _encodings[path, pattern] = Encoding(path, pattern)
     return _encodings[path, pattern]
@@ -115,6 +116,7 @@ def encode(
     schema = StructType([rows.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe")
         model = encoding(path, pattern)
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -139,6 +141,7 @@ def decode(encoded: DataFrame, *, path: str | None = None, pattern: str | None =
     schema = StructType([*rows.schema.fields, StructField("decoded", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe")
         model = encoding(path, pattern)
         for batch in batches:
             for piece in slices(batch, "ids"):

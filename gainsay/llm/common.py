@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,9 +27,35 @@ def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     )
 
 
+_freed: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, free: Callable[[], None]) -> None:
+    """Say how to free what tasks of ``owner`` keep in this worker process for the tasks after them."""
+    _freed[owner] = free
+
+
+def begin(owner: str) -> None:
+    """Called by a task first: frees what tasks of other operators keep in this worker process.
+
+    Spark uses a worker for the tasks of any operator, so a cache would outlive its use.
+    """
+    for other in [name for name in _freed if name != owner]:
+        _freed.pop(other)()
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name below the one that ``spark.checkpoint.dir`` names; removed at exit."""
-    folder = f"{use_checkpoint_dir(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
+    """A new folder name below the one that ``spark.checkpoint.dir`` names.
+
+    It is removed when this process or the JVM ends, whichever comes first, the session stopped or not.
+    """
+    context = spark.sparkContext
+    whole = f"{use_checkpoint_dir(spark).rstrip('/')}/llm-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(whole)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    folder = f"{whole}/{label}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, folder)
     return folder
 

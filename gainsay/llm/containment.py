@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gainsay.llm.common import raw, slices, staged, texts
+from gainsay.llm.common import begin, raw, slices, staged, texts
 from gainsay.llm.shingles import ID_BITS, WIDTH, shingle_hashes, weighted_sets, word_shingles
 
 THRESHOLD = 0.8
@@ -199,6 +199,7 @@ def contained(
 
     def found_in(block: list[Item]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin("containment")
             index = Index(block, width, threshold)
             for batch in batches:
                 for part in slices(batch, "text"):
@@ -228,6 +229,7 @@ def without_items(
 
     def clean_of(rows: DataFrame, block: list[Item]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin("containment")
             index = Index(block, width, threshold)
             for batch in batches:
                 place = batch.schema.get_field_index(text)

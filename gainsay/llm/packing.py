@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gainsay.llm.common import raw, slices, texts
+from gainsay.llm.common import begin, raw, slices, texts
 from gainsay.llm.tokens import default_path, encoder
 
 TIERS = (512, 1024, 2048, 4096)
@@ -169,6 +169,7 @@ def pack(
     path, end = tokenizer or default_path(), end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("tokens")
         encode, packer = encoder(path).encode, Packer(tiers)
         base = TaskContext.get().partitionId() << 36
         sequences = groups = base

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gainsay.llm.common import raw, slices, staged, texts
+from gainsay.llm.common import begin, raw, slices, staged, texts
 from gainsay.llm.shingles import mix, weighted_sets
 
 BANDS, ROWS = 36, 6
@@ -142,6 +142,7 @@ def sign(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("probminhash")
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch, "text"):
@@ -174,6 +175,7 @@ def _similar(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with their exact ``similarity``; ``bodies`` has ``text_id`` and ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("probminhash")
         for batch in batches:
             for part in slices(batch, "text_b"):
                 a, b = part.column("a").to_pylist(), part.column("b").to_pylist()

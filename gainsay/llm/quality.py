@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gainsay.llm.common import raw, slices, texts, thinned
+from gainsay.llm.common import begin, raw, slices, texts, thinned
 from gainsay.llm.shingles import mix, word_hashes
 from gainsay.llm.weak import LabelModel, Linear, decode, encode, fit, one_class_per_fault, train
 
@@ -164,6 +164,7 @@ def learn(docs: DataFrame, *, sample: int = SAMPLE) -> tuple[LabelModel, Linear]
     """Label model from the votes on all documents, scorer from about ``sample`` of them (at most twice as many)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("quality")
         for batch in batches:
             for part in slices(batch, "text"):
                 table, _ = measures(raw(part.column("text")))
@@ -171,6 +172,7 @@ def learn(docs: DataFrame, *, sample: int = SAMPLE) -> tuple[LabelModel, Linear]
                 yield pa.RecordBatch.from_pydict({"code": codes, "n": number})
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("quality")
         for batch in batches:
             for part in slices(batch, "text"):
                 table, words = measures(raw(part.column("text")))
@@ -211,6 +213,7 @@ def score(
     model, scorer = learn(rows, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("quality")
         for batch in batches:
             for part in slices(batch, "text"):
                 table, words = measures(raw(part.column("text")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gainsay.llm.common import raw, slices, texts
+from gainsay.llm.common import begin, raw, slices, texts
 from gainsay.llm.crc32c import masked
 from gainsay.llm.tokens import default_path, encoder
 
@@ -110,6 +110,7 @@ def write_records(
     path, end = tokenizer or default_path(), end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("tokens")
         encode, width = encoder(path).encode, 2 if max(encoder(path).largest_id, end_id) < 1 << 16 else 4
         system, root = _filesystem(folder)
         system.create_dir(root, recursive=True)

@@ -7,6 +7,8 @@ polynomial over its bytes, taken from running sums, so the work is a few passes
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 WIDTH = 5
@@ -17,7 +19,8 @@ _ODD = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75
         0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
-_powers = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
+# Texts and words are worked on in pieces of this many bytes and words, so tables do not grow with a text.
+_PIECE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,17 +33,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < size:
-        size = 1 << max(size - 1, 1).bit_length()
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            tables.append(np.cumprod(steps, dtype=np.uint64))
-        _powers = tuple(tables)
-    return _powers
+@cache
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse, as far as a piece reaches."""
+    tables = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(_PIECE + 1, base, dtype=np.uint64)
+        steps[0] = 1
+        tables.append(np.cumprod(steps, dtype=np.uint64))
+    return tables[0], tables[1]
 
 
 def lowered(text: bytes) -> bytes:
@@ -63,20 +64,48 @@ def prefix_hashes(
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     text_starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-    space = separators[data]
-    before = np.concatenate([[True], space[:-1]])
-    starts = np.flatnonzero(~space & before)
-    ends = np.flatnonzero(space & ~before)
-    power, inverse = _power_tables(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-
-    def between(stops: np.ndarray) -> np.ndarray:
-        value = (sums[stops] - sums[starts]) * inverse[starts]
-        return mix(value ^ ((stops - starts).astype(np.uint64) << np.uint64(56)))
-
-    prefixes = [between(np.minimum(ends, starts + length)) for length in lengths]
-    return between(ends), np.searchsorted(starts, text_starts), prefixes
+    starts, ends = _words(data, separators)
+    stops = [ends, *(np.minimum(ends, starts + length) for length in lengths)]
+    found = [np.empty(len(starts), dtype=np.uint64) for _ in stops]
+    power, inverse = _power_tables()
+    for at in range(0, len(data), _PIECE):
+        piece = data[at : at + _PIECE]
+        i, j = np.searchsorted(starts, [at, at + len(piece)])
+        if i == j:
+            continue
+        sums = np.zeros(len(piece) + 1, dtype=np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * power[: len(piece)], out=sums[1:])
+        begin = starts[i:j] - at
+        for values, stop in zip(found, stops):
+            inside = np.minimum(stop[i:j] - at, len(piece))
+            values[i:j] = (sums[inside] - sums[begin]) * inverse[begin]
+            # Only the last word can reach beyond the piece.
+            if stop[j - 1] > at + len(piece):
+                values[j - 1] = _across(data, int(starts[j - 1]), int(stop[j - 1]))
+    for values, stop in zip(found, stops):
+        values[:] = mix(values ^ ((stop - starts).astype(np.uint64) << np.uint64(56)))
+    return found[0], np.searchsorted(starts, text_starts), found[1:]
+
+
+def _words(data: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end; the last byte is a separator."""
+    starts, ends, before = [], [], True
+    for at in range(0, len(data), _PIECE):
+        space = separators[data[at : at + _PIECE]]
+        earlier = np.concatenate([[before], space[:-1]])
+        starts.append(np.flatnonzero(~space & earlier) + at)
+        ends.append(np.flatnonzero(space & ~earlier) + at)
+        before = bool(space[-1])
+    return np.concatenate(starts), np.concatenate(ends)
+
+
+def _across(data: np.ndarray, start: int, stop: int) -> np.uint64:
+    """The sum of a word that reaches over pieces: those of its parts, each times its distance."""
+    power, total = _power_tables()[0], 0
+    for at in range(start, stop, _PIECE):
+        part = data[at : min(at + _PIECE, stop)].astype(np.uint64) + np.uint64(1)
+        total += int((part * power[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, at - start, 1 << 64)
+    return np.uint64(total % (1 << 64))
 
 
 def shingle_hashes(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -84,16 +113,21 @@ def shingle_hashes(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray,
     words, first = word_hashes(texts)
     counts = np.diff(first)
     padded = np.concatenate([words, np.zeros(width - 1, dtype=np.uint64)])
-    text_of = np.repeat(np.arange(len(texts)), counts)
-    place = np.arange(len(words)) - first[:-1][text_of]
-    room = counts[text_of] - place
-    keep = (room >= width) | (place == 0)
-    at, room = np.flatnonzero(keep), room[keep]
-    total = np.zeros(len(at), dtype=np.uint64)
-    for j in range(width):
-        part = padded[at + j] * np.uint64(_ODD[j % len(_ODD)] + 2 * (j // len(_ODD)))
-        total += np.where(room > j, part, np.uint64(0))
-    return text_of[keep], mix(total)
+    places, hashes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+    for start in range(0, len(words), _PIECE):
+        at = np.arange(start, min(start + _PIECE, len(words)))
+        text_of = np.searchsorted(first, at, side="right") - 1
+        place = at - first[text_of]
+        room = counts[text_of] - place
+        keep = (room >= width) | (place == 0)
+        at, room = at[keep], room[keep]
+        total = np.zeros(len(at), dtype=np.uint64)
+        for j in range(width):
+            part = padded[at + j] * np.uint64(_ODD[j % len(_ODD)] + 2 * (j // len(_ODD)))
+            total += np.where(room > j, part, np.uint64(0))
+        places.append(text_of[keep])
+        hashes.append(mix(total))
+    return np.concatenate(places), np.concatenate(hashes)
 
 
 def weighted_sets(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

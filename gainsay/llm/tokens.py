@@ -2,8 +2,8 @@
 
 The tokenizer's pieces never reach across white space, so the ids of a text are those of its words one
 after the other. Words repeat far more often than texts do; each worker process keeps the ids of words
-it has met and asks the tokenizer only for new ones. Two generations bound the cache without losing
-the frequent words.
+it has met and asks the tokenizer only for new ones. Two generations, bounded in bytes, hold the cache
+without losing the frequent words; tasks of other operators free it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,11 @@ from collections.abc import Sequence
 
 import numpy as np
 
-GENERATION_WORDS = 500_000
+from gainsay.llm.common import keeps
+
+GENERATION_BYTES = 64 << 20
+# What a word and its ids take beside their own bytes.
+_ENTRY_BYTES = 160
 
 # A mark that is one id of its own between white space; words that hold it are encoded alone.
 _MARK = b"~"
@@ -48,18 +52,19 @@ def default_path() -> str:
 
 def encoder(path: str) -> Encoder:
     """This process's encoder for a tokenizer file."""
+    keeps("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
 class Encoder:
-    def __init__(self, path: str, generation_words: int = GENERATION_WORDS):
+    def __init__(self, path: str, generation_bytes: int = GENERATION_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._limit = generation_words
+        self._limit, self._held = generation_bytes, 0
         mark = self._tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
         self._mark = mark[0] if len(mark) == 1 else None
         self.largest_id = max(self._tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
@@ -82,11 +87,12 @@ class Encoder:
 
     def _learn(self, new: set[bytes]) -> None:
         """Ids of new words, from the last generation or from the tokenizer."""
-        if len(self._young) + len(new) > self._limit:
-            self._old, self._young = self._young, {}
+        if self._held > self._limit:
+            self._old, self._young, self._held = self._young, {}, 0
         young = self._young
         known = new & self._old.keys()
         young.update((word, self._old[word]) for word in known)
+        before = len(young) - len(known)
         rest = []
         for word in new - known:
             ids = self._letters(word) if self._direct else None
@@ -103,6 +109,7 @@ class Encoder:
             flat = ids.tobytes()
             starts, ends = [0, *(cut + 4 for cut in cuts)], [*cuts, len(flat)]
             young.update(zip(group, (flat[a:b] for a, b in zip(starts, ends))))
+        self._held += _ENTRY_BYTES * (len(young) - before) + sum(len(word) + len(young[word]) for word in new)
 
     def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
         plain = [text.decode("utf-8", "replace") for text in texts]

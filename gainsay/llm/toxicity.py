@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gainsay.llm.common import raw, slices, staged, texts, thinned
+from gainsay.llm.common import begin, raw, slices, staged, texts, thinned
 from gainsay.llm.shingles import mix, prefix_hashes, shingle_hashes
 from gainsay.llm.weak import LabelModel, Linear, decode, encode, fit, train, two
 
@@ -126,6 +126,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
 
 def _featured(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         for batch in batches:
             for part in slices(batch, "text"):
                 plain = raw(part.column("text"))
@@ -198,6 +199,7 @@ def learn(
     voters = Voters(lexicon(featured, least_ratio, lexicon_size))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         for batch in batches:
             for part in slices(batch, "text"):
                 codes, number = np.unique(encode(voters.votes(raw(part.column("text")))), return_counts=True)
@@ -210,6 +212,7 @@ def learn(
 
     # The sample's rows, each with the entries of the lexicon it has.
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         for batch in batches:
             for part in slices(batch, "text"):
                 plain = raw(part.column("text"))
@@ -251,6 +254,7 @@ def score(
     scorer = learn(rows, known, **options).scorer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         for batch in batches:
             for part in slices(batch, "text"):
                 found = scorer.score(part.num_rows, *features(raw(part.column("text"))))
@@ -272,6 +276,7 @@ def without_toxic(
     scorer = learn(rows, known, **options).scorer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         for batch in batches:
             place = batch.schema.get_field_index(text)
             for part in slices(batch, text):

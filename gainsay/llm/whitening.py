@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gainsay.llm.common import staged
+from gainsay.llm.common import begin, staged
 
 COMPONENTS = 8
 SCALE = 1024
@@ -245,6 +245,7 @@ def _partition() -> int:
 
 
 def _spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin("whitening")
     held: dict[int, Spectrum] = {}
     for batch in batches:
         for _, x in _blocks(batch):
@@ -301,6 +302,7 @@ def _scatter(rows: DataFrame, dims: int, project: Callable[[np.ndarray], np.ndar
     """Number and centred scatter of all projected rows, added up on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("whitening")
         held = None
         for batch in batches:
             for _, x in _blocks(batch):
@@ -382,6 +384,7 @@ def transform(model: Model, rows: DataFrame) -> DataFrame:
         return (apart * apart).sum(axis=1).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("whitening")
         from decimal import Decimal
 
         for batch in batches:

@@ -41,6 +41,30 @@ def test_weighted_sets_are_the_shingles():
         assert counts[of == i].sum() == (max(len(words) - 4, 1) if words else 0)
 
 
+def test_pieces_of_any_size_give_the_same(monkeypatch):
+    texts = [t.encode() for t in [*_texts(4), "", "y" * 3000, "é" * 700 + " z"]]
+    separators = shingles._SPACE.copy()
+    separators[ord(".")] = True
+    expected = shingles.prefix_hashes(texts, separators, (2, 5, 250))
+    sets, whole = shingles.shingle_hashes(texts), shingles.weighted_sets(texts, 3)
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(shingles, "_PIECE", size)
+        shingles._power_tables.cache_clear()
+        hashes, first, prefixes = shingles.prefix_hashes(texts, separators, (2, 5, 250))
+        assert (hashes == expected[0]).all() and (first == expected[1]).all()
+        assert all((a == b).all() for a, b in zip(prefixes, expected[2]))
+        assert all((a == b).all() for a, b in zip(shingles.shingle_hashes(texts), sets))
+        assert all((a == b).all() for a, b in zip(shingles.weighted_sets(texts, 3), whole))
+    monkeypatch.undo()
+    shingles._power_tables.cache_clear()
+
+
+def test_a_hash_is_a_polynomial_over_the_bytes():
+    hashes, _ = shingles.word_hashes([b"ab c"])
+    value = (ord("a") + 1 + (ord("b") + 1) * shingles._BASE) % (1 << 64)
+    assert hashes[0] == shingles.mix(np.array([value ^ (2 << 56)], dtype=np.uint64))[0]
+
+
 def test_crc32c():
     def plain(data):
         crc = 0xFFFFFFFF

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from gainsay.llm import packing, records, tokens
+from gainsay.llm import common, packing, records, tokens
 from gainsay.llm.common import shared_folder
 
 TEXTS = [
@@ -35,12 +35,25 @@ def test_encoder_gives_the_tokenizers_ids(expected):
     texts = [t or "" for t in TEXTS] + [
         "".join(rng.choice(letters) for _ in range(rng.randrange(200))) for _ in range(300)
     ]
-    encoder = tokens.Encoder(tokens.default_path(), generation_words=50)
+    encoder = tokens.Encoder(tokens.default_path(), generation_bytes=5_000)
     for _ in range(2):
         found = encoder.encode([t.encode() for t in texts])
         assert [np.frombuffer(f, "<u4").tolist() for f in found] == [expected(t) for t in texts]
 
 
+def test_the_cache_is_bounded_and_freed_by_other_tasks():
+    encoder = tokens.Encoder(tokens.default_path(), generation_bytes=1 << 20)
+    for i in range(40):
+        encoder.encode([" ".join(f"w{i}x{j}" + "y" * 200 for j in range(500)).encode()])
+    held = sum(len(k) + len(v) for table in (encoder._young, encoder._old) for k, v in table.items())
+    assert held < 3 << 20
+    first = tokens.encoder(tokens.default_path())
+    common.begin("tokens")
+    assert tokens.encoder(tokens.default_path()) is first
+    common.begin("another")
+    assert tokens._encoders == {} and tokens.encoder(tokens.default_path()) is not first
+
+
 @pytest.mark.parametrize("block_tokens", [1 << 20, 500])
 def test_packing_keeps_every_id_once(documents, expected, block_tokens):
     rng = random.Random(6)
