@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gainsay.llm.common import slices, staged
-from gainsay.llm.spans import SPANS
+from gainsay.llm.common import begin, slices, staged
+from gainsay.llm.spans import SPANS, Covered, Holding
 
 KINDS = ("assign", "access", "hex")
 OWNED = "owned"
@@ -110,19 +110,17 @@ def find(text: str) -> list[tuple[str, int, int, bool, str]]:
             found.append(("assign", m.start(), m.end(), True, m.group(2)))
     for kind, pattern in (("access", _ACCESS), ("hex", _HEX)):
         found += [(kind, m.start(), m.end(), True, m.group()) for m in pattern.finditer(text)]
-    taken = [(start, end) for _, start, end, _, _ in found]
     # A block may hold or begin in a fixed match ("secret: -----BEGIN"), which says nothing of the key.
-    for start, end, body in key_blocks(text):
-        if not any(s <= start and end <= e for s, e in taken):
-            found.append((OWNED, start, end, False, body))
-            taken.append((start, end))
+    known = Holding((start, end) for _, start, end, _, _ in found)
+    found += [(OWNED, start, end, False, body) for start, end, body in key_blocks(text) if not known.holds(start, end)]
     for pattern in _WIDER:
-        for m in pattern.finditer(text):
+        # Matches of one pattern never overlap, so only those of patterns before it are in the way.
+        matches = list(pattern.finditer(text))
+        taken = Covered((start, end) for _, start, end, _, _ in found) if matches else Covered()
+        for m in matches:
             value = m.group(m.lastindex or 0)
-            if not any(start < m.end() and m.start() < end for start, end in taken):
-                if looks_live(value):
-                    found.append((OWNED, m.start(), m.end(), False, value))
-                    taken.append((m.start(), m.end()))
+            if not taken.touches(m.start(), m.end()) and looks_live(value):
+                found.append((OWNED, m.start(), m.end(), False, value))
     return found
 
 
@@ -137,6 +135,7 @@ def candidates(
     """One row per document: its owner and repository, and the spans with the hash of their value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("secrets")
         row = TaskContext.get().partitionId() << 36
         names = ["row_id", "doc_id", "owner", "repository", "spans"]
         kind = pa.list_(pa.struct([

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -48,6 +49,59 @@ def test_long_runs_take_one_pass():
         pii.proposed(text[:20_000])
 
 
+def test_ranges_against_all_pairs():
+    rng = random.Random(8)
+    for _ in range(2000):
+        pairs = [(a, a + rng.randrange(1, 6)) for a in (rng.randrange(40) for _ in range(rng.randrange(8)))]
+        covered, holding = spans.Covered(pairs), spans.Holding(pairs)
+        for start in range(45):
+            end = start + rng.randrange(1, 6)
+            assert covered.touches(start, end) == any(a < end and start < b for a, b in pairs)
+            assert holding.holds(start, end) == any(a <= start and end <= b for a, b in pairs)
+            if not covered.touches(start, end) and rng.random() < 0.1:
+                covered.add(start, end)
+                pairs.append((start, end))
+                holding = spans.Holding(pairs)
+
+
+class _Trees:
+    """Chances without rhyme, but the same every time."""
+
+    def chance(self, table):
+        return np.abs(np.sin(table.sum(axis=1)))
+
+
+def test_chosen_candidates_touch_nothing():
+    rng = random.Random(9)
+    chooser = pii.Chooser(_Trees(), dict.fromkeys(pii.KINDS, 0.3))
+    bits = ["bob (at) x dot de", "030 123 456 78", "1.2.3.4", "a@b.cc", "GB12 3456 7890 1234", " ", " / ", "4111 1111 1111 1111"]
+    for _ in range(300):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randrange(12)))
+        known = pii.fixed(text)
+        chosen = chooser.choose(text, known)
+        free = [c for c in pii.proposed(text) if not any(s < c[2] and c[1] < e for _, s, e in known)]
+        expected = []
+        if free:
+            chances = chooser.trees.chance(np.array([pii.described(text, *c) for c in free], dtype=float)).tolist()
+            for chance, (kind, start, end) in sorted(zip(chances, free), key=lambda x: (-x[0], x[1][1], x[1][0])):
+                if chance >= 0.3 and not any(s < end and start < e for _, s, e, _ in expected):
+                    expected.append((kind, start, end, chance))
+        assert chosen == expected
+
+
+def test_a_hundred_thousand_matches_in_one_text():
+    rng = random.Random(10)
+    chooser = pii.Chooser(_Trees(), dict.fromkeys(pii.KINDS, 0.0))
+    people = " ".join(f"u{i}@mail.com or u{i} (at) mail dot com" for i in range(50_000))
+    tokens = " ".join(f"token=abc{i:06d} " + "".join(rng.choice("abcXYZ0189") for _ in range(24)) for i in range(50_000))
+    for text, search, least in (
+        (people, lambda t: pii.spans_of(t, chooser), 90_000), (people, pii.examples, 50_000), (tokens, secrets.find, 70_000)
+    ):
+        begin = time.process_time()
+        assert len(search(text)) >= least
+        assert time.process_time() - begin < 15
+
+
 LIVE, SHARED = "ghp_9fK2mQ7xZ4vB8nL1cR5tY3wE6uH0", "ghp_Zx81mQpL47vBt2nKcR95yWd3sE6u"
 
 
@@ -106,7 +160,7 @@ def test_private_keys_by_their_bodies(spark):
 def test_long_runs_are_candidates(spark):
     rng = random.Random(7)
     mine, copied = _key(rng, 300), _key(rng, 5000)
-    rows = [(0, f"see {mine} here", "me"), *((i, f"see {copied} here", f"o{i}") for i in range(1, 4)), (4, "a" * 300, "x")]
+    rows = [(0, f"see {mine} here", "me"), *((i, f"see {copied} here", f"o{i}") for i in range(1, 4)), (4, "z" * 300, "x")]
     found = _scanned(spark, rows)
     assert found == {0: [("owned", "owned", 1, 4, 4 + len(mine))], 1: [], 2: [], 3: [], 4: []}
 
