@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -63,14 +64,22 @@ def test_every_stage_takes_effect_on_what_came_before(spark):
     assert seen == ["toxicity", "near_dedup", "decontamination", "personal_data", "packing"]
 
 
-def test_stages_take_odd_rows(spark, documents):
+def test_stages_take_odd_rows_and_clashing_columns(spark, documents):
     rows = [(1, None), (2, ""), (3, "plain text here"), (3, "plain text here"), (3, "another text"), (None, "no id at all")]
-    docs = documents(rows).withColumn("_pipeline_key", documents([(1, "x")]).columns and __import__("pyspark.sql.functions", fromlist=["lit"]).lit("clash"))
-    for name, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[2:4]:
-        kept = stage(spark, docs.drop("_pipeline_key"), SF_DIR).collect()
-        assert len(kept) == len(rows), name
-    kept = corpus_pipeline.drop_near_copies(spark, docs.drop("_pipeline_key"), SF_DIR).collect()
-    assert Counter((r.doc_id, r.text or "") for r in kept) == Counter([(1, ""), (3, "plain text here"), (3, "another text"), (None, "no id at all")])
+    names = ["_pipeline_key", "_kept_id", "_kept_key", "md5", "text_id", "kept", "class_id", "spans", "score", "predicted", "item_id", "toxic"]
+    docs = documents(rows).withColumns({name: F.concat(F.lit(name), F.lit(" mine")) for name in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF_DIR)
+        kept = after.collect()
+        assert after.columns == docs.columns, name
+        assert all(r[c] == f"{c} mine" for r in kept for c in names), name
+        expected = [(1, ""), (3, "plain text here"), (3, "another text"), (None, "no id at all")]
+        if name != "near_dedup":
+            expected = [(i, t or "") for i, t in rows]
+        assert Counter((r.doc_id, r.text or "") for r in kept) == Counter(expected), name
+    pieces = corpus_pipeline.pack(spark, docs, SF_DIR)
+    assert pieces.columns == packing.pack(documents(rows)).columns
+    assert Counter(r.doc_id for r in pieces.filter("start = 0").collect()) == Counter(i for i, _ in rows)
     empty = documents([])
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF_DIR).collect() == [], name
