@@ -11,6 +11,7 @@ documents. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count, islice
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,8 +20,6 @@ from gainsay.llm.common import read, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-_KEY = "_pipeline_key"
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised scorer does not call toxic."""
@@ -29,14 +28,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
+    key, kept_id, kept_key = _free_names(docs, 3)
     kept = probminhash.near_copies(docs).filter("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("md5").alias("_kept_key")
+        F.col("doc_id").alias(kept_id), F.col("md5").alias(kept_key)
     )
-    same = (F.col(_KEY) == F.col("_kept_key")) & F.col("doc_id").eqNullSafe(F.col("_kept_id"))
-    keyed = docs.withColumn(_KEY, F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    same = (F.col(key) == F.col(kept_key)) & F.col("doc_id").eqNullSafe(F.col(kept_id))
+    keyed = docs.withColumn(key, F.md5(F.coalesce(F.col("text"), F.lit(""))))
     rows = keyed.join(kept, same, "left_semi")
     # Rows that repeat the kept document, id and text alike.
-    return rows.dropDuplicates(["doc_id", _KEY]).select(*docs.columns)
+    return rows.dropDuplicates(["doc_id", key]).select(*docs.columns)
+
+
+def _free_names(docs: DataFrame, number: int) -> list[str]:
+    """Names that no column has."""
+    taken = {name.lower() for name in docs.columns}
+    return list(islice((name for name in map("_key_{}".format, count()) if name not in taken), number))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
