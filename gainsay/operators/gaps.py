@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gainsay.operators.order import PART, PLACE, in_parts
+
 _WORD_BITS = 6
 _RANGE_BITS = 20
 
@@ -107,3 +109,24 @@ def first_gaps(gaps: DataFrame, by: Sequence[str], limit: int = 10) -> DataFrame
     """The first ``limit`` gaps of each source. Each task keeps at most that many before the shuffle."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy("previous"))
     return gaps.withColumn("place", place).filter(F.col("place") <= limit)
+
+
+def between_islands(islands: DataFrame, *, by: Sequence[str]) -> DataFrame:
+    """The gaps between runs of numbers (``by``, ``first``, ``last``) that do not overlap.
+
+    The runs are sorted as one; the last run of a part is carried to the next, so a source may have any number.
+    """
+    by = list(by)
+    entry = F.struct(F.struct(*by).alias("key"), F.col("last").alias("last"))
+    ordered = in_parts(islands, [*by, "first"]).withColumn("_entry", entry)
+    borders = ordered.groupBy(PART).agg(F.max_by("_entry", PLACE).alias("_end"))
+    carried = borders.select(PART, F.lag("_end").over(Window.orderBy(PART)).alias("_carried"))
+    before = F.coalesce(F.lag("_entry").over(Window.partitionBy(PART).orderBy(PLACE)), F.col("_carried"))
+    missing = F.col("current") - F.col("previous") - 1
+    return (
+        ordered.join(F.broadcast(carried), PART)
+        .withColumn("_before", before)
+        .filter(F.col("_before.key").eqNullSafe(F.col("_entry.key")) & (F.col("first") - F.col("_before.last") > 1))
+        .select(*by, F.col("_before.last").alias("previous"), F.col("first").alias("current"))
+        .withColumn("missing", missing)
+    )

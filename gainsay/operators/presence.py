@@ -131,7 +131,7 @@ def unmatched_in_window(
             text="_event_text",
             broadcast_limit=broadcast_limit,
         )
-        .groupBy(*by, F.col("name").alias("_name"), _div(F.col("_at"), width).alias("_bucket"))
+        .groupBy(*by, F.col("name").alias("_name"), floor_div(F.col("_at"), width).alias("_bucket"))
         .agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
         .select(
             *by,
@@ -148,7 +148,7 @@ def unmatched_in_window(
             "_name": F.lower(F.col(name)),
             "_run": F.unix_micros(F.col(time)),
         }
-    ).withColumn("_bucket", _div(F.col("_run"), width))
+    ).withColumn("_bucket", floor_div(F.col("_run"), width))
     left, right = keyed.alias("l"), spans.alias("r")
     same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*by, "_name", "_bucket")]
     overlap = [
@@ -161,6 +161,6 @@ def unmatched_in_window(
     return left.join(right, condition, "left_anti").drop("_name", "_run", "_bucket")
 
 
-def _div(value: Column, width: int) -> Column:
+def floor_div(value: Column, width: int) -> Column:
     """Floor division that also holds before 1970."""
     return F.call_function("div", value - F.pmod(value, F.lit(width)), F.lit(width))

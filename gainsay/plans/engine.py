@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gainsay.operators.order import numbered
 from gainsay.plans import rules as r
 from gainsay.schemas import FINDINGS, STRING, struct
 from gainsay.session import checkpointed
@@ -81,6 +82,22 @@ def _union(spark: SparkSession, parts: list[DataFrame], ordered: bool) -> DataFr
     return by_severity(found) if ordered else found
 
 
+def ranked(
+    tables: CaseTables, rules: Iterable[Rule] | None = None, columns: Sequence[str] = FINDINGS.names
+) -> DataFrame:
+    """The named columns of all findings with their ``position``, from 1, in the order of ``by_severity``.
+
+    Texts that are not asked for are never rendered. Findings alike in the whole order come in any order.
+    """
+    chosen = DEFAULT_RULES if rules is None else tuple(rules)
+    parts = [_evaluate(rule, place, tables) for place, rule in enumerate(chosen)]
+    keys = ["severity_rank", "rule_ordinal", "case_id", "source_paths", "ordinal", "details"]
+    found = _union(tables.events.sparkSession, parts, ordered=False)
+    # Finding the bounds of the parts reads the rows once more, so they are written first.
+    slim = checkpointed(found.select(*dict.fromkeys([*keys, *columns])))
+    return numbered(slim, [F.col(keys[0]).desc(), *keys[1:]]).select(*columns, "position")
+
+
 def by_severity(found: DataFrame) -> DataFrame:
     """Highest severity first; equal ones by rule, source and place in the source."""
     return found.orderBy(
