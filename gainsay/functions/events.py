@@ -2,13 +2,14 @@
 
 One pull parse (``from_xml``) reads all fields and tells whether the text is well-formed. It hands
 over the event data as tags and plain text, which a pattern takes apart. Where that reading could
-differ from a tree's (repeated or mixed fields, prefixes, another root, data that looks like tags),
+differ from a tree's (mixed or blank fields, other namespaces, another root, data that looks like tags),
 a pattern over the raw text says so beforehand, and those few texts are read as trees in an Arrow step;
 for all others that step gets and gives only NULLs.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -25,14 +26,15 @@ MESSAGE_SEPARATOR = " | "
 # event, stray text) shows up inside the wrapper rather than being ignored.
 _WRAPPER = "gainsay-row"
 _TEXT = "STRUCT<_VALUE: STRING>"
+# Every part may occur more than once; the first one counts.
 _SYSTEM = (
-    f"STRUCT<_xmlns: STRING, Provider: STRUCT<_Name: STRING>, EventID: {_TEXT}, Level: {_TEXT}, "
-    f"TimeCreated: STRUCT<_SystemTime: STRING>, EventRecordID: {_TEXT}, Computer: {_TEXT}, "
-    f"Channel: {_TEXT}>"
+    f"STRUCT<Provider: ARRAY<STRUCT<_Name: STRING>>, EventID: ARRAY<{_TEXT}>, Level: ARRAY<{_TEXT}>, "
+    f"TimeCreated: ARRAY<STRUCT<_SystemTime: STRING>>, EventRecordID: ARRAY<{_TEXT}>, "
+    f"Computer: ARRAY<{_TEXT}>, Channel: ARRAY<{_TEXT}>>"
 )
 _DOCUMENT = (
-    f"_VALUE STRING, Event ARRAY<STRUCT<_xmlns: STRING, System: {_SYSTEM}, EventData: STRING, "
-    "UserData: STRING>>, _corrupt STRING"
+    f"_VALUE STRING, Event ARRAY<STRUCT<System: ARRAY<{_SYSTEM}>, EventData: ARRAY<STRING>, "
+    "UserData: ARRAY<STRING>>>, _corrupt STRING"
 )
 _OPTIONS = {
     "mode": "PERMISSIVE",
@@ -50,14 +52,22 @@ _DATE_TIME = (
 # "<", or a ">" in what may be an attribute value.
 _AMBIGUOUS = r"""<!|&lt;|&#0*60;|&#[xX]0*3[cC];|=\s*"[^"<]*(>|&gt;|&#)|=\s*'[^'<]*(>|&gt;|&#)"""
 
-# Where a tree takes the first child and its leading text, and goes by namespaces rather than names: a
-# root that is not a plain Event, fields that occur twice, fields with anything but text in them,
-# and prefixes of the namespace.
+# What else reads differently as a tree, which takes a field's leading text and goes by namespaces rather than
+# names. Usual events begin as a plain Event of the namespace.
+_ROOT = (
+    r"(?s)^\s*(?:<\?xml.*?\?>)?\s*<Event\s(?:[^>]*\s)?xmlns\s*=\s*[\"']http://schemas\.microsoft\.com/win/2004/08/events/event[\"']"
+)
+# Fields with anything but text in them; a blank text, which is text to a tree and none to the parser; and shorter
+# spellings of a time: without marks between the digits, or without minutes or seconds.
 _IRREGULAR = (
-    r"(?s)^(?!\s*(?:<\?xml.*?\?>)?\s*<Event[\s/>])"
-    r"|(?s)<(System|Provider|EventID|Level|TimeCreated|EventRecordID|Computer|Channel|EventData|UserData)[\s/>].*<\1[\s/>]"
-    r"|<(?:EventID|Level|EventRecordID|Computer|Channel)(?:\s[^>]*[^/>])?>[^<]*<(?!/)"
-    r"|xmlns:[^\s=]+\s*=\s*[\"']http://schemas\.microsoft\.com/win/2004/08/events/event"
+    r"<(?:(?:EventID|Level|EventRecordID|Computer|Channel)(?:\s[^>]*[^/>])?>(?:[^<]*<(?!/)|\s+</)"
+    r"|TimeCreated\s[^>]*SystemTime\s*=\s*[\"'](?=\d{4}-?\d{2}-?\d{2})(?!\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}[^\"']*)?[\"']))"
+)
+# Prefixes of the namespace, and parts that are put in one by themselves. Looked for only where a namespace is
+# named more than once.
+_NAMESPACES = (
+    r"xmlns:[^\s=]+\s*=\s*[\"']http://schemas\.microsoft\.com/win/2004/08/events/event"
+    r"|<(?:System|Provider|EventID|Level|TimeCreated|EventRecordID|Computer|Channel|EventData|UserData)\s(?:[^>]*\s)?xmlns\s*="
 )
 
 # A start tag and the text up to the next tag.
@@ -71,17 +81,26 @@ _TREE = (
 
 
 def _as_tree(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_read_tree(text) for text in texts], columns=_TREE_COLUMNS, dtype=object)
+    """Most texts of a batch are NULL and cost nothing but their place."""
+    places = texts.index[texts.notna()]
+    read = pd.DataFrame([_read_tree(texts[i]) for i in places], index=places, columns=_TREE_COLUMNS, dtype=object)
+    return read.reindex(texts.index).astype(object).where(lambda found: found.notna(), None) if len(places) < len(texts) else read
 
 
 _TREE_COLUMNS = [part.split()[0] for part in _TREE.split(", ")]
 
 
-def _read_tree(text: str | None) -> list:
+def _spelled_out(time: str | None) -> str | None:
+    """Any ISO spelling of a time in full; what is none stays as it is."""
+    try:
+        return time and datetime.fromisoformat(time).isoformat()
+    except ValueError:
+        return time
+
+
+def _read_tree(text: str) -> list:
     """Raw field texts of one event: first children in the namespace, their leading text."""
     blank: list = [None] * (len(_TREE_COLUMNS) - 2)
-    if text is None:
-        return [None, None, *blank]
     try:
         root = ElementTree.fromstring(text)
     except (ElementTree.ParseError, ValueError):
@@ -106,7 +125,7 @@ def _read_tree(text: str | None) -> list:
     data = child(root, "UserData") if data is None else data
     texts = [] if data is None else [element.text or "" for element in data.iter()]
     return [
-        False, True, own("EventID"), own("Level"), attribute("TimeCreated", "SystemTime"),
+        False, True, own("EventID"), own("Level"), _spelled_out(attribute("TimeCreated", "SystemTime")),
         attribute("Provider", "Name"), own("EventRecordID"), own("Computer"), own("Channel"), texts,
     ]
 
@@ -135,7 +154,9 @@ def decode(rows: DataFrame, xml: str = "raw_xml") -> DataFrame:
     """Event fields for each XML row, plus ``reason`` where the row cannot be used."""
     body = F.regexp_replace(F.col(xml), r"(?s)^\s*<\?xml.*?\?>", "")
     wrapped = F.concat(F.lit(f"<{_WRAPPER}>"), body, F.lit(f"</{_WRAPPER}>"))
-    unusual = F.col(xml).rlike(_IRREGULAR) | F.col(xml).rlike(_AMBIGUOUS)
+    named = F.length(xml) - F.length(F.replace(F.col(xml), F.lit("xmlns"), F.lit("")))
+    spaces = F.when(named > len("xmlns"), F.col(xml).rlike(_NAMESPACES)).otherwise(F.lit(False))
+    unusual = ~F.col(xml).rlike(_ROOT) | F.col(xml).rlike(_IRREGULAR) | spaces | F.col(xml).rlike(_AMBIGUOUS)
     # Unlike a plain column, an exploded one is not parsed again for each filter placed on it.
     parsed = (
         rows.withColumn("_unusual", F.coalesce(unusual, F.lit(False)))
@@ -145,33 +166,32 @@ def decode(rows: DataFrame, xml: str = "raw_xml") -> DataFrame:
     )
     doc, tree = F.col("_doc"), F.col("_tree")
     event = F.get(doc["Event"], 0)
-    system = event["System"]
+    system = F.get(event["System"], 0)
     malformed = (
         F.col(xml).isNull()
         | doc["_corrupt"].isNotNull()
         | (F.coalesce(F.size(doc["Event"]), F.lit(0)) != 1)
         | (strip(F.coalesce(doc["_VALUE"], F.lit(""))) != "")
     )
-    in_namespace = F.coalesce(system["_xmlns"], event["_xmlns"]) == EVENT_NAMESPACE
-    no_system = system.isNull() | ~F.coalesce(in_namespace, F.lit(False))
+    no_system = F.coalesce(F.size(event["System"]), F.lit(0)) == 0
     either = F.col("_unusual")
     reason = F.when(F.when(either, tree["malformed"]).otherwise(malformed), "malformed XML").when(
         F.when(either, ~tree["system"]).otherwise(no_system), "no System element"
     )
 
     def text(tag: str, in_tree: str) -> Column:
-        return strip(F.when(either, tree[in_tree]).otherwise(system[tag]["_VALUE"]))
+        return strip(F.when(either, tree[in_tree]).otherwise(F.get(system[tag], 0)["_VALUE"]))
 
     # UserData only counts where there is no EventData, not where that is empty.
-    data = F.coalesce(event["EventData"], event["UserData"])
+    data = F.when(F.size(event["EventData"]) > 0, F.get(event["EventData"], 0)).otherwise(F.get(event["UserData"], 0))
     by_pattern = F.regexp_extract_all(
         F.concat(F.lit("<_>"), data), F.lit(_TAG_AND_TEXT), F.lit(1)
     )
     texts = F.when(
         F.col("reason").isNull(), F.when(either, tree["texts"]).otherwise(by_pattern)
     )
-    time = F.when(either, tree["time"]).otherwise(system["TimeCreated"]["_SystemTime"])
-    provider = F.when(either, tree["provider"]).otherwise(system["Provider"]["_Name"])
+    time = F.when(either, tree["time"]).otherwise(F.get(system["TimeCreated"], 0)["_SystemTime"])
+    provider = F.when(either, tree["provider"]).otherwise(F.get(system["Provider"], 0)["_Name"])
 
     kept = [c for c in rows.columns if c != xml]
     return (

@@ -40,8 +40,8 @@ def run(
     """Findings of all rules, highest severity first.
 
     None means the default rules, an empty list means none. A failing rule fails the whole; use
-    ``run_isolated`` to keep the others. Unordered findings are a lazy plan, but for one small job that
-    sizes the index of names of the first rule. A sort reads its
+    ``run_isolated`` to keep the others. Unordered findings are a lazy plan, but for a small job that
+    sizes the index of names of the first rule and the gaps of the fourth, which are written. A sort reads its
     input twice, so ordered ones are written to the checkpoint folder first rather than found twice.
     """
     chosen = DEFAULT_RULES if rules is None else tuple(rules)

@@ -42,11 +42,12 @@ SELECT 'case-' || (user_id % 4) AS case_id, event_id AS record_number,
        CASE WHEN d = 4 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS event_id,
        CASE WHEN d = 5 THEN NULL ELSE CAST(epoch_us(ts) AS VARCHAR) END AS micros,
        CASE WHEN d = 6 THEN NULL ELSE event_type END AS provider_name,
-       'HOST-' || user_id AS computer_name, CAST(NULL AS VARCHAR) AS channel,
-       CASE WHEN d IN (0, 4, 5) AND (event_id // 10) % 5 = 2 THEN NULL ELSE '4' END AS level,
-       CASE WHEN d IN (7, 9) THEN NULL WHEN d = 8 THEN props
+       CASE WHEN shape = 8 THEN '' ELSE 'HOST-' || user_id END AS computer_name, CAST(NULL AS VARCHAR) AS channel,
+       CASE WHEN shape IN (2, 5) THEN NULL ELSE '4' END AS level,
+       CASE WHEN d IN (7, 9) OR shape IN (6, 7) THEN NULL WHEN d = 8 THEN props
             ELSE props || ' | ' || event_type END AS message
-FROM (SELECT *, event_id % 10 AS d FROM events) WHERE d NOT IN (1, 2, 3)
+FROM (SELECT *, event_id % 10 AS d, CASE WHEN event_id % 10 IN (0, 4, 5) THEN (event_id // 10) % 9 ELSE -1 END AS shape
+      FROM events) WHERE d NOT IN (1, 2, 3)
 """)
 def event_xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = case.events_from_xml(standins.event_xml(spark, sf_dir))

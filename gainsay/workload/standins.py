@@ -164,8 +164,9 @@ def case_tables(spark: SparkSession, sf_dir: str) -> CaseTables:
 def event_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as XML text; the last digit of the number picks a well-formed or a damaged shape.
 
-    Of the plain ones (0, 4 and 5) the next digits make some with repeated fields, mixed content, a prefix
-    or another root, which are the same events to a tree parser.
+    Of the plain ones (0, 4 and 5) the number makes some with repeated fields, mixed content, a prefix
+    or another root, which are the same events to a tree parser, some with a field or the data in another
+    namespace or only System in the right one, which have none of it, and some with a blank computer.
     """
     digit = F.col("event_id") % 10
     head = F.lit(f'<?xml version="1.0" encoding="utf-8"?>\n<Event xmlns="{EVENT_NAMESPACE}">')
@@ -199,16 +200,21 @@ def event_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         ))
     )
     end = F.when(digit == 1, "</Sys").when(digit == 3, "</Event><Event/>").otherwise("</Event>")
-    shape = F.when(digit.isin(0, 4, 5), F.floor(F.col("event_id") / 10) % 5).otherwise(-1)
+    shape = F.when(digit.isin(0, 4, 5), F.floor(F.col("event_id") / 10) % 9).otherwise(-1)
 
     def shaped(text: Column) -> Column:
         named = F.replace(F.replace(text, F.lit("<Event "), F.lit("<Entry ")), F.lit("</Event>"), F.lit("</Entry>"))
+        own = F.lit(f' xmlns="{EVENT_NAMESPACE}"')
         spaced = F.regexp_replace(text, r"<(/?)([A-Z][A-Za-z]*|b)(?=[ />])", "<$1e:$2")
         return (
             F.when(shape == 1, F.replace(text, F.lit("</EventID>"), F.lit("</EventID><EventID>7</EventID>")))
             .when(shape == 2, F.replace(text, F.lit("<Level>4<"), F.lit("<Level>x<y/>4<")))
             .when(shape == 3, F.replace(spaced, F.lit(" xmlns="), F.lit(" xmlns:e=")))
             .when(shape == 4, named)
+            .when(shape == 5, F.replace(text, F.lit("<Level>4"), F.lit('<Level xmlns="urn:x">4')))
+            .when(shape == 6, F.replace(text, F.lit("<EventData>"), F.lit('<EventData xmlns="urn:x">')))
+            .when(shape == 7, F.replace(F.replace(text, own, F.lit("")), F.lit("<System>"), F.concat(F.lit("<System"), own, F.lit(">"))))
+            .when(shape == 8, F.regexp_replace(text, "<Computer>[^<]*<", "<Computer> \n<"))
             .otherwise(text)
         )
 

@@ -68,6 +68,13 @@ def test_event_id(decoded, text, expected):
         ("2024", None),
         ("soon", None),
         ("2024-13-01T00:00:00Z", None),
+        ("2024-01-01T10", datetime(2024, 1, 1, 10)),
+        ("20240101T101011", datetime(2024, 1, 1, 10, 10, 11)),
+        ("20240101T101011.5Z", datetime(2024, 1, 1, 10, 10, 11, 500000)),
+        ("2024-01-01T1010+0200", datetime(2024, 1, 1, 8, 10)),
+        ("20240101", datetime(2024, 1, 1)),
+        ("2024-01-01T10:11Z", datetime(2024, 1, 1, 10, 11)),
+        ("20240101T256161", None),
     ],
 )
 def test_timestamp(decoded, text, expected):
@@ -123,6 +130,60 @@ def test_fields_are_first_children_and_their_leading_text(decoded):
     assert (rows[1].provider_name, rows[1].message) == ("P", "d")
 
 
+NS = f'xmlns="{EVENT_NAMESPACE}"'
+SHAPES = [
+    event("<System><EventID>1</EventID><Computer> \n</Computer><Channel> </Channel></System>"),
+    event("<System><Computer></Computer><Channel/></System>"),
+    event('<System><EventID xmlns="urn:z">1</EventID><Level xmlns="urn:z">2</Level><Computer>c</Computer></System>'),
+    event('<System><EventID xmlns="urn:z">1</EventID><EventID>5</EventID></System>'),
+    event('<System><EventID/></System><EventData xmlns="urn:z"><Data>a</Data></EventData><UserData><b>u</b></UserData>'),
+    event('<System/><EventData a="1"  xmlns = "urn:z"><Data>a</Data></EventData>'),
+    f"<Event><System {NS}><EventID>3</EventID></System><EventData><Data>m</Data></EventData></Event>",
+    f"<Event><System {NS}><EventID>3</EventID></System><EventData {NS}><Data>m</Data></EventData></Event>",
+    f'<Event xmlns="urn:z"><System {NS}><Level>3</Level></System><UserData><Data>m</Data></UserData></Event>',
+    f"<Event a='1' {NS} b='2'><System><EventID>9</EventID></System><EventData><Data xmlns='q'>deep</Data></EventData></Event>",
+    f"<Event xmlns='{EVENT_NAMESPACE}'><System><EventID>9</EventID><Provider Name='p' xmlns='urn:z'/></System></Event>",
+    f"<Event {NS}><System xmlns=''><EventID>9</EventID></System></Event>",
+    "<Event><System><EventID>9</EventID></System></Event>",
+    event("<System><EventID/><EventID>6</EventID><Computer></Computer><Computer>c</Computer><Level>1</Level><Level/></System>"),
+    event('<System><Provider/><Provider Name="p"/></System><EventData/><EventData><Data>x</Data></EventData>'),
+    event('<System/><System><EventID>4</EventID></System><EventData><Data>x</Data></EventData><EventData><Data>y</Data></EventData>'),
+    event("<System><EventID>4</EventID></System><UserData><EventData><Data>in</Data></EventData></UserData>"),
+]
+
+
+def _tree_fields(text):
+    """The same fields from a tree, as the rules say."""
+    from xml.etree import ElementTree
+
+    def own(of, tag):
+        return of.find("{%s}%s" % (EVENT_NAMESPACE, tag))
+
+    root = ElementTree.fromstring(text)
+    system = own(root, "System")
+    if system is None:
+        return ("no System element",) + (None,) * 6
+
+    def words(tag):
+        found = own(system, tag)
+        return None if found is None or found.text is None else found.text.strip()
+
+    def number(tag):
+        return int(words(tag)) if (words(tag) or "").lstrip("-").isdigit() else None
+
+    provider, data = own(system, "Provider"), own(root, "EventData")
+    data = own(root, "UserData") if data is None else data
+    said = [] if data is None else [e.text.strip() for e in data.iter() if e.text and e.text.strip()]
+    return (None, number("EventID"), number("Level"), words("Computer"), words("Channel"),
+            None if provider is None else provider.get("Name"), " | ".join(said) or None)
+
+
+def test_every_shape_reads_as_a_tree_does(decoded):
+    rows = decoded(SHAPES)
+    got = [(r.reason, r.event_id, r.level, r.computer_name, r.channel, r.provider_name, r.message) for r in rows]
+    assert got == [_tree_fields(text) for text in SHAPES]
+
+
 def test_times_without_a_zone_are_utc_in_any_session(spark, decoded):
     texts = [event(f'<System><TimeCreated SystemTime="{t}"/></System>') for t in ("2024-03-10T02:30:00", "2024-03-10", "2024-03-10T02:30:00+01:00")]
     before = spark.conf.get("spark.sql.session.timeZone")
