@@ -78,15 +78,20 @@ WITH turns AS (
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text))
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text))
          AS loss_sha256,
-       CAST(sum(length('<|im_start|>') + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n'))
-                + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_end|>') + 1)
-            AS BIGINT) AS formatted_chars,
-       CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS n_examples
-FROM turns GROUP BY conv_id
+       CAST(sum(size) AS BIGINT) AS formatted_chars,
+       CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS n_examples,
+       CAST(sum(CASE WHEN role = 'assistant' THEN before ELSE 0 END) AS BIGINT) AS context_chars,
+       CAST(sum(CASE WHEN role = 'assistant' THEN before + size ELSE 0 END) AS BIGINT) AS example_chars
+FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM (SELECT *, length('<|im_start|>') + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n'))
+                      + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_end|>') + 1 AS size
+            FROM turns))
+GROUP BY conv_id
 """)
 def op8_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = spark.range(2).select(
@@ -96,24 +101,30 @@ def op8_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(CONTROL).alias("text"),
     )
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    back = chat.parsed(chat.segments(turns.unionByName(control)))
-    whole = back.groupBy("conv_id").agg(
+    formatted = chat.segments(turns.unionByName(control))
+    whole = chat.parsed(formatted).groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_turns"),
-        F.array_sort(F.collect_list(F.struct("position", "role", "text", "loss"))).alias("turns"),
+        F.array_sort(F.collect_list(F.struct("position", "role", "text"))).alias("turns"),
         F.sum("chars").cast("bigint").alias("formatted_chars"),
-        F.count("loss").alias("n_examples"),
+    )
+    learned = chat.examples(formatted).groupBy(F.col("conv_id").alias("of")).agg(
+        F.count(F.lit(1)).alias("n_examples"),
+        F.sum("context_chars").alias("context_chars"),
+        F.sum("example_chars").alias("example_chars"),
+        F.array_sort(F.collect_list(F.struct("target", "reply"))).alias("replies"),
     )
     line = F.lit("\n")
     said = F.transform("turns", lambda t: F.concat(t["role"], line, t["text"], line))
-    trained = F.array_join("turns.loss", "")
-    return whole.select(
+    trained = F.coalesce(F.array_join("replies.reply", ""), F.lit(""))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return whole.join(learned, F.col("conv_id").eqNullSafe(F.col("of")), "left").select(
         "conv_id",
         "n_turns",
         F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
         F.length(trained).cast("bigint").alias("loss_chars"),
         F.sha2(trained, 256).alias("loss_sha256"),
         "formatted_chars",
-        "n_examples",
+        *[number(c) for c in ("n_examples", "context_chars", "example_chars")],
     )
 
 
