@@ -17,9 +17,11 @@ import numpy as np
 
 from gainsay.llm.common import keeps
 
-GENERATION_BYTES = 64 << 20
+GENERATION_BYTES = 96 << 20
 # What a word and its ids take beside their own bytes.
 _ENTRY_BYTES = 160
+# Longer words hardly ever come again and are not kept.
+_LONGEST = 64
 
 # A mark that is one id of its own between white space; words that hold it are encoded alone.
 _MARK = b"~"
@@ -64,7 +66,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._limit, self._held = generation_bytes, 0
+        self._limit, self._bytes = generation_bytes, 0
         mark = self._tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
         self._mark = mark[0] if len(mark) == 1 else None
         self.largest_id = max(self._tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
@@ -83,16 +85,17 @@ class Encoder:
         if new:
             self._learn(new)
             ids.update((word, self._young[word]) for word in new)
+            for word in [word for word in new if len(word) > _LONGEST]:
+                del self._young[word]
         return [b"".join(map(ids.__getitem__, words)) for words in split]
 
     def _learn(self, new: set[bytes]) -> None:
         """Ids of new words, from the last generation or from the tokenizer."""
-        if self._held > self._limit:
-            self._old, self._young, self._held = self._young, {}, 0
+        if len(self._young) * _ENTRY_BYTES + self._bytes > self._limit:
+            self._old, self._young, self._bytes = self._young, {}, 0
         young = self._young
         known = new & self._old.keys()
         young.update((word, self._old[word]) for word in known)
-        before = len(young) - len(known)
         rest = []
         for word in new - known:
             ids = self._letters(word) if self._direct else None
@@ -109,7 +112,7 @@ class Encoder:
             flat = ids.tobytes()
             starts, ends = [0, *(cut + 4 for cut in cuts)], [*cuts, len(flat)]
             young.update(zip(group, (flat[a:b] for a, b in zip(starts, ends))))
-        self._held += _ENTRY_BYTES * (len(young) - before) + sum(len(word) + len(young[word]) for word in new)
+        self._bytes += sum(len(word) + len(young[word]) for word in new if len(word) <= _LONGEST)
 
     def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
         plain = [text.decode("utf-8", "replace") for text in texts]

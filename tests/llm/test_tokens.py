@@ -44,7 +44,9 @@ def test_encoder_gives_the_tokenizers_ids(expected):
 def test_the_cache_is_bounded_and_freed_by_other_tasks():
     encoder = tokens.Encoder(tokens.default_path(), generation_bytes=1 << 20)
     for i in range(40):
-        encoder.encode([" ".join(f"w{i}x{j}" + "y" * 200 for j in range(500)).encode()])
+        encoder.encode([" ".join(f"w{i}x{j}" + "y" * 40 for j in range(500)).encode()])
+    encoder.encode([b"z" * 5_000_000])
+    assert not any(len(word) > 1000 for word in encoder._young)
     held = sum(len(k) + len(v) for table in (encoder._young, encoder._old) for k, v in table.items())
     assert held < 3 << 20
     first = tokens.encoder(tokens.default_path())
