@@ -4,7 +4,8 @@ The plain form joins every probe with every event of the window and tests the te
 burst. Here no probe is ever paired with an event:
 
 1. Events are reduced to (name, time) mentions. Names are looked up by their first characters, so
-   the work per text grows with its length, not with the number of names.
+   the work per text grows with its length, not with the number of names. Where the names are too
+   many to broadcast, a bitmap of fixed size tells, before any shuffle, the few places where one may begin.
 2. Mentions shrink, before any shuffle, to the first and last time per (case, name, time bucket).
    A bucket is as wide as the window, so these two times decide every probe exactly.
 3. Probes drop out by an equality anti-join with at most three such rows each.
@@ -23,6 +24,9 @@ PREFIX_CHARS = 8
 CHUNK_CHARS = 512
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 _ROW_OVERHEAD_BYTES = 128
+# Bits of a bitmap, as a power of two, and of one word of it: at most 2**19 words, some 20 MB as a broadcast table.
+BITMAP_BITS = 25
+_WORD_BITS = 6
 
 
 def mentions(
@@ -31,27 +35,33 @@ def mentions(
     *,
     keep: Sequence[str],
     text: str = "text",
+    by: Sequence[str] = (),
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """``keep`` columns of each event once for every listed name found anywhere in its text.
 
-    ``names`` has one text column ``name``. Matching ignores case. A mention may come out more
-    than once, and texts that merely share a listed name's beginning and length come out too;
-    both fall away when the result is aggregated and joined on the exact name.
+    ``names`` has the text column ``name`` and the ``by`` columns, which ``keep`` must have too: a name is
+    sought in events with equal ones only, and a null there equals nothing. Matching ignores case. A mention
+    may come out more than once, and texts that merely share a listed name's beginning and length may come
+    out too; both fall away when the result is aggregated and joined on the exact name.
     """
-    lowered = names.select(F.lower("name").alias("name")).filter(F.col("name") != "")
+    by = list(by)
+    lowered = names.select(*by, F.lower("name").alias("name")).filter(F.col("name") != "")
     index = (
         lowered.select(
-            F.substring("name", 1, PREFIX_CHARS).alias("prefix"), F.length("name").alias("chars")
+            *by, F.substring("name", 1, PREFIX_CHARS).alias("prefix"), F.length("name").alias("chars")
         )
-        .groupBy("prefix")
+        .groupBy(*by, "prefix")
         .agg(F.collect_set("chars").alias("lengths"))
     )
+    key_bytes = F.octet_length("prefix")
+    for column in by:
+        key_bytes = key_bytes + F.coalesce(F.octet_length(F.col(column).cast("string")), F.lit(0))
     # One row comes back: how long names get and how big the index is.
     profile = index.agg(
         F.max(F.array_max("lengths")).alias("longest"),
         F.collect_set(F.length("prefix")).alias("prefix_lengths"),
-        F.sum(F.octet_length("prefix") + 4 * F.size("lengths") + _ROW_OVERHEAD_BYTES).alias("size"),
+        F.sum(key_bytes + 4 * F.size("lengths") + _ROW_OVERHEAD_BYTES).alias("size"),
     ).first()
     if profile["longest"] is None:
         return events.select(*keep, F.lit("").alias("name")).filter(F.lit(False))
@@ -64,17 +74,46 @@ def mentions(
     )
     if profile["size"] <= broadcast_limit:
         # The text is only cut where a name begins; until then every place shares its chunk.
-        hits = looked_up.join(F.broadcast(index), "prefix")
-    else:
-        # A shuffle by prefix: places without a listed beginning stay behind, by a filter of the prefixes
-        # that Spark makes at run time, and a place carries no more than the longest name.
-        rest = F.col("_chunk").substr(F.col("_place"), F.lit(profile["longest"]))
-        hits = looked_up.select(*keep, rest.alias("_chunk"), F.lit(1).alias("_place"), "prefix").join(index, "prefix")
+        return _cut(looked_up.join(F.broadcast(index), [*by, "prefix"]), keep)
+    # Only places where a name may begin are shuffled, each with no more text than the longest name.
+    rest = F.col("_chunk").substr(F.col("_place"), F.lit(profile["longest"]))
+    hits = perhaps_in(looked_up, index, [*by, "prefix"]).select(
+        *keep, rest.alias("_chunk"), F.lit(1).alias("_place"), "prefix"
+    )
+    return perhaps_in(_cut(hits.join(index, [*by, "prefix"]), keep), lowered, [*by, "name"])
+
+
+def _cut(hits: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """From places with the lengths of names that begin like the text there to the texts of these lengths."""
     return hits.select(*keep, "_chunk", "_place", F.explode("lengths").alias("chars")).select(
         *keep, F.col("_chunk").substr(F.col("_place"), F.col("chars")).alias("name")
     )
 
 
+def perhaps_in(rows: DataFrame, listed: DataFrame, keys: Sequence[str], bits: int = BITMAP_BITS) -> DataFrame:
+    """Rows whose ``keys`` may be among those of ``listed``: all that are, and few others. No row is shuffled.
+
+    The keys of ``listed`` set bits by their hash in a bitmap of ``2**bits`` bits. It is broadcast as a table of
+    64-bit words, of bounded size however many keys there are; the fuller it is, the more other rows pass.
+    """
+    slot = F.xxhash64(*keys).bitwiseAND(F.lit((1 << bits) - 1))
+    bit = slot.bitwiseAND(F.lit((1 << _WORD_BITS) - 1)).cast("int")
+    bitmap = (
+        listed.select(
+            F.shiftright(slot, _WORD_BITS).alias("_word"),
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("_bit"),
+        )
+        .groupBy("_word")
+        .agg(F.bit_or("_bit").alias("_mask"))
+    )
+    slotted = rows.withColumn("_slot", slot)
+    place = F.col("_slot").bitwiseAND(F.lit((1 << _WORD_BITS) - 1)).cast("int")
+    same = (F.shiftright("_slot", _WORD_BITS) == F.col("_word")) & (
+        F.call_function("bit_get", F.col("_mask"), place) == 1
+    )
+    return slotted.join(F.broadcast(bitmap), same).select(*rows.columns)
+
+
 def _positions(events: DataFrame, keep: Sequence[str], text: str, longest: int) -> DataFrame:
     """Every position of every text, as a place in a chunk that reaches ``longest`` characters beyond it.
 
@@ -126,9 +165,10 @@ def unmatched_in_window(
     spans = (
         mentions(
             candidates,
-            probes.select(F.col(name).alias("name")).distinct(),
+            probes.select(*by, F.col(name).alias("name")).distinct(),
             keep=[*by, "_at"],
             text="_event_text",
+            by=by,
             broadcast_limit=broadcast_limit,
         )
         .groupBy(*by, F.col("name").alias("_name"), floor_div(F.col("_at"), width).alias("_bucket"))

@@ -101,19 +101,32 @@ def _texts(spark: SparkSession, sf_dir: str, case_id=None) -> DataFrame:
     )
 
 
-@query("""
+_UNMATCHED_SQL = """
 SELECT p.event_id, p.user_id % 100 AS wanted FROM events p
 WHERE p.event_type = 'purchase' AND NOT EXISTS (
   SELECT 1 FROM events e
   WHERE e.event_type IN ('click', 'view')
     AND e.ts BETWEEN p.ts - INTERVAL 6 HOUR AND p.ts + INTERVAL 6 HOUR
     AND contains(lower(e.props), '"k": ' || (p.user_id % 100) || '}'))
-""")
-def execution_without_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = unmatched_in_window(_probes(spark, sf_dir), _texts(spark, sf_dir), window=WINDOW)
+"""
+
+
+def _unmatched(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    left = unmatched_in_window(_probes(spark, sf_dir), _texts(spark, sf_dir), window=WINDOW, **options)
     return left.select("event_id", F.regexp_extract("name", r"(\d+)", 1).cast("bigint").alias("wanted"))
 
 
+@query(_UNMATCHED_SQL)
+def execution_without_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unmatched(spark, sf_dir)
+
+
+@query(_UNMATCHED_SQL)
+def execution_without_event_by_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As if there were too many names to broadcast: a bitmap picks the places that are shuffled."""
+    return _unmatched(spark, sf_dir, broadcast_limit=0)
+
+
 @query("""
 SELECT 'case-' || (p.user_id % 4) AS case_id, p.event_id FROM events p
 WHERE p.event_type = 'purchase'
@@ -133,19 +146,27 @@ def gated_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p.event_id FROM events p
-WHERE p.event_type = 'purchase' AND p.user_id % 4 IN (SELECT user_id % 4 FROM events WHERE contains(props, '"k": 1}'))
+WITH texts AS (
+  SELECT user_id % 4 AS c, lower(props) AS text, ts - CASE WHEN user_id % 4 = 0 THEN INTERVAL 9000 DAY ELSE INTERVAL 0 DAY END AS ts
+  FROM events WHERE contains(props, '"k": 1}') AND user_id % 4 <> 3)
+SELECT 'case-' || (p.user_id % 4) AS case_id, p.event_id FROM events p
+WHERE p.event_type = 'purchase' AND p.user_id % 4 IN (SELECT c FROM texts)
+  AND NOT EXISTS (SELECT 1 FROM texts e WHERE e.c = p.user_id % 4
+    AND e.ts BETWEEN p.ts - INTERVAL 6 HOUR AND p.ts + INTERVAL 6 HOUR
+    AND contains(e.text, '"k": ' || (p.user_id % 100) || '}'))
 """)
 def gated_anti_join_without_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A case has its say only if some event of it holds the text; no event is near enough in time."""
+    """A case has its say only if some event of it holds the text: case 3 has none, the events of case 0 are too
+    far off in time to name a run, those of the others name some."""
     case_id = standins.case_of("user_id")
     rows = standins.read(spark, sf_dir, "events")
-    texts = rows.filter(F.contains("props", F.lit('"k": 1}'))).select(
+    at = utc(F.col("ts"))
+    texts = rows.filter(F.contains("props", F.lit('"k": 1}')) & (F.col("user_id") % 4 != 3)).select(
         case_id.alias("case_id"), F.col("props").alias("text"),
-        (utc(F.col("ts")) - F.expr("INTERVAL '9000' DAY")).alias("time"),
+        F.when(F.col("user_id") % 4 == 0, at - F.expr("INTERVAL '9000' DAY")).otherwise(at).alias("time"),
     )
     probes = only_cases_with(_probes(spark, sf_dir, case_id), texts)
-    return unmatched_in_window(probes, texts, window=WINDOW).select("event_id")
+    return unmatched_in_window(probes, texts, window=WINDOW).select("case_id", "event_id")
 
 
 @query(f"""

@@ -129,6 +129,38 @@ def test_a_burst_pairs_no_probe_with_an_event(spark):
     assert presence.unmatched_in_window(probes, events, window=WINDOW).count() == 0
 
 
+def test_the_bitmap_passes_all_listed_keys_and_few_others(spark):
+    """What goes on to the shuffle is the hits, whatever the number of rows; a full bitmap loses none either."""
+    rows = spark.range(200_000).selectExpr("concat('c', id % 3) c", "concat('name-', id) name")
+    listed = spark.range(0, 200_000, 100).selectExpr("concat('c', id % 3) c", "concat('name-', id) name")
+    passed = presence.perhaps_in(rows, listed, ["c", "name"])
+    assert "Exchange hashpartitioning(c" not in passed._jdf.queryExecution().executedPlan().toString()
+    assert 2000 <= passed.count() <= 2100
+    assert passed.columns == ["c", "name"]
+    full = presence.perhaps_in(rows, listed, ["c", "name"], bits=6)
+    assert full.join(listed, ["c", "name"], "left_semi").count() == 2000
+    # Another case's name is not in the list, a null is in none of its own either.
+    odd = spark.createDataFrame([("c1", "name-0"), ("c0", "name-0"), (None, "name-0")], "c string, name string")
+    assert [r.c for r in presence.perhaps_in(odd, listed, ["c", "name"]).collect()] == ["c0"]
+
+
+@pytest.mark.parametrize("limit", [presence.BROADCAST_LIMIT_BYTES, 0])
+def test_names_are_sought_in_their_own_case_and_long_names_whole(spark, limit):
+    long = "x" * 3000 + ".exe"
+    probes = [(1, "a", "one.exe", START), (2, "b", "two.exe", START), (3, "b", long, START), (4, None, "one.exe", START)]
+    events = [("a", "two.exe one.ex", START), ("b", "one.exe " + "-" * 700 + long.upper(), START), (None, "one.exe", START)]
+    assert _unmatched(spark, probes, events, broadcast_limit=limit) == Counter({1: 1, 2: 1, 4: 1})
+    seen = presence.mentions(
+        spark.createDataFrame(events, "c string, text string, time timestamp"),
+        spark.createDataFrame([(case, name) for _, case, name, _ in probes], "c string, name string"),
+        keep=["c"], by=["c"], broadcast_limit=limit,
+    )
+    found = {tuple(r) for r in seen.collect()}
+    # Texts that only begin like a listed name may come out of the broadcast form; the bitmap of names drops them.
+    assert ("b", long) in found and {case for case, _ in found} == {"b"}
+    assert limit or found == {("b", long)}
+
+
 # --- gates, failures, trees ----------------------------------------------------------------------
 
 
