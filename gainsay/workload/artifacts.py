@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,6 +15,7 @@ from gainsay.operators import rows as row_ops
 from gainsay.operators.slots import slot_mismatches
 from gainsay.operators.tree import key_paths, with_subkey_counts
 from gainsay.plans import reports, rules
+from gainsay.session import use_checkpoint_dir
 from gainsay.sources import case, discovery
 from gainsay.workload import standins
 from gainsay.workload.catalog import (
@@ -84,6 +86,26 @@ def event_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""
+SELECT case_id, 'logs%2F' || host || '.evtx' AS report, 0 AS part, count(*) AS line_count,
+       md5(string_agg(html, chr(10) ORDER BY record_number) || chr(10)) AS content_md5
+FROM (SELECT case_id, computer_name AS host, record_number, {_event_row_sql()} AS html FROM ({EVENTS_SQL}))
+GROUP BY case_id, host
+""")
+def event_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of every log written as an ordered file, and the files read back as they are."""
+    logs = standins.events(spark, sf_dir).withColumn("source_path", F.concat(F.lit("logs/"), "computer_name", F.lit(".evtx")))
+    folder = f"{use_checkpoint_dir(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    reports.write_report_files(reports.event_report(logs), folder)
+    name = F.regexp_extract("_metadata.file_path", r"report=([^/]*)\.(\d{5})\.html$", 1)
+    part = F.regexp_extract("_metadata.file_path", r"report=([^/]*)\.(\d{5})\.html$", 2)
+    return spark.read.text(folder, wholetext=True).select(
+        F.col("case").alias("case_id"), F.replace(name, F.lit("%25"), F.lit("%")).alias("report"),
+        part.cast("int").alias("part"), F.regexp_count("value", F.lit("\n")).cast("bigint").alias("line_count"),
+        F.md5("value").alias("content_md5"),
+    )
+
+
 @query(f"""
 SELECT count(DISTINCT source_path) AS file_count, count(*) AS record_count FROM ({EVENTS_SQL})
 """)
