@@ -310,6 +310,15 @@ def run_times_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _run_slots(key: Column) -> Column:
+    """Up to nine run times; one in the middle may be missing."""
+    times = F.transform(
+        F.sequence(F.lit(0), (key % 10 - 1).cast("int")),
+        lambda i: F.when(i != key % 13, F.timestamp_seconds(F.lit(1_700_000_000) + key * 60 + i)),
+    )
+    return F.when(key % 10 > 0, times).otherwise(F.array().cast("array<timestamp>"))
+
+
 def _raw_prefetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as decoder output: numbers as text, some of them unusable, lists with holes."""
     key = F.col("c_custkey")
@@ -325,7 +334,7 @@ def _raw_prefetch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 5 == 0, "4294967296").when(key % 5 == 1, "junk").otherwise(text).alias("prefetch_hash"),
         F.when(key % 6 == 0, "v30").otherwise("30").alias("format_version"),
         F.when(key % 7 == 0, None).otherwise(text).alias("run_count"),
-        F.array().cast("array<timestamp>").alias("last_run_times"),
+        _run_slots(key).alias("last_run_times"),
         F.array(F.col("c_name"), F.lit(None), F.col("c_mktsegment")).alias("filenames"),
         F.array(F.when(key % 2 == 0, volume), volume).alias("volumes"),
     )
@@ -624,14 +633,16 @@ def prefetch_volume_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT executable_name, CAST(NULL AS VARCHAR) AS micros, CAST(2 AS INTEGER) AS filename_count
-FROM (SELECT c_name AS executable_name FROM customer)
+SELECT executable_name, CAST(i AS INTEGER) AS run_index,
+       CAST(1700000000000000 + (c_custkey * 60 + i) * 1000000 AS VARCHAR) AS micros, CAST(2 AS INTEGER) AS filename_count
+FROM (SELECT c_name AS executable_name, c_custkey, unnest(CASE WHEN kept = 0 THEN [NULL] ELSE range(kept) END) AS i
+      FROM (SELECT *, least(c_custkey % 10, 8, c_custkey % 13) AS kept FROM customer))
 """)
 def prefetch_run_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No run time was decoded: each record keeps one row."""
+    """At most eight run times, up to the first missing one; a record without any keeps one row."""
     records, _ = case.prefetch_from_rows(_raw_prefetch(spark, sf_dir))
     return reports.prefetch_listing(records).select(
-        "executable_name", F.unix_micros("run_time").cast("string").alias("micros"), "filename_count"
+        "executable_name", "run_index", F.unix_micros("run_time").cast("string").alias("micros"), "filename_count"
     )
 
 
