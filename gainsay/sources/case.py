@@ -32,6 +32,7 @@ from gainsay.functions.time import utc
 from gainsay.operators import slots as slot_decoder
 from gainsay.operators.rows import split_failures, without_bad_files
 from gainsay.sources import discovery
+from gainsay.sources.pieces import decode_pieces
 from gainsay.sources.slots import RECORD_BYTES, read_slots
 
 
@@ -360,7 +361,7 @@ def open_folder(
     folder: str,
     *,
     case_id: str | Column = "case",
-    decoders: dict[str, tuple[Callable[[Iterable], Iterable], StructType | str]] | None = None,
+    decoders: dict[str, tuple] | None = None,
     record_bytes: int = RECORD_BYTES,
     root_key: str | None = None,
 ) -> Ingested:
@@ -368,8 +369,9 @@ def open_folder(
 
     File-record tables are read as they are. The other kinds are binary formats: ``decoders`` maps
     "evtx", "registry" and "prefetch" to a decoder of whole files and the schema of its rows (see
-    ``decode_with``); files of a kind without a decoder are bad files. ``case_id`` may be an expression over
-    ``source_path``.
+    ``decode_with``), or to a decoder of pieces, its schema and a splitter (see ``pieces.decode_pieces``): then files
+    of any size are read by many tasks and their paths stay rows. Files of a kind without a decoder are bad files.
+    ``case_id`` may be an expression over ``source_path``.
     """
     decoders = decoders or {}
     case = case_id if isinstance(case_id, Column) else F.lit(case_id)
@@ -382,28 +384,33 @@ def open_folder(
         )
     )
     usable = known.join(bad.select("source_path").distinct(), "source_path", "left_anti")
-    found = usable.select("category", "path").collect()
+    in_pieces = [c for c, given in decoders.items() if len(given) == 3]
+    found = usable.filter(~F.col("category").isin(in_pieces)).select("category", "path").collect()
     paths = {c: sorted(r["path"] for r in found if r["category"] == c) for c in discovery.CATEGORIES}
+    present = {c for c in discovery.CATEGORIES if c in in_pieces or paths[c]}
     made: dict[str, DataFrame | None] = dict.fromkeys(("events", "registry_values", "prefetch", "mft"))
     failed = []
 
     def decoded(category: str) -> DataFrame:
+        if category in in_pieces:
+            decoder, schema, splitter = decoders[category]
+            return decode_pieces(usable.filter(F.col("category") == category), splitter, decoder, schema)
         decoder, schema = decoders[category]
         return decode_with(spark, paths[category], decoder, schema, case_id)
 
-    if paths["evtx"]:
+    if "evtx" in present:
         made["events"], failures = events_from_xml(conform(decoded("evtx"), schemas.EVENT_XML))
         failed.append(failures_of("events", failures, "record_number"))
-    if paths["registry"]:
+    if "registry" in present:
         rows = decoded("registry")
         made["registry_values"], failures = values_from_rows(rows, root_key)
         failed.append(failures_of("registry_values", failures, "key_path"))
         if root_key is not None:
             bad = bad.unionByName(files_without_root(rows, root_key))
-    if paths["prefetch"]:
+    if "prefetch" in present:
         made["prefetch"], failures = prefetch_from_rows(decoded("prefetch"))
         failed.append(failures_of("prefetch", failures, "field_group"))
-    if paths["mft"]:
+    if "mft" in present:
         made["mft"], failures = read_mft(spark, paths["mft"], case_id, record_bytes)
         failed.append(failures_of("mft", failures, "record_number"))
     letters = reduce(DataFrame.unionByName, failed) if failed else spark.createDataFrame([], schemas.FAILURES)

@@ -9,6 +9,7 @@ from slots import file_name, slot, standard
 from gainsay import CaseTables, Rule, run, run_isolated, schemas
 from gainsay.plans import engine, reports, rules
 from gainsay.sources import case, discovery
+from gainsay.sources.pieces import fixed_chunks
 
 T = datetime(2024, 1, 1, 12)
 WINDOW = timedelta(minutes=5)
@@ -335,7 +336,8 @@ def test_findings_do_not_depend_on_the_sessions_time_zone(spark):
     assert [r.evidence[0] for r in found] == ["ran at 2024-03-10T02:35:01+00:00"]
 
 
-def test_a_folder_becomes_a_case_without_its_bad_files(spark, tmp_path):
+@pytest.mark.parametrize("splitter", [(), (fixed_chunks(1 << 20),)])
+def test_a_folder_becomes_a_case_without_its_bad_files(spark, tmp_path, splitter):
     from gainsay.functions.events import EVENT_NAMESPACE
 
     def decoder(batches):
@@ -360,7 +362,7 @@ def test_a_folder_becomes_a_case_without_its_bad_files(spark, tmp_path):
     (folder / "notes.txt").write_text("not an artifact")
     schema = "case_id string, source_path string, record_number bigint, raw_xml string"
     by_folder = F.when(F.contains("source_path", F.lit("my case+50%")), "mine").otherwise("other")
-    made = case.open_folder(spark, str(folder), case_id=by_folder, decoders={"evtx": (decoder, schema)})
+    made = case.open_folder(spark, str(folder), case_id=by_folder, decoders={"evtx": (decoder, schema, *splitter)})
     assert {(r.case_id, r.source_path, r.record_number) for r in made.tables.events.collect()} == {
         ("mine", f"{folder}/logs/a b.evtx", 1), ("mine", f"{folder}/logs/a b.evtx", 2)
     }
