@@ -49,8 +49,12 @@ _DATE_TIME = (
 
 
 # Where the parser's rendering of the data could be misread: a comment or CDATA section, an escaped
-# "<", or a ">" in what may be an attribute value.
-_AMBIGUOUS = r"""<!|&lt;|&#0*60;|&#[xX]0*3[cC];|=\s*"[^"<]*(>|&gt;|&#)|=\s*'[^'<]*(>|&gt;|&#)"""
+# "<", or a ">" in what may be an attribute value. Values are walked once and never back.
+_MARK = "<!"
+_ESCAPED = "&lt;|&#0*60;|&#[xX]0*3[cC];"
+_QUOTED = r"=\s*(?:%s)" % "|".join(
+    rf"{quote}[^{quote}<>&]*+(?:&(?!gt;|#)[^{quote}<>&]*+)*+(?:>|&)" for quote in ('"', "'")
+)
 
 # What else reads differently as a tree, which takes a field's leading text and goes by namespaces rather than
 # names. Usual events begin as a plain Event of the namespace.
@@ -156,7 +160,9 @@ def decode(rows: DataFrame, xml: str = "raw_xml") -> DataFrame:
     wrapped = F.concat(F.lit(f"<{_WRAPPER}>"), body, F.lit(f"</{_WRAPPER}>"))
     named = F.length(xml) - F.length(F.replace(F.col(xml), F.lit("xmlns"), F.lit("")))
     spaces = F.when(named > len("xmlns"), F.col(xml).rlike(_NAMESPACES)).otherwise(F.lit(False))
-    unusual = ~F.col(xml).rlike(_ROOT) | F.col(xml).rlike(_IRREGULAR) | spaces | F.col(xml).rlike(_AMBIGUOUS)
+    escaped = F.contains(F.col(xml), F.lit("&")) & F.col(xml).rlike(_ESCAPED)
+    ambiguous = F.contains(F.col(xml), F.lit(_MARK)) | escaped | F.col(xml).rlike(_QUOTED)
+    unusual = ~F.col(xml).rlike(_ROOT) | F.col(xml).rlike(_IRREGULAR) | spaces | ambiguous
     # Unlike a plain column, an exploded one is not parsed again for each filter placed on it.
     parsed = (
         rows.withColumn("_unusual", F.coalesce(unusual, F.lit(False)))
