@@ -31,6 +31,7 @@ from gainsay.llm.tokens import default_path, encoder
 
 END_ID = 1
 READ_BYTES = 4 << 20
+_RANGE_CHARS = 256
 
 _HEAD = struct.Struct("<QI")
 _ID = struct.Struct("<iiq")
@@ -104,8 +105,9 @@ def write_records(
     """Write all documents in ascending doc_id order, nulls first, and return the manifest.
 
     ``folder`` is one that all executors share. A null or empty text is a record of ``end_id`` alone;
-    repeated rows and equal ids are records of their own, ordered by text. An empty table gives a
-    manifest without files.
+    repeated rows and equal ids are records of their own, ordered by text; many of one id, or without one,
+    are dealt to several files by how their texts begin. A text of any length is one record. Other columns
+    of ``docs`` cannot clash. An empty table gives a manifest without files.
     """
     path, end = tokenizer or default_path(), end_id.to_bytes(4, "little")
 
@@ -147,8 +149,10 @@ def write_records(
             })
 
     selected = texts(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    ranged = selected.repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # The beginning keeps the order of the whole texts, and the sampled bounds of the ranges small.
+    by_id = F.col("doc_id").asc_nulls_first()
+    ranged = selected.repartitionByRange(by_id, F.substring("text", 1, _RANGE_CHARS))
+    ordered = ranged.sortWithinPartitions(by_id, "text")
     files = sorted(ordered.mapInArrow(run, _FILE).collect(), key=lambda r: r["part"])
     manifest, start = {"folder": folder, "files": []}, 0
     for row in files:

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gainsay.llm import common, packing, records, tokens
@@ -114,6 +115,22 @@ def test_records_round_trip_in_order(spark, documents, expected):
     assert [r.start for r in shuffled] != [r.start for r in back]
 
 
+def test_rows_of_one_id_fill_several_files(spark, documents):
+    rows = [(None, f"text {i}") for i in range(400)] + [(7, f"other {i}") for i in range(400)]
+    docs = documents(rows).withColumn("ids", F.lit("mine")).withColumn("start", F.lit(1)).repartition(4)
+    folder = shared_folder(spark, "hot")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = records.write_records(docs, folder)["files"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(files) == 4 and max(f["documents"] for f in files) < 400
+    back = records.read_records(spark, folder).collect()
+    back.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in back] == [None] * 400 + [7] * 400
+    assert [r.start for r in back] == np.cumsum([0, *(r.n_tokens for r in back)])[:-1].tolist()
+
+
 def test_records_of_an_empty_table(spark, documents):
     folder = shared_folder(spark, "empty")
     assert records.write_records(documents([]), folder)["files"] == []
