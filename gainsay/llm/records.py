@@ -31,7 +31,7 @@ from gainsay.llm.tokens import default_path, encoder
 
 END_ID = 1
 READ_BYTES = 4 << 20
-_RANGE_CHARS = 256
+_RANGE_CHARS = 64
 
 _HEAD = struct.Struct("<QI")
 _ID = struct.Struct("<iiq")
