@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gainsay.functions.registry import value_label, value_text
 from gainsay.functions.text import basename, html_escape, iso_timestamp
-from gainsay.session import checkpointed
-from gainsay.sources.report_files import COLUMNS, ReportFiles
+from gainsay.session import checkpointed, use_checkpoint_dir
+from gainsay.sources.files import open_uri
+from gainsay.sources.report_files import COLUMNS, LISTED, ReportFiles
 
 # Columns of the event report, in order.
 EVENT_REPORT_COLUMNS = (
@@ -83,20 +86,45 @@ def write_event_report(report: DataFrame, path: str) -> None:
 _TOGETHER_BITS = 20
 
 
-def write_report_files(report: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_report_files(report: DataFrame, path: str, mode: str = "overwrite", whole: bool = False) -> None:
     """One file per case and source, ``case=<case>/report=<source>.00000.html``: records by number, then failures.
 
     All files appear when the whole report is written, or none. A source whose numbers span over 2**20 may go on in
-    files with the numbers 00001 and up, so that one huge log does not have to pass through one task.
+    files with the numbers 00001 and up, so that one huge log does not have to pass through one task. With ``whole``
+    every source is one file however long: such parts are sorted and written by many tasks to the checkpoint folder,
+    then a task per source copies their bytes one after the other.
     """
     keys = ["case_id", "source_path", "section"]
     report.sparkSession.dataSource.register(ReportFiles)
-    (
+    lines = (
         report.repartitionByRange(*keys, F.shiftright(F.coalesce(F.col("place").cast("bigint"), F.lit(-1)), _TOGETHER_BITS))
         .sortWithinPartitions(*keys, "place", "value")
         .select(*[F.col(c).cast("string").alias(c) for c in COLUMNS])
-        .write.format("report_files").mode(mode).save(path)
-    )
+    )
+    if whole:
+        _write_joined(lines, path, mode)
+    else:
+        lines.write.format("report_files").mode(mode).save(path)
+
+
+def _write_joined(lines: DataFrame, path: str, mode: str) -> None:
+    spark = lines.sparkSession
+    folder = f"{use_checkpoint_dir(spark).rstrip('/')}/pieces-{uuid.uuid4().hex}"
+    listing = f"{folder}/files.json"
+    try:
+        lines.write.format("report_files").option("listing", listing).mode("overwrite").save(folder)
+        # The rows are names of files, few and of much work each: as many tasks as there are cores.
+        (
+            spark.read.schema(LISTED).json(listing)
+            .repartition(max(spark.sparkContext.defaultParallelism, 1), "case_id", "source_path")
+            .sortWithinPartitions("case_id", "source_path", "place")
+            .select("case_id", "source_path", F.col("file").alias("value"))
+            .write.format("report_files").option("joined", folder).mode(mode).save(path)
+        )
+    finally:
+        store, pieces = open_uri(folder)
+        if store.get_file_info(pieces).type == fs.FileType.Directory:
+            store.delete_dir(pieces)
 
 
 # --- findings ----------------------------------------------------------------------------------

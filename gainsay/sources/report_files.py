@@ -4,6 +4,9 @@ Tasks write below a staging folder whose name readers skip. Only when all tasks
 files of the attempts that count to their places; a job that fails leaves nothing behind, also not of the tasks that
 had finished. (The moves are one by one: a driver lost among them leaves the files moved so far.) Rows must come sorted by case and source (``gainsay.plans.reports.write_report_files`` sees to it); a
 source that goes on in the next task has its further lines in a file with the next number.
+
+With the option ``listing`` the files written are listed there, a JSON object a line. With ``joined``, a folder written
+so, the values are not lines but the names of its files, whose bytes follow each other in the file of the source.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from gainsay.sources.files import open_uri
 
 COLUMNS = ("case_id", "source_path", "value")
+LISTED = "case_id string, source_path string, place int, file string"
 _LONGEST_NAME = 160
 _MOVES_AT_ONCE = 16
+_COPIED_BYTES = 1 << 22
 
 
 @dataclass
@@ -51,8 +56,8 @@ def file_stem(case_id: str | None, source_path: str | None) -> str:
 
 
 class ReportWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path.rstrip("/"), overwrite
+    def __init__(self, path: str, overwrite: bool, listing: str | None = None, joined: str | None = None):
+        self.path, self.overwrite, self.listing, self.joined = path.rstrip("/"), overwrite, listing, joined
         self.staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -65,21 +70,25 @@ class ReportWriter(DataSourceArrowWriter):
         number, current, out = 0, None, None
         with store.open_output_stream(manifest) as listing:
             for batch in iterator:
-                for source, lines in _runs(batch):
+                for source, values in _runs(batch):
                     if source != current or out is None:
                         if out is not None:
                             out.close()
                         name = f"{number}.part"
                         out, current, number = store.open_output_stream(f"{folder}/{name}"), source, number + 1
                         listing.write((json.dumps([*source, name]) + "\n").encode())
-                    out.write(lines)
+                    if self.joined is not None:
+                        for value in values:
+                            _copy(self.joined, value, out)
+                    else:
+                        out.write("".join(f"{v or ''}\n" for v in values).encode())
             if out is not None:
                 out.close()
         return Written(context.partitionId(), manifest)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root = open_uri(self.path)
-        moves, last, place = [], None, 0
+        moves, listed, last, place = [], [], None, 0
         for message in sorted((m for m in messages if m is not None), key=lambda m: m.partition):
             folder = message.manifest.rsplit("/", 1)[0]
             with store.open_input_stream(message.manifest) as listing:
@@ -87,7 +96,9 @@ class ReportWriter(DataSourceArrowWriter):
                     case_id, source_path, name = json.loads(line)
                     place = place + 1 if (case_id, source_path) == last else 0
                     last = (case_id, source_path)
-                    moves.append((f"{folder}/{name}", f"{root}/{file_stem(*last)}.{place:05d}.html"))
+                    target = f"{file_stem(*last)}.{place:05d}.html"
+                    moves.append((f"{folder}/{name}", f"{root}/{target}"))
+                    listed.append((*last, place, target))
         if len({target for _, target in moves}) < len(moves):
             self.abort(messages)
             raise ValueError("rows of one source do not lie together: sort them by case_id and source_path")
@@ -104,6 +115,12 @@ class ReportWriter(DataSourceArrowWriter):
             store.create_dir(folder, recursive=True)
         with ThreadPoolExecutor(_MOVES_AT_ONCE) as pool:
             list(pool.map(lambda move: store.move(*move), moves))
+        if self.listing is not None:
+            names = [part.split()[0] for part in LISTED.split(", ")]
+            folder, listing = open_uri(self.listing)
+            with folder.open_output_stream(listing) as out:
+                for row in listed:
+                    out.write((json.dumps(dict(zip(names, row))) + "\n").encode())
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -113,14 +130,20 @@ class ReportWriter(DataSourceArrowWriter):
             store.delete_dir(folder)
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str | None, str | None], bytes]]:
-    """Neighbouring rows of one source, as the bytes of their lines."""
+def _copy(folder: str, file: str, out) -> None:
+    store, root = open_uri(folder)
+    with store.open_input_stream(f"{root.rstrip('/')}/{file}") as piece:
+        while some := piece.read(_COPIED_BYTES):
+            out.write(some)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str | None, str | None], list[str | None]]]:
+    """Values of neighbouring rows of one source."""
     cases, sources, values = (batch.column(c).to_pylist() for c in COLUMNS)
     begin = 0
     for i in range(1, len(values) + 1):
         if i == len(values) or cases[i] != cases[begin] or sources[i] != sources[begin]:
-            lines = "".join(f"{v or ''}\n" for v in values[begin:i])
-            yield (cases[begin], sources[begin]), lines.encode()
+            yield (cases[begin], sources[begin]), values[begin:i]
             begin = i
 
 
@@ -132,4 +155,4 @@ class ReportFiles(DataSource):
     def writer(self, schema, overwrite: bool) -> ReportWriter:
         if tuple(schema.names) != COLUMNS:
             raise ValueError(f"report files are written from the columns {', '.join(COLUMNS)}")
-        return ReportWriter(self.options["path"], overwrite)
+        return ReportWriter(self.options["path"], overwrite, self.options.get("listing"), self.options.get("joined"))

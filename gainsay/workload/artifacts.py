@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gainsay.functions import prefetch, registry
@@ -17,6 +20,7 @@ from gainsay.operators.tree import key_paths, with_subkey_counts
 from gainsay.plans import reports, rules
 from gainsay.session import use_checkpoint_dir
 from gainsay.sources import case, discovery
+from gainsay.sources.files import open_uri
 from gainsay.workload import standins
 from gainsay.workload.catalog import (
     EVENTS_SQL,
@@ -96,16 +100,38 @@ def event_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of every log written as an ordered file, and the files read back as they are."""
     logs = standins.events(spark, sf_dir).withColumn("source_path", F.concat(F.lit("logs/"), "computer_name", F.lit(".evtx")))
     folder = f"{use_checkpoint_dir(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
-    reports.write_report_files(reports.event_report(logs), folder)
-    name = F.regexp_extract("_metadata.file_path", r"report=([^/]*)\.(\d{5})\.html$", 1)
-    part = F.regexp_extract("_metadata.file_path", r"report=([^/]*)\.(\d{5})\.html$", 2)
-    return spark.read.text(folder, wholetext=True).select(
-        F.col("case").alias("case_id"), F.replace(name, F.lit("%25"), F.lit("%")).alias("report"),
-        part.cast("int").alias("part"), F.regexp_count("value", F.lit("\n")).cast("bigint").alias("line_count"),
-        F.md5("value").alias("content_md5"),
+    reports.write_report_files(reports.event_report(logs), folder, whole=True)
+    # Files are read as streams: one may be as long as a log.
+    paths = spark.read.format("binaryFile").load(folder).select(F.col("case").cast("string").alias("case_id"), "path")
+    digests = paths.mapInArrow(_file_digests(folder), "case_id string, path string, line_count bigint, content_md5 string")
+    named = r"report=([^/]*)\.(\d{5})\.html$"
+    return digests.select(
+        "case_id", F.regexp_extract("path", named, 1).alias("report"), F.regexp_extract("path", named, 2).cast("int").alias("part"),
+        "line_count", "content_md5",
     )
 
 
+def _file_digests(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = open_uri(folder)
+        for batch in batches:
+            lines, digests = [], []
+            for path in batch.column("path").to_pylist():
+                count, digest = 0, hashlib.md5()
+                with store.open_input_stream("/".join([root, *path.rsplit("/", 2)[1:]])) as file:
+                    while some := file.read(1 << 22):
+                        count += some.count(b"\n")
+                        digest.update(some)
+                lines.append(count)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(lines, pa.int64()), pa.array(digests, pa.string())],
+                names=["case_id", "path", "line_count", "content_md5"],
+            )
+
+    return run
+
+
 @query(f"""
 SELECT count(DISTINCT source_path) AS file_count, count(*) AS record_count FROM ({EVENTS_SQL})
 """)

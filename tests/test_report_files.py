@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from gainsay.plans import reports
 from gainsay.sources.report_files import file_stem
+from gainsay.workload.artifacts import event_report_files
+from gainsay.workload.catalog import ORACLE
+from oracle import compare, connect
 
 SCHEMA = "case_id string, source_path string, section string, place bigint, value string"
 
@@ -53,6 +56,36 @@ def test_a_huge_log_is_split_and_stays_in_order(spark, tmp_path):
     assert "".join(files[name] for name in sorted(files)).split() == [str(n) for n in range(40)]
 
 
+def test_a_huge_log_is_one_file_where_that_is_asked_for(spark, tmp_path):
+    report = spark.range(40).selectExpr(
+        "'c' case_id", "if(id < 3, 'other', 'a log') source_path", "'1-records' section", "(39 - id) << 20 place", "string(39 - id) value")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        reports.write_report_files(report, str(tmp_path / "r"), whole=True)
+    finally:
+        spark.conf.unset(coalesce)
+    lines = lambda numbers: "".join(f"{n}\n" for n in numbers)
+    assert _files(tmp_path / "r") == {
+        "case=c/report=a log.00000.html": lines(range(37)), "case=c/report=other.00000.html": lines(range(37, 40))
+    }
+
+
+def test_event_report_files_of_long_logs_are_those_of_the_sql(spark, tmp_path):
+    spark.range(60).selectExpr(
+        "id * 200000 event_id", "timestamp_seconds(1700000000 + id)::timestamp_ntz ts", "id % 2 user_id", "'click' event_type", "1D value", "'{}' props",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    duck = connect("/root/testdata/sf0.001")
+    duck.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        count, problem = compare(spark, duck, str(tmp_path), event_report_files, ORACLE["event_report_files"])
+    finally:
+        spark.conf.unset(coalesce)
+    assert problem is None and count == 2
+
+
 def test_a_failing_task_leaves_nothing(spark, tmp_path):
     folder = tmp_path / "r"
     report = spark.range(100).selectExpr(
