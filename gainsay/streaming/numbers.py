@@ -5,8 +5,10 @@ gives out what changes: an island that is new (+1) and one that is no more (-1),
 longer or joined it with another. Repeated numbers change nothing, late ones fill their gap, in any
 order of arrival. What holds now is the sum of the changes, and the gaps lie between the islands.
 
-A state is bounded by its range of numbers, not by the log, and a log of any size has as many states
-as ranges. The operator needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+Sources are dealt to groups by their hash, and a state holds one range of the numbers of one group, so a call has
+many sources to work on at once. A log of any size has as many states as ranges; with very many sources whose
+numbers lie in one range, raise ``groups``. The operator needs the RocksDB state store
+(``spark.sql.streaming.stateStore.providerClass``).
 """
 
 from __future__ import annotations
@@ -17,14 +19,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from gainsay.operators.gaps import between_islands
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RANGE_BITS = 16
+GROUPS = 256
+# Sources lie one behind the other on a line, each with room for its range and as much between it and the next.
+_LINE_BITS = RANGE_BITS + 1
+_IN_RANGE = (1 << RANGE_BITS) - 1
 
-_STATE = StructType([StructField("first", ArrayType(LongType())), StructField("last", ArrayType(LongType()))])
+_STATE = StructType([
+    StructField("sources", ArrayType(StringType())), StructField("first", BinaryType()), StructField("last", BinaryType())
+])
+_CHANGES = StructType([StructField("_source", StringType()), *[StructField(c, LongType()) for c in ("first", "last", "change")]])
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def merged(first: np.ndarray, last: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,49 +47,63 @@ def merged(first: np.ndarray, last: np.ndarray, numbers: np.ndarray) -> tuple[np
 
 
 class Islands(StatefulProcessor):
-    def __init__(self, keys: Sequence[str]):
-        self._keys = list(keys)
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("islands", _STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self._state.get() if self._state.exists() else ([], [])
-        before = [np.array(side, dtype=np.int64) for side in held]
+        sources, before = [], (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        if self._state.exists():
+            held = self._state.get()
+            sources, before = list(held[0]), tuple(np.frombuffer(bytes(side), dtype=np.int64) for side in held[1:])
+        places = {source: place for place, source in enumerate(sources)}
         after = before
         for batch in rows:
             # By place: names with a leading underscore do not arrive as they are.
-            numbers = batch.iloc[:, len(self._keys)].to_numpy(dtype=np.int64)
-            after = merged(*after, np.unique(numbers))
-        self._state.update(([int(n) for n in after[0]], [int(n) for n in after[1]]))
-        old, new = (set(zip(first.tolist(), last.tolist())) for first, last in (before, after))
-        changes = [(*pair, -1) for pair in sorted(old - new)] + [(*pair, 1) for pair in sorted(new - old)]
-        if changes:
-            found = pd.DataFrame(changes, columns=["first", "last", "change"])
-            # The last part of the key is the range, which the numbers themselves tell.
-            for name, value in reversed(list(zip(self._keys, key))):
-                found.insert(0, name, [value] * len(found))
-            yield found
+            codes, named = pd.factorize(batch.iloc[:, 0])
+            lines = np.array([places.setdefault(source, len(places)) for source in named], dtype=np.int64) << _LINE_BITS
+            numbers = batch.iloc[:, 1].to_numpy(dtype=np.int64)
+            after = merged(*after, np.unique(lines[codes] + (numbers & _IN_RANGE)))
+        sources = np.array(list(places), dtype=object)
+        self._state.update((sources.tolist(), after[0].tobytes(), after[1].tobytes()))
+        # Both ends of an island in one number; the end lies in the range of the beginning.
+        old, new = (first << RANGE_BITS | last & _IN_RANGE for first, last in (before, after))
+        lost, won = np.setdiff1d(old, new, assume_unique=True), np.setdiff1d(new, old, assume_unique=True)
+        if len(lost) or len(won):
+            pairs = np.concatenate([lost, won])
+            start = np.int64(key[1]) << RANGE_BITS
+            yield pd.DataFrame({
+                "_source": sources[pairs >> (RANGE_BITS + _LINE_BITS)],
+                "first": start + (pairs >> RANGE_BITS & _IN_RANGE),
+                "last": start + (pairs & _IN_RANGE),
+                "change": np.repeat(np.array([-1, 1], dtype=np.int64), [len(lost), len(won)]),
+            })
 
     def close(self) -> None:
         pass
 
 
-def island_changes(records: DataFrame, *, by: Sequence[str], number: str = "record_number") -> DataFrame:
+def island_changes(
+    records: DataFrame, *, by: Sequence[str], number: str = "record_number", groups: int = GROUPS
+) -> DataFrame:
     """Changes of the islands of a stream of records: ``by``, ``first``, ``last`` and ``change`` (1 or -1).
 
-    Null numbers are left out. Meant for an append sink; ``current_gaps`` reads that.
+    Null numbers are left out. Sources are dealt to ``groups``, which must stay the same over restarts. Meant for an
+    append sink; ``current_gaps`` reads that.
     """
     by = list(by)
     value = F.col(number).cast("bigint")
-    numbers = records.filter(value.isNotNull()).select(*by, value.alias("_number"))
-    out = StructType([
-        *[numbers.schema[name] for name in by], *[StructField(c, LongType()) for c in ("first", "last", "change")]
-    ])
-    return (
-        numbers.withColumn("_range", F.shiftright("_number", RANGE_BITS))
-        .groupBy(*by, "_range")
-        .transformWithStateInPandas(Islands(by), out, "Append", "None")
+    key = StructType([records.schema[name] for name in by])
+    source = F.struct(*by)
+    numbers = records.filter(value.isNotNull()).select(
+        F.to_json(source, _EXACT).alias("_source"),
+        value.alias("_number"),
+        F.pmod(F.xxhash64(*by), F.lit(groups)).alias("_group"),
+        F.shiftright(value, RANGE_BITS).alias("_range"),
+    )
+    changes = numbers.groupBy("_group", "_range").transformWithStateInPandas(Islands(), _CHANGES, "Append", "None")
+    own = F.from_json("_source", key, _EXACT).alias("_by")
+    return changes.select(own, "first", "last", "change").select(
+        *[F.col("_by")[name].alias(name) for name in by], "first", "last", "change"
     )
 
 

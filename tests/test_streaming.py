@@ -8,6 +8,7 @@ import pytest
 
 from gainsay.operators.gaps import between_islands, record_gaps
 from gainsay.operators.presence import unmatched_in_window
+from gainsay.streaming import numbers
 from gainsay.streaming.numbers import current_gaps, island_changes, merged
 from gainsay.streaming.presence import live_unmatched
 from gainsay.workload.live import replayed
@@ -58,6 +59,32 @@ def test_replayed_numbers_give_the_gaps_of_the_batch(spark):
     )
 
 
+def test_a_call_has_many_sources(spark):
+    """Many small logs are few states; names and numbers come back as they are, nulls too."""
+    names = [(None if i == 0 else f'é"{i}\\', None if i == 1 else 2**62 + i) for i in range(3000)]
+    rows = [(*name, n) for i, name in enumerate(names) for n in (i - 5, i - 4, i + 3, 2**40 + i, -(2**40) - i)]
+    schema = "log string, disk long, n long"
+    arrivals = [{"records": spark.createDataFrame(rows[at::2], schema)} for at in range(2)]
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(numbers.Islands):
+        def handleInputRows(self, *arguments):
+            calls.add(1)
+            return super().handleInputRows(*arguments)
+
+    plain, numbers.Islands = numbers.Islands, Counted
+    try:
+        changes = replayed(spark, arrivals, lambda inputs: island_changes(inputs["records"], by=["log", "disk"], number="n", groups=4))
+    finally:
+        numbers.Islands = plain
+    # Two arrivals, four groups, four ranges: -1, 0 and one on either side far away.
+    assert 0 < calls.value <= 2 * 4 * 5
+    found = current_gaps(changes, by=["log", "disk"])
+    expected = record_gaps(spark.createDataFrame(rows, schema), by=["log", "disk"], number="n")
+    columns = ["log", "disk", "previous", "current", "missing"]
+    assert sorted(map(tuple, found.select(columns).collect()), key=repr) == sorted(map(tuple, expected.select(columns).collect()), key=repr)
+
+
 @pytest.mark.parametrize("minutes", [0, 5])
 def test_replayed_runs_give_those_of_the_batch(spark, minutes):
     rng = random.Random(minutes)
