@@ -1,10 +1,12 @@
 """Runs without an event that names them, while both are still being written.
 
-Events become mentions of the names on a watch list, as in the batch rule. Runs and mentions meet in a
-stream-stream left outer join on case, name and time bucket, with the window as a range condition. Watermarks on
-both sides let go of everything that no later row can meet, so the state holds a window's worth of rows
-and no more; a run without a mention comes out once the watermark has passed its window. Only rows that
-pass the plan's filters (a listed name, a key, a text) move the watermark.
+Events become mentions of the names on a watch list, as in the batch rule, and mentions shrink to the first and
+last time per case, name and time bucket as wide as the window: these two decide every run exactly, and a burst of
+any size is one row. A bucket comes out when the watermark has passed its end and meets the runs in a stream-stream
+left outer join on case, name and bucket, at most three rows a run. Watermarks on both sides let go of
+everything that no later row can meet, so the state holds a few windows' worth of buckets and runs and no more; a run
+without a mention comes out once the watermark has passed the buckets around it. Only rows that pass the plan's
+filters (a listed name, a key, a text) move the watermark.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ def live_unmatched(
     out. Rows may come ``late`` by so much and are dropped when later. Rows without a time or key are left out.
     """
     by = list(by)
-    reach, width = micros(window), max(micros(window), 1)
+    width = max(micros(window), 1)
     listed = names.select(F.lower("name").alias("_name")).filter("_name != ''").distinct()
     left = (
         runs.filter(F.col("time").isNotNull())
@@ -43,15 +45,23 @@ def live_unmatched(
     )
     timed = events.filter(F.col("time").isNotNull()).select(*by, F.col("text").alias("_text"), F.col("time").alias("_at"))
     found = mentions(timed.withWatermark("_at", f"{micros(late)} microseconds"), names, keep=[*by, "_at"], text="_text")
-    bucket = floor_div(F.unix_micros("_at"), width)
-    right = found.withColumn("_bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    length = f"{width} microseconds"
+    spans = (
+        found.groupBy(F.window("_at", length).alias("_window"), *by, "name")
+        .agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+        .withColumns({"_closed": F.window_time("_window"), "_own": floor_div(F.unix_micros("_window.start"), width)})
+    )
+    right = spans.withColumn("_bucket", F.explode(F.array(F.col("_own") - 1, F.col("_own"), F.col("_own") + 1)))
     same = F.col("l._name") == F.col("r.name")
     for column in (*by, "_bucket"):
         same = same & (F.col(f"l.{column}") == F.col(f"r.{column}"))
     span = F.lit(window)
-    near = (F.col("r._at") >= F.col("l.time") - span) & (F.col("r._at") <= F.col("l.time") + span)
+    near = (F.col("r._last") >= F.col("l.time") - span) & (F.col("r._first") <= F.col("l.time") + span)
+    # True of the bucket of a run and those beside it; tells the watermark how long rows are of use.
+    one, two = F.lit(timedelta(microseconds=width)), F.lit(timedelta(microseconds=2 * width))
+    useful = (F.col("r._closed") >= F.col("l.time") - one) & (F.col("r._closed") <= F.col("l.time") + two)
     return (
-        left.alias("l").join(right.alias("r"), same & near, "left_outer")
-        .filter(F.col("r._at").isNull())
+        left.alias("l").join(right.alias("r"), same & near & useful, "left_outer")
+        .filter(F.col("r._first").isNull())
         .select(*[F.col(f"l.{c}") for c in runs.columns])
     )

@@ -105,3 +105,20 @@ def test_replayed_runs_give_those_of_the_batch(spark, minutes):
     expected = unmatched_in_window(runs_of(runs), events_of(events), window=window)
     assert sorted(r.id for r in found.collect()) == sorted(r.id for r in expected.collect())
     assert found.columns == ["case_id", "name", "time", "id"]
+
+
+def test_a_burst_is_held_as_one_row_per_bucket(spark, tmp_path):
+    events = [("x", "started a.exe", START + timedelta(milliseconds=i)) for i in range(500)]
+    spark.createDataFrame(events, "case_id string, text string, time timestamp").write.parquet(str(tmp_path / "events"))
+    spark.createDataFrame([("x", "A.EXE", START, 1)], "case_id string, name string, time timestamp, id long").write.parquet(str(tmp_path / "runs"))
+    read = lambda name: spark.readStream.schema(spark.read.parquet(str(tmp_path / name)).schema).parquet(str(tmp_path / name))
+    found = live_unmatched(
+        read("runs"), read("events"), spark.createDataFrame([("A.exe",)], "name string"),
+        window=timedelta(minutes=5), late=timedelta(minutes=1),
+    )
+    running = (
+        found.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    assert max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in running.recentProgress) < 10
