@@ -1,6 +1,7 @@
 """Places in an order over all rows, without a window over all rows.
 
-Rows are dealt to parts by ranges of their order and written once, sorted, to the checkpoint folder. What a
+Rows are dealt to parts by ranges of their order and written once, sorted, to the checkpoint folder; the number of parts
+grows with the rows, which are counted first, so a part has a bounded size. What a
 row needs from the rows before it comes from a window over its own part and from the part's border: one
 row per part, carried from part to part. Rows that are equal in the whole order are spread over parts too,
 so neither a hot key nor a burst at one time makes a part large.
@@ -18,6 +19,7 @@ from gainsay.session import checkpointed
 
 PART, PLACE = "_part", "_place"
 _PLACE_BITS = 33
+PART_ROWS = 1 << 18
 
 
 def _in_part() -> WindowSpec:
@@ -33,6 +35,23 @@ def _earlier_parts() -> WindowSpec:
     return _over_parts().rowsBetween(Window.unboundedPreceding, -1)
 
 
+def parts_of(rows: DataFrame) -> int:
+    """How many parts ``rows`` should be dealt to: one for ``PART_ROWS``. Counts them, without their columns."""
+    return -(-rows.agg(F.count(F.lit(1))).first()[0] // PART_ROWS)
+
+
+def by_range(rows: DataFrame, keys: Sequence[Column | str], parts: int) -> DataFrame:
+    """``rows`` dealt by ranges of ``keys`` to as many partitions, or to the session's where that is more."""
+    if parts <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return rows.repartitionByRange(*keys)
+    return rows.repartitionByRange(parts, *keys)
+
+
+def sorted_in_parts(rows: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
+    """Like ``orderBy``, but no task sorts much more than ``PART_ROWS``. ``rows`` are read three times, so write them before."""
+    return by_range(rows, keys, parts_of(rows)).sortWithinPartitions(*keys)
+
+
 def in_parts(rows: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
     """``rows`` in the order of ``keys``, with the number of the part and the place in it, from 0.
 
@@ -40,7 +59,7 @@ def in_parts(rows: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
     """
     tie = F.monotonically_increasing_id()
     spread = rows.withColumn("_tie", tie)
-    ordered = spread.repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    ordered = by_range(spread, [*keys, "_tie"], parts_of(rows)).sortWithinPartitions(*keys, "_tie").drop("_tie")
     numbered = ordered.withColumn("_id", F.monotonically_increasing_id()).withColumns({
         PART: F.shiftright("_id", _PLACE_BITS).cast("int"),
         PLACE: F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)),
@@ -48,6 +67,14 @@ def in_parts(rows: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
     return checkpointed(numbered.drop("_id"))
 
 
+def by_part(ordered: DataFrame) -> DataFrame:
+    """What ``in_parts`` gave, for windows over parts: few parts a task however many there are."""
+    parts = ordered.agg(F.max(PART)).first()[0]
+    if parts is None or parts < int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return ordered
+    return ordered.repartitionById(parts + 1, PART)
+
+
 def numbered(rows: DataFrame, keys: Sequence[Column | str], name: str = "position") -> DataFrame:
     """``rows`` with their position in the order of ``keys``, from 1. Rows equal in all keys come in any order."""
     ordered = in_parts(rows, keys)
@@ -77,7 +104,7 @@ def in_sessions(
     neither a position nor a session and is left out.
     """
     entry = F.struct(F.struct(*by).alias("key"), F.unix_micros(time).alias("at"))
-    ordered = in_parts(rows.filter(F.col(time).isNotNull()), [*by, time, *then]).withColumn("_entry", entry)
+    ordered = by_part(in_parts(rows.filter(F.col(time).isNotNull()), [*by, time, *then])).withColumn("_entry", entry)
 
     def starts(before: Column) -> Column:
         other = ~before["key"].eqNullSafe(F.col("_entry.key"))
@@ -147,11 +174,11 @@ def nearest(
     )
     keys = [f"_by{i}" for i in range(len(by))]
     both = rights.unionByName(lefts, allowMissingColumns=True)
-    ordered = in_parts(both, [*keys, "_at", "_side"]).withColumn(
+    placed = in_parts(both, [*keys, "_at", "_side"]).withColumn(
         "_entry", F.when(F.col("_side") == 0, F.struct(F.struct(*keys).alias("key"), F.col("_at").alias("at"), F.col("_take").alias("take")))
     )
     place = F.when(F.col("_side") == 0, F.col(PLACE))
-    borders = ordered.groupBy(PART).agg(F.min_by("_entry", place).alias("_first"), F.max_by("_entry", place).alias("_last"))
+    borders = placed.groupBy(PART).agg(F.min_by("_entry", place).alias("_first"), F.max_by("_entry", place).alias("_last"))
     carried = borders.select(
         PART,
         F.last("_last", ignorenulls=True).over(_earlier_parts()).alias("_carried_before"),
@@ -161,7 +188,7 @@ def nearest(
     # Backwards: a frame up to the last row would be gone through again for every row.
     from_here = Window.partitionBy(PART).orderBy(F.desc(PLACE)).rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        ordered.withColumns({
+        by_part(placed).withColumns({
             "_before": F.last("_entry", ignorenulls=True).over(to_here),
             "_after": F.last("_entry", ignorenulls=True).over(from_here),
         })

@@ -145,3 +145,21 @@ def test_timeline_and_nearest_events_of_cases(spark):
     assert near["e"] is None and (near["c"].event_number, near["c"].micros) == (1, -8_000_000)
     empty = CaseTables.build(spark)
     assert timeline(empty).collect() == [] and nearest_events(empty).collect() == []
+
+
+def test_parts_are_as_many_as_the_rows_need(spark, monkeypatch):
+    """With small parts: more parts than the session's partitions, places and windows as before."""
+    from gainsay.operators import order
+
+    monkeypatch.setattr(order, "PART_ROWS", 50)
+    rows = spark.range(2000).selectExpr("'k' case_id", "timestamp_seconds(id * 7 % 2000) at", "id")
+    assert order.in_parts(rows, ["at"]).agg(F.max("_part")).first()[0] > 30
+    found = order.in_sessions(rows, by=["case_id"], time="at", idle=timedelta(seconds=0)).collect()
+    assert sorted((r.id * 7 % 2000 + 1, r.id * 7 % 2000 + 1) for r in found) == sorted((r.position, r.session) for r in found)
+    both = order.nearest(rows, rows.filter("id % 100 = 0"), by=["case_id"], left_time="at", right_time="at", take=["id"], after=False)
+    for r in both.collect():
+        at = r.id * 7 % 2000
+        assert r.nearest.id * 7 % 2000 == at // 100 * 100
+    plan = order.sorted_in_parts(rows, ["at"])
+    assert plan.rdd.getNumPartitions() >= 30
+    assert [r.at for r in plan.collect()] == sorted(r.at for r in rows.collect())
