@@ -69,10 +69,10 @@ def in_parts(rows: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
 
 def by_part(ordered: DataFrame) -> DataFrame:
     """What ``in_parts`` gave, for windows over parts: few parts a task however many there are."""
-    parts = ordered.agg(F.max(PART)).first()[0]
-    if parts is None or parts < int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+    parts = ordered.rdd.getNumPartitions()
+    if parts <= int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         return ordered
-    return ordered.repartitionById(parts + 1, PART)
+    return ordered.repartitionById(parts, PART)
 
 
 def numbered(rows: DataFrame, keys: Sequence[Column | str], name: str = "position") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gainsay.operators.order import in_sessions, nearest
+from gainsay.session import use_checkpoint_dir
 from gainsay.sources.case import CaseTables
 
 IDLE = timedelta(minutes=30)
@@ -27,10 +29,13 @@ def entries(tables: CaseTables) -> DataFrame:
         "case_id", "source_path", "executable_name", F.posexplode("last_run_times").alias("place", "at")
     )
     parts = [events, _entries(runs, F.col("at"), F.lit("run"), F.col("place"), F.col("executable_name"))]
-    for prefix, column in (("file ", "standard_information"), ("name ", "file_name_information")):
-        times = F.array(*[F.struct(F.lit(prefix + t).alias("kind"), F.col(column)[t].alias("at")) for t in FILE_TIMES])
-        files = tables.mft.select("case_id", "source_path", "record_number", "filename", F.inline(times))
-        parts.append(_entries(files, F.col("at"), F.col("kind"), F.col("record_number"), F.col("filename")))
+    # All times of a record in one pass: the records may be dear to make.
+    times = F.array(*[
+        F.struct(F.lit(prefix + t).alias("kind"), F.col(column)[t].alias("at"))
+        for prefix, column in (("file ", "standard_information"), ("name ", "file_name_information")) for t in FILE_TIMES
+    ])
+    files = tables.mft.select("case_id", "source_path", "record_number", "filename", F.inline(times))
+    parts.append(_entries(files, F.col("at"), F.col("kind"), F.col("record_number"), F.col("filename")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -45,8 +50,13 @@ def timeline(tables: CaseTables, idle: timedelta = IDLE) -> DataFrame:
 
     A session is a run of entries of one case without a pause longer than ``idle``. Entries of one time come
     by kind, source, number and label. A case of any size, and any burst at one time, is spread over many tasks.
+    Counting and dealing read the entries three times, so they are written to the checkpoint folder first.
     """
-    return in_sessions(entries(tables), by=["case_id"], time="at", idle=idle, then=_THEN)
+    spark = tables.events.sparkSession
+    folder = f"{use_checkpoint_dir(spark).rstrip('/')}/entries-{uuid.uuid4().hex}"
+    found = entries(tables)
+    found.write.parquet(folder)
+    return in_sessions(spark.read.schema(found.schema).parquet(folder), by=["case_id"], time="at", idle=idle, then=_THEN)
 
 
 def nearest_events(tables: CaseTables, time: str = "creation_time", within: timedelta | None = None) -> DataFrame:
