@@ -1,10 +1,10 @@
 """Prefix-target examples from conversations.
 
 Every assistant turn is an example of its own: all turns before it are its context and only its text
-is under the loss. The formatted text of a conversation is kept once, a segment per turn with its
-place in characters. An example names a prefix of it: how far its context reaches, where its reply
-starts and ends. So the result grows with the turns and not with their square, however long a
-conversation is; ``example_texts`` writes out the examples that a reader wants.
+is under the loss. The formatted text of a conversation is a segment per turn with its place in characters;
+``examples`` says how far the context of each target reaches and where its reply starts and ends, and
+``written`` writes every example out, context and all. A text is written in pieces of bounded length, made
+by many tasks however long a conversation is; what is written grows with the square of its length.
 
     <|im_start|>role\\n text <|im_end|>\\n        (no blanks around the text)
 
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
 CHUNK_TURNS = 1024
+PIECE_CHARS = 1 << 16
 
 _SEGMENT = r"(?s)^<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n$"
 
@@ -127,20 +128,70 @@ def _masked() -> Column:
     )
 
 
-def example_texts(wanted: DataFrame, formatted: DataFrame) -> DataFrame:
-    """``wanted`` examples with their whole ``text``: the segments up to the target, in order.
+def written(wanted: DataFrame, formatted: DataFrame, *, piece_chars: int = PIECE_CHARS) -> DataFrame:
+    """``wanted`` examples written out whole: the rows of ``wanted``, once for each piece of their text.
 
-    Each prefix is written out, so choose the examples first where conversations are very long.
+    ``piece`` orders the pieces of an example, ``piece_start`` is the place of ``piece_text`` in it; the
+    ``last`` one holds the target and so all of the loss. Pieces end with a segment, have about
+    ``piece_chars`` characters, and are longer only by a segment that is longer. Targets meet the pieces
+    before them by conversation, piece and the piece they are in themselves: so no key gives more than the
+    targets of one piece times the text of one.
     """
-    parts = formatted.select(
-        F.col("conv_id").alias("_conv"), F.col("position").alias("_position"), "segment"
+    place = lambda c: F.floor(F.col(c) / piece_chars).cast("bigint")
+    placed = formatted.select(F.col("conv_id").alias("_conv"), place("start").alias("_piece"), "position", "start", "segment")
+    ends = placed.groupBy(F.col("_conv").alias("_of")).agg(F.max("_piece").alias("_end"))
+    pieces = (
+        placed.groupBy("_conv", "_piece")
+        .agg(F.array_sort(F.collect_list(F.struct("position", "segment"))).alias("_segments"), F.min("start").alias("_start"))
+        .select("_conv", "_piece", "_start", F.array_join("_segments.segment", "").alias("_text"))
+        .join(ends, F.col("_conv").eqNullSafe(F.col("_of")))
+        .select("_conv", "_piece", "_start", "_text", F.explode(F.sequence("_piece", "_end")).alias("_reader"))
+    )
+    targets = wanted.withColumn("_own", place("context_chars")).withColumn(
+        "piece", F.explode(F.sequence(F.lit(0).cast("bigint"), "_own"))
+    )
+    met = targets.join(
+        pieces,
+        F.col("conv_id").eqNullSafe(F.col("_conv"))
+        & (F.col("piece") == F.col("_piece"))
+        & (F.col("_own") == F.col("_reader")),
     )
-    joined = wanted.join(
-        parts,
-        F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_position") <= F.col("target")),
+    last = F.col("piece") == F.col("_own")
+    up_to = F.substring(F.col("_text"), F.lit(1), (F.col("example_chars") - F.col("_start")).cast("int"))
+    return met.select(
+        *wanted.columns,
+        "piece",
+        F.col("_start").alias("piece_start"),
+        F.when(last, up_to).otherwise(F.col("_text")).alias("piece_text"),
+        last.alias("last"),
+    )
+
+
+def trained(pieces: DataFrame) -> DataFrame:
+    """What a trainer reads in ``written`` pieces: characters before the target, all characters, and the ``reply``.
+
+    The target begins where the text says so, with the last start mark; the reply is what the mask covers,
+    null for pieces that are context only.
+    """
+    text = F.col("piece_text")
+    target = len(START) + F.length(F.substring_index(text, START, -1))
+    inside = F.col("loss_start") - F.col("piece_start") + 1
+    covered = F.substring(text, inside.cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    return pieces.select(
+        "conv_id",
+        "target",
+        "last",
+        F.when(F.col("last"), F.length(text) - target).otherwise(F.length(text)).alias("context_chars"),
+        F.length(text).alias("chars"),
+        F.when(F.col("last"), unescape(covered)).alias("reply"),
     )
-    in_order = F.array_sort(F.collect_list(F.struct("_position", "segment")))
-    return joined.groupBy(*wanted.columns).agg(F.array_join(in_order["segment"], "").alias("text"))
+
+
+def example_texts(wanted: DataFrame, formatted: DataFrame) -> DataFrame:
+    """``wanted`` examples with their whole ``text`` in one row; ``written`` has it in pieces."""
+    in_order = F.array_sort(F.collect_list(F.struct("piece", "piece_text")))
+    joined = written(wanted, formatted)
+    return joined.groupBy(*wanted.columns).agg(F.array_join(in_order["piece_text"], "").alias("text"))
 
 
 def parsed(formatted: DataFrame) -> DataFrame:

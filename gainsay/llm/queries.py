@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gainsay.llm import (
     audit, bpe, chat, containment, packing, pii, probminhash, quality, records, secrets, spans, toxicity, vafile, whitening,
 )
-from gainsay.llm.common import read, shared_folder
+from gainsay.llm.common import read, shared_folder, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,17 +102,19 @@ def op8_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(CONTROL).alias("text"),
     )
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    formatted = chat.segments(turns.unionByName(control))
+    formatted = staged(chat.segments(turns.unionByName(control)), "chat")
     whole = chat.parsed(formatted).groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_turns"),
         F.array_sort(F.collect_list(F.struct("position", "role", "text"))).alias("turns"),
         F.sum("chars").cast("bigint").alias("formatted_chars"),
     )
-    learned = chat.examples(formatted).groupBy(F.col("conv_id").alias("of")).agg(
-        F.count(F.lit(1)).alias("n_examples"),
+    # All from the texts of the examples as written out.
+    pieces = chat.written(chat.examples(formatted).drop("reply"), formatted)
+    learned = chat.trained(pieces).groupBy(F.col("conv_id").alias("of")).agg(
+        F.count_if("last").alias("n_examples"),
         F.sum("context_chars").alias("context_chars"),
-        F.sum("example_chars").alias("example_chars"),
-        F.array_sort(F.collect_list(F.struct("target", "reply"))).alias("replies"),
+        F.sum("chars").alias("example_chars"),
+        F.array_sort(F.collect_list(F.when(F.col("last"), F.struct("target", "reply")))).alias("replies"),
     )
     line = F.lit("\n")
     said = F.transform("turns", lambda t: F.concat(t["role"], line, t["text"], line))

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from gainsay.llm import chat
 
 TURNS = "conv_id bigint, turn bigint, role string, text string, start int, segment string"
@@ -63,3 +65,38 @@ def test_every_assistant_turn_is_an_example_with_all_turns_before_it(spark):
 def test_empty_table(spark):
     formatted = chat.segments(spark.createDataFrame([], TURNS))
     assert formatted.collect() == [] and chat.examples(formatted).collect() == []
+
+
+def test_every_example_is_written_out_in_bounded_pieces(spark):
+    rows = [r for r in _rows() if r[0] != 100] + [(100, t, "assistant" if t % 3 else "user", f"turn {t} <|im_start|>") for t in range(200)]
+    formatted = chat.segments(spark.createDataFrame([(*r, 9, "x") for r in rows], TURNS))
+    pieces = chat.written(chat.examples(formatted), formatted, piece_chars=500).collect()
+    whole = {}
+    for r in formatted.orderBy("position").collect():
+        whole.setdefault(r.conv_id, []).append(r.segment)
+    longest = max(len(s) for own in whole.values() for s in own)
+    texts = {}
+    for p in sorted(pieces, key=lambda p: p.piece):
+        text = texts.get((p.conv_id, p.target), "")
+        assert p.piece_start == len(text) and 0 < len(p.piece_text) <= 500 + longest
+        texts[p.conv_id, p.target] = text + p.piece_text
+    assert len(texts) == sum(r[2] == "assistant" for r in rows) == sum(p.last for p in pieces)
+    assert all(text == "".join(whole[conv][: target + 1]) for (conv, target), text in texts.items())
+    assert sum(p.conv_id == 100 for p in pieces) > 1000
+
+
+def test_the_query_reads_written_examples(spark, monkeypatch, tmp_path):
+    from gainsay.llm import queries
+
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b<|"), (1, 2, "user", "c"), (1, 3, "assistant", "d")]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+
+    def run():
+        return next(r for r in queries.op8_prefix_target_chat(spark, str(tmp_path)).collect() if r.conv_id == 1)
+
+    right, written = run(), chat.written
+    assert (right.n_examples, right.loss_chars) == (2, 4)
+    monkeypatch.setattr(chat, "written", lambda *a: written(*a).withColumn("piece_text", F.replace("piece_text", F.lit("\na<|"), F.lit("\nax<|"))))
+    longer = run()
+    assert (longer.context_chars, longer.example_chars) == (right.context_chars + 2, right.example_chars + 2)
+    assert longer.loss_sha256 != right.loss_sha256
