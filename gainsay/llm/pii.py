@@ -5,10 +5,11 @@ account or phone number. A candidate that a fixed kind confirms is an example of
 same match written in a form that only the generators know (spelled out, national, grouped, the kin of
 another standard), in the words around it. Candidates with valid check digits or an unmistakable form are
 examples too. Other candidates are counter-examples, but for those after a cue such as "call": they may
-well be personal data, and nobody has said so. On a bounded sample trees learn from the form of the
-candidate and the words around it. A threshold per kind is calibrated on the other half of the sample,
-without the confirmed matches themselves (nothing is to be chosen there), for the precision that is asked for. Matches of the fixed kinds are always reported; of the wider candidates
-those above their threshold that touch no such match.
+well be personal data, and nobody has said so. On half of the candidates of all documents trees learn from the
+form of the candidate and the words around it. A threshold per kind is calibrated on the other half, without the
+confirmed matches themselves (nothing is to be chosen there), for the precision that is asked for. Nothing is
+sampled. Matches of the fixed kinds are always reported; of the wider candidates those above their threshold
+that touch no such match.
 """
 
 from __future__ import annotations
@@ -24,13 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gainsay.llm.boosting import Boosted, boost, threshold
-from gainsay.llm.common import begin, slices, texts, thinned
+from gainsay.llm.boosting import QUANTILES, Boosted, boost_patterns, held_chances, patterns, threshold
+from gainsay.llm.common import begin, slices, staged, texts
 from gainsay.llm.spans import SPANS, Covered
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000
-SAMPLE_DOCS = 400_000
 PRECISION = 0.95
 LEAST_CHANCE = 0.5
 
@@ -217,10 +216,8 @@ class Chooser:
         return chosen
 
 
-def learn(
-    docs: DataFrame, *, sample: int = SAMPLE, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION
-) -> Chooser:
-    """Fit on at most ``sample`` candidates of about ``sample_docs`` documents, chosen by hashes."""
+def learn(docs: DataFrame, *, precision: float = PRECISION) -> Chooser:
+    """Fit on the candidates of all documents: trees on one half of these, thresholds on the other, by a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("pii")
@@ -237,25 +234,34 @@ def learn(
                 )
 
     schema = "doc_id bigint, start bigint, kind string, label int, free int, features array<double>"
-    total = docs.select(F.count(F.lit(1))).first()[0]
-    some = thinned(docs, ["doc_id", "text"], sample_docs, total)
-    place = F.xxhash64("doc_id", "start", "kind")
-    rows = (
-        some.mapInArrow(run, schema).withColumn("place", place)
-        .orderBy("place", "doc_id", "start", "kind", "label", "free", "features").limit(sample).toPandas()
+    half = F.xxhash64("doc_id", "start", "kind") % 2 == 0
+    rows = staged(
+        docs.select("doc_id", "text").mapInArrow(run, schema).select(
+            "kind", "label", half.alias("train"), (~half & (F.col("free") == 1)).alias("held"), "features"
+        ),
+        "pii",
     )
-    if not len(rows) or rows["label"].nunique() < 2:
+    trained = F.when(F.col("train"), F.col("label"))
+    # Exact: all features are small whole numbers, so a quantile keeps at most 10^6 counts.
+    numbers = rows.agg(
+        F.count_distinct("label").alias("classes"), F.count(trained).alias("total"), F.sum(trained).alias("positive"),
+        *[
+            F.percentile(F.when(F.col("train"), F.get("features", F.lit(j))), QUANTILES.tolist()).alias(f"at_{j}")
+            for j in range(FEATURES)
+        ],
+    ).first()
+    if numbers["classes"] < 2 or not numbers["total"]:
         return Chooser(None, {})
-    table, labels = np.array(rows["features"].tolist(), dtype=float), rows["label"].to_numpy(dtype=float)
-    half = rows["place"].to_numpy() % 2 == 0
-    trees = boost(table[half], labels[half])
-    held = ~half & (rows["free"].to_numpy() == 1)
-    chance = trees.chance(table[held])
-    kinds = rows["kind"].to_numpy()[held]
-    cuts = {
-        kind: threshold(chance[kinds == kind], labels[held][kinds == kind], precision, LEAST_CHANCE)
-        for kind in KINDS
-    }
+    edges = [np.unique(numbers[f"at_{j}"]) for j in range(FEATURES)]
+    counted = staged(patterns(rows, edges), "pii-patterns")
+    trees = boost_patterns(counted, edges, numbers["total"], numbers["positive"])
+    held = held_chances(counted, trees).toPandas()
+    cuts = {}
+    for kind in KINDS:
+        own = held[held["kind"] == kind]
+        chance, count = own["chance"].to_numpy(dtype=float), own[["held_0", "held_1"]].to_numpy(dtype=np.int64)
+        labels, weights = np.repeat([0, 1], len(own)), count.T.reshape(-1)
+        cuts[kind] = threshold(np.tile(chance, 2), labels, precision, LEAST_CHANCE, weights)
     return Chooser(trees, cuts)
 
 

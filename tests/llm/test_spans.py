@@ -253,3 +253,36 @@ def test_boosted_trees_learn_and_thresholds_hold():
     assert labels[2000:][chance >= cut].mean() >= 0.98
     assert boosting.threshold(chance, np.zeros(1000), 0.98, 0.5) > 1
     assert boosting.threshold(np.zeros(0), np.zeros(0), 0.98, 0.5) > 1
+
+
+def test_trees_over_a_table_are_those_in_memory(spark):
+    rng = np.random.default_rng(3)
+    table = rng.integers(0, 40, size=(2000, 4)).astype(float)
+    labels = ((table[:, 0] > 20) & (table[:, 2] < 30)).astype(int)
+    rows = [("email", int(y), bool(i < 1200), bool(i >= 1200), x.tolist()) for i, (x, y) in enumerate(zip(table, labels))]
+    df = spark.createDataFrame(rows, "kind string, label int, train boolean, held boolean, features array<double>").repartition(5)
+    here = boosting.boost(table[:1200], labels[:1200].astype(float), rounds=6)
+    counted = boosting.patterns(df, here.edges).cache()
+    there = boosting.boost_patterns(counted, here.edges, 1200, int(labels[:1200].sum()), rounds=6)
+    for a, b in zip(here.trees, there.trees):
+        assert all(np.allclose(x, y, atol=1e-5) for x, y in zip(a, b))
+    held = Counter()
+    for r in boosting.held_chances(counted, there).collect():
+        held.update({(r.chance, 0): r.held_0, (r.chance, 1): r.held_1})
+    assert +held == Counter(zip(there.chance(table[1200:]).tolist(), labels[1200:].tolist()))
+    counted.unpersist()
+
+
+def test_all_candidates_are_learned_from(spark, documents, monkeypatch):
+    """Rows of one document more often than any sample had room for."""
+    text = " ".join(f"see {a}.{b}.{c}.{d} and 10.{a}.{b}.{c}" for a, b, c, d in [(i % 250, i % 7, i % 11, i % 13) for i in range(700)])
+    seen = []
+    grown = boosting.boost_patterns
+    monkeypatch.setattr(pii, "boost_patterns", lambda counted, *a: seen.append(counted.selectExpr("sum(train_0 + train_1) AS n", "sum(held_0 + held_1) AS h").first()) or grown(counted, *a, rounds=1))
+    pii.learn(documents([(i, text + " in table 978123456789") for i in range(12)]))
+    every = pii.examples(text + " in table 978123456789")
+    assert len(every) * 12 > 20_000
+    (counts,) = seen
+    assert counts.n + counts.h <= len(every) * 12
+    assert abs(counts.n - len(every) * 6) < len(every)
+    assert counts.h > 0.4 * 12 * sum(free for _, _, _, free, _ in every)
