@@ -36,6 +36,10 @@ _DOCUMENT = (
     f"_VALUE STRING, Event ARRAY<STRUCT<System: ARRAY<{_SYSTEM}>, EventData: ARRAY<STRING>, "
     "UserData: ARRAY<STRING>>>, _corrupt STRING"
 )
+# Enough to tell whether a text can be used, and of which number it is.
+_OUTLINE = (
+    f"_VALUE STRING, Event ARRAY<STRUCT<System: ARRAY<STRUCT<EventRecordID: ARRAY<{_TEXT}>>>>>, _corrupt STRING"
+)
 _OPTIONS = {
     "mode": "PERMISSIVE",
     "columnNameOfCorruptRecord": "_corrupt",
@@ -154,8 +158,8 @@ def _joined(texts: Column) -> Column:
     return F.nullif(F.array_join(kept, MESSAGE_SEPARATOR), F.lit(""))
 
 
-def decode(rows: DataFrame, xml: str = "raw_xml") -> DataFrame:
-    """Event fields for each XML row, plus ``reason`` where the row cannot be used."""
+def _parsed(rows: DataFrame, xml: str, document: str) -> DataFrame:
+    """``rows`` with the parts of ``document`` that a pull parse gives, or a tree where it must, and ``reason``."""
     body = F.regexp_replace(F.col(xml), r"(?s)^\s*<\?xml.*?\?>", "")
     wrapped = F.concat(F.lit(f"<{_WRAPPER}>"), body, F.lit(f"</{_WRAPPER}>"))
     named = F.length(xml) - F.length(F.replace(F.col(xml), F.lit("xmlns"), F.lit("")))
@@ -168,11 +172,10 @@ def decode(rows: DataFrame, xml: str = "raw_xml") -> DataFrame:
         rows.withColumn("_unusual", F.coalesce(unusual, F.lit(False)))
         .withColumn("_tree", F.pandas_udf(_as_tree, _TREE)(F.when(F.col("_unusual"), F.col(xml))))
         .withColumn("_plain", F.when(~F.col("_unusual"), wrapped))
-        .withColumn("_doc", F.explode(F.array(F.from_xml("_plain", _DOCUMENT, _OPTIONS))))
+        .withColumn("_doc", F.explode(F.array(F.from_xml("_plain", document, _OPTIONS))))
     )
     doc, tree = F.col("_doc"), F.col("_tree")
     event = F.get(doc["Event"], 0)
-    system = F.get(event["System"], 0)
     malformed = (
         F.col(xml).isNull()
         | doc["_corrupt"].isNotNull()
@@ -184,9 +187,29 @@ def decode(rows: DataFrame, xml: str = "raw_xml") -> DataFrame:
     reason = F.when(F.when(either, tree["malformed"]).otherwise(malformed), "malformed XML").when(
         F.when(either, ~tree["system"]).otherwise(no_system), "no System element"
     )
+    return parsed.withColumn("reason", reason)
+
+
+def _field(tag: str, in_tree: str) -> Column:
+    system = F.get(F.get(F.col("_doc.Event"), 0)["System"], 0)
+    return strip(F.when(F.col("_unusual"), F.col("_tree")[in_tree]).otherwise(F.get(system[tag], 0)["_VALUE"]))
+
 
-    def text(tag: str, in_tree: str) -> Column:
-        return strip(F.when(either, tree[in_tree]).otherwise(F.get(system[tag], 0)["_VALUE"]))
+def unusable(rows: DataFrame, xml: str = "raw_xml") -> DataFrame:
+    """``embedded_record_number`` and ``reason`` of each XML row as ``decode`` has them, without any other field.
+
+    The texts are walked whole, but only what these two need is made of them.
+    """
+    kept = [c for c in rows.columns if c != xml]
+    number = whole_number(_field("EventRecordID", "number")).alias("embedded_record_number")
+    return _parsed(rows, xml, _OUTLINE).select(*kept, number, "reason")
+
+
+def decode(rows: DataFrame, xml: str = "raw_xml") -> DataFrame:
+    """Event fields for each XML row, plus ``reason`` where the row cannot be used."""
+    tree, either = F.col("_tree"), F.col("_unusual")
+    event = F.get(F.col("_doc.Event"), 0)
+    system = F.get(event["System"], 0)
 
     # UserData only counts where there is no EventData, not where that is empty.
     data = F.when(F.size(event["EventData"]) > 0, F.get(event["EventData"], 0)).otherwise(F.get(event["UserData"], 0))
@@ -201,19 +224,19 @@ def decode(rows: DataFrame, xml: str = "raw_xml") -> DataFrame:
 
     kept = [c for c in rows.columns if c != xml]
     return (
-        parsed.withColumn("reason", reason)
+        _parsed(rows, xml, _DOCUMENT)
         .withColumn("_texts", texts)
         .select(
             *kept,
-            whole_number(text("EventID", "event_id")).alias("event_id"),
+            whole_number(_field("EventID", "event_id")).alias("event_id"),
             event_timestamp(time).alias("timestamp"),
             provider.alias("provider_name"),
-            text("Computer", "computer").alias("computer_name"),
-            text("Channel", "channel").alias("channel"),
-            whole_number(text("Level", "level")).alias("level"),
+            _field("Computer", "computer").alias("computer_name"),
+            _field("Channel", "channel").alias("channel"),
+            whole_number(_field("Level", "level")).alias("level"),
             _joined(F.col("_texts")).alias("message"),
             xml,
-            whole_number(text("EventRecordID", "number")).alias("embedded_record_number"),
+            whole_number(_field("EventRecordID", "number")).alias("embedded_record_number"),
             "reason",
         )
     )

@@ -221,14 +221,18 @@ def events_from_xml(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Event records and dead-letter rows. The event's own number stands in where none is given."""
     if "record_number" not in rows.columns:
         rows = rows.withColumn("record_number", F.lit(None).cast("bigint"))
-    decoded = event_xml.decode(rows)
-    decoded = decoded.withColumn(
-        "record_number", F.coalesce("record_number", "embedded_record_number")
-    ).withColumn(
-        "reason",
-        F.coalesce("reason", F.when(F.col("record_number").isNull(), "no record number")),
-    )
-    good, bad = split_failures(decoded)
+
+    def numbered(decoded: DataFrame) -> DataFrame:
+        return decoded.withColumn(
+            "record_number", F.coalesce("record_number", "embedded_record_number")
+        ).withColumn(
+            "reason",
+            F.coalesce("reason", F.when(F.col("record_number").isNull(), "no record number")),
+        )
+
+    # Each is parsed when it is read: what failed needs no fields.
+    good, _ = split_failures(numbered(event_xml.decode(rows)))
+    _, bad = split_failures(numbered(event_xml.unusable(rows)))
     return conform(good, schemas.EVENTS), bad
 
 

@@ -220,18 +220,21 @@ def event_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # The table may be one file of one piece; making and reading XML is worth dealing it out.
     pieces = spark.sparkContext.defaultParallelism
-    return read(spark, sf_dir, "events").repartition(pieces, "event_id").select(
+    text = F.concat(
+        head,
+        F.when(digit == 2, "").otherwise(system),
+        before,
+        F.when(digit == 9, "").otherwise(html_escape(F.col("props"))),
+        after,
+        end,
+    )
+    # A column of its own: written out in every shape, the expression is too long for compiled code.
+    events = read(spark, sf_dir, "events").repartition(pieces, "event_id").withColumn("_text", text)
+    return events.select(
         case_of("user_id").alias("case_id"),
         F.concat(F.lit("xml/user-"), F.col("user_id").cast("string")).alias("source_path"),
         F.col("event_id").alias("record_number"),
-        shaped(F.concat(
-            head,
-            F.when(digit == 2, "").otherwise(system),
-            before,
-            F.when(digit == 9, "").otherwise(html_escape(F.col("props"))),
-            after,
-            end,
-        )).alias("raw_xml"),
+        shaped(F.col("_text")).alias("raw_xml"),
     )
 
 

@@ -1,10 +1,11 @@
 """Event XML decoding, one row per shape."""
 
+import random
 from datetime import datetime
 
 import pytest
 
-from gainsay.functions.events import EVENT_NAMESPACE, decode
+from gainsay.functions.events import EVENT_NAMESPACE, decode, unusable
 from gainsay.sources.case import events_from_xml, read_xml_export
 
 SYSTEM = (
@@ -219,3 +220,27 @@ def test_a_cut_off_event_at_the_end_of_a_file_is_a_failure(spark, tmp_path):
     assert sorted(r.record_number for r in records.collect()) == [1, 1, 1, 2, 2, 2, 3, 3, 3]
     (failure,) = failures.collect()
     assert failure.reason == "malformed XML" and failure.source_path == str(tmp_path / "cut log.xml")
+
+
+def test_failures_need_no_fields_and_are_the_same(spark):
+    """Damaged at random: the outline finds a text unusable just where the whole reading does."""
+    rng = random.Random(5)
+    whole = (
+        f'<?xml version="1.0"?>\n<Event xmlns="{EVENT_NAMESPACE}"><System><Provider Name="p" Guid="g"/>'
+        '<EventID Qualifiers="1">4688</EventID><Level>4</Level><TimeCreated SystemTime="2024-01-01T00:00:00Z"/>'
+        "<EventRecordID>17</EventRecordID><Channel>c</Channel><Computer>h</Computer></System>"
+        '<EventData><Data Name="p">a &amp; b</Data><Data><b>x</b>tail</Data></EventData><UserData><a>1</a></UserData></Event>'
+    )
+    texts = [whole, None, "", whole * 2]
+    for _ in range(3000):
+        text = whole
+        for _ in range(rng.randrange(1, 3)):
+            at, end = rng.randrange(len(text)), rng.randrange(1, 5)
+            text = text[:at] + rng.choice(["", "<", ">", "&", '"', "/", "x", " ", "<q>", "</q>", "</System>", "<Data>", "&lt;", "<!--", "\x00"]) + text[at + rng.choice([0, 0, end]) :]
+        texts.append(text)
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, raw_xml string").repartition(8)
+    full = {r.n: (r.embedded_record_number, r.reason) for r in decode(rows).select("n", "embedded_record_number", "reason").collect()}
+    found = {r.n: tuple(r)[1:] for r in unusable(rows).select("n", "embedded_record_number", "reason").collect()}
+    wrong = [(texts[n], full[n], found[n]) for n in full if full[n] != found[n]]
+    assert not wrong, (len(wrong), wrong[:3])
+    assert len(found) == len(texts) and 500 < sum(reason is not None for _, reason in found.values()) < 2900
