@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from gainsay.llm.common import begin, raw, slices, texts
-from gainsay.llm.tokens import default_path, encoder
+from gainsay.llm.tokens import SLICE_BYTES, default_path, encoder
 
 TIERS = (512, 1024, 2048, 4096)
 BLOCK_TOKENS = 1 << 20
@@ -192,7 +192,7 @@ def pack(
             )
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 encoded = encode(raw(part.column("text")))
                 for doc, ids in zip(part.column("doc_id").to_pylist(), encoded):
                     packer.add(doc, ids + end)

@@ -42,6 +42,34 @@ def test_encoder_gives_the_tokenizers_ids(expected):
         assert [np.frombuffer(f, "<u4").tolist() for f in found] == [expected(t) for t in texts]
 
 
+def test_letters_with_marks_give_the_tokenizers_ids(expected):
+    rng = random.Random(9)
+    words = [f"{a}{''.join(rng.sample(tokens._LETTERS, 3))}{a}" for a in tokens._LETTERS]
+    words += [word + "".join(rng.sample(tokens._MARKS, rng.randrange(1, 4))) for word in words]
+    words += ["漢字。", "漢字.", "ﬁ", "İi.", "ΌΔΟΣ", "x'S", "it's.", "a1.", "-a", "a-b", "½.", "a\u0301.", "=\u0338", "a=\u0338"]
+    encoder = tokens.Encoder(tokens.default_path())
+    found = encoder.encode([word.encode() for word in words] + [" \n".join(words).encode(), b"a\xff\xc3 b."])
+    wanted = [expected(word) for word in words] + [expected(" ".join(words)), expected("a\ufffd\ufffd b.")]
+    assert encoder._direct
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == wanted
+
+
+def test_all_forms_of_a_word_share_an_entry():
+    encoder = tokens.Encoder(tokens.default_path())
+    encoder.encode([b"Straetown straetown, STRAETOWN. straetown%%% Straetown!? straetown$$$", b"straetown:"])
+    assert [word for word in encoder._young if b"strae" in word.lower()] == [b"straetown"]
+
+
+@pytest.mark.parametrize("token", ["foo", "foo!", "!?"])
+def test_added_tokens_within_words_are_found(token, tmp_path):
+    tokenizer = Tokenizer.from_file(tokens.default_path())
+    tokenizer.add_tokens([token])
+    tokenizer.save(str(tmp_path / "added.json"))
+    text = "a food foo! bar!? foo."
+    found = tokens.Encoder(str(tmp_path / "added.json")).encode([text.encode()])
+    assert np.frombuffer(found[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_the_cache_is_bounded_and_freed_by_other_tasks():
     encoder = tokens.Encoder(tokens.default_path(), generation_bytes=1 << 20)
     for i in range(40):
