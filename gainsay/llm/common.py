@@ -28,6 +28,7 @@ def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 _freed: dict[str, Callable[[], None]] = {}
+_owners: list[str] = []
 
 
 def keeps(owner: str, free: Callable[[], None]) -> None:
@@ -42,6 +43,10 @@ def begin(owner: str) -> None:
     """
     for other in [name for name in _freed if name != owner]:
         _freed.pop(other)()
+    if _owners != [owner]:
+        _owners[:] = [owner]
+        # Arrow's allocator keeps what it once took.
+        pa.default_memory_pool().release_unused()
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:

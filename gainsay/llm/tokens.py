@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 
 from gainsay.llm.common import keeps
 
-GENERATION_BYTES = 96 << 20
+GENERATION_BYTES = 32 << 20
 # Texts encoded at a time: the more, the fewer times a word is looked up.
 SLICE_BYTES = 4 << 20
 # What a word and its ids take beside their own bytes.
@@ -34,6 +34,8 @@ _LONGEST = 64
 _MARK = b"~"
 _BETWEEN = b" ~ "
 _TOGETHER = 32
+# Texts given to the tokenizer in one call: its encodings take many times the memory of their ids.
+_AT_ONCE = 64
 
 # For words in lower case by Python: its lower case depends on its place in a word.
 _FINAL = "Σ"
@@ -173,9 +175,12 @@ class Encoder:
         return [made[word] for word in words]
 
     def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
-        plain = [text.decode() for text in texts]
-        found = self._tokenizer.encode_batch_fast(plain, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4") for e in found]
+        found: list[np.ndarray] = []
+        for i in range(0, len(texts), _AT_ONCE):
+            plain = [text.decode() for text in texts[i : i + _AT_ONCE]]
+            encodings = self._tokenizer.encode_batch_fast(plain, add_special_tokens=False)
+            found += [np.array(e.ids, dtype="<u4") for e in encodings]
+        return found
 
     def _pieces(self, cores: list[bytes]) -> list[bytes]:
         """Ids of words that are one piece each for the tokenizer's model: letters only, in lower case."""

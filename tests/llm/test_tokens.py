@@ -1,8 +1,10 @@
 """Tokens, packing and record files: exact round trips."""
 
 import random
+import sys
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -85,6 +87,31 @@ def test_the_cache_is_bounded_and_freed_by_other_tasks():
     assert tokens._encoders == {} and tokens.encoder(tokens.default_path()) is not first
 
 
+def test_what_a_worker_holds_is_small():
+    encoder, calls = tokens.Encoder(tokens.default_path()), []
+    letters = [chr(97 + i) for i in range(26)]
+    for first in letters:
+        # 26 x 26,000 words of letters that come once.
+        ends = (f"{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters[:2])
+        encoder.encode([" ".join(f"{first}{end}q" for end in ends).encode()])
+    tables = (encoder._young, encoder._old)
+    held = sum(sys.getsizeof(table) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in table.items()) for table in tables)
+    assert held < 80 << 20
+    whole = encoder._tokenizer.encode_batch_fast
+    encoder._tokenizer = SimpleNamespace(encode_batch_fast=lambda texts, **o: calls.append(len(texts)) or whole(texts, **o))
+    encoder.encode([" ".join(f"w{i}" for i in range(10_000)).encode()])
+    assert len(calls) > 1 and max(calls) <= 64
+
+
+def test_a_task_of_another_operator_gives_arrows_memory_back(monkeypatch):
+    calls = []
+    pool = SimpleNamespace(release_unused=lambda: calls.append(owner))
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: pool)
+    for owner in ("one", "one", "other", "one"):
+        common.begin(owner)
+    assert calls == ["one", "other", "one"]
+
+
 @pytest.mark.parametrize("block_tokens", [1 << 20, 500])
 def test_packing_keeps_every_id_once(documents, expected, block_tokens):
     rng = random.Random(6)
